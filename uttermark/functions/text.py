@@ -64,11 +64,15 @@ def repetition_factor(text: Column, n: int = 3) -> Column:
 def char_ngrams(text: Column, n: int = 3) -> Column:
     """Array of all character n-grams, in order; empty when the text is shorter."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    size = F.size(chars)
-    starts = F.when(size >= n, F.sequence(F.lit(1), size - (n - 1))).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.transform(starts, lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))
+
+    def grams(cs: Column) -> Column:
+        starts = F.when(
+            F.size(cs) >= n, F.sequence(F.lit(1), F.size(cs) - (n - 1))
+        ).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(cs, i, F.lit(n)), ""))
+
+    # The outer one-element transform evaluates the split once per row, not per n-gram.
+    return F.flatten(F.transform(F.array(chars), grams))
 
 
 def to_number(text: Column) -> Column:

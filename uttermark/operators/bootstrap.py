@@ -50,6 +50,13 @@ def poisson_weight(draw: Column) -> Column:
     return weight.cast("bigint")
 
 
+def _sealed(draws: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hand the drawn columns on through a one-row generator. Filters on them (such
+    as IS NOT NULL) then stay above it instead of being pushed down, where each
+    would repeat the whole draw arithmetic."""
+    return draws.select(*keys, "rep", F.inline(F.array(F.struct("value", "weight"))))
+
+
 def resample(
     df: DataFrame,
     keys: Sequence[str],
@@ -89,15 +96,15 @@ def resample(
         F.lit(1).cast("bigint").alias("weight"),
     )
 
-    # Larger groups: weights are made where the rows lie; zero weights vanish at once.
+    # Larger groups: weights are made where the rows lie.
     large = rows.join(sizes.filter(F.col("_n") > exact_max).select(*keys), list(keys), "left_semi")
     weighted = _with_draw(
         large.select(*keys, "value", "_row", reps), "_draw", seed, F.col("rep"), F.col("_row")
     )
     poisson = weighted.select(
         *keys, "rep", "value", poisson_weight(F.col("_draw")).alias("weight")
-    ).filter(F.col("weight") > 0)
-    return exact.unionByName(poisson)
+    )
+    return _sealed(exact, keys).unionByName(_sealed(poisson, keys))
 
 
 def bootstrap_mean(

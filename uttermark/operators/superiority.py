@@ -23,7 +23,8 @@ def superiority(
     """All left-right pairs per key compared with ``<``, without forming a pair.
 
     ``left`` and ``right`` are the weights of a row on either side (0 or 1 for
-    plain data, draw counts for resampled data). Equal values are summed up first,
+    plain data, draw counts for resampled data); rows of neither side are best
+    filtered out before. Equal values are summed up first,
     then every right value takes the running total of left weight below it. Bins
     carry the totals across, so the sorted window covers one bin of one key.
     NULL values are skipped. A key without one of the sides gives NULLs.
@@ -40,9 +41,10 @@ def superiority(
             left.cast("bigint").alias("_l"),
             right.cast("bigint").alias("_r"),
         )
-        .filter(F.col("_v").isNotNull() & ((F.col("_l") != 0) | (F.col("_r") != 0)))
+        .filter(F.col("_v").isNotNull())
         .groupBy(*by, "_v")
         .agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+        .filter((F.col("_l") != 0) | (F.col("_r") != 0))
         .withColumn("_bin", value_bin(F.col("_v")))
     )
     lower_bins = (

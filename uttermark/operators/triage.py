@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import grading as g
 from .quantiles import exact_quantiles
@@ -60,7 +60,7 @@ def poor_cases(file_grain: DataFrame, q: float = 0.85) -> DataFrame:
     )
 
 
-def worst_first(cases: DataFrame) -> list:
+def worst_first() -> list:
     """Ordering of the triage list, with a tie key for a stable result."""
     return [
         F.desc("n_triggers"),
@@ -70,3 +70,10 @@ def worst_first(cases: DataFrame) -> list:
         F.asc("engine"),
         F.asc("file"),
     ]
+
+
+def top_per_engine(cases: DataFrame, n: int) -> DataFrame:
+    """The n worst cases of each engine, with their ``place``. Spark keeps only the
+    n first rows per engine and task before the exchange (window group limit)."""
+    order = Window.partitionBy("engine").orderBy(*worst_first())
+    return cases.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-THEMES = ("runs",)
+THEMES = ("runs", "texts", "matching", "statistics")
 
 
 def load():
