@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-THEMES = ("runs", "texts", "matching", "statistics")
+THEMES = ("runs", "texts", "matching", "statistics", "judging", "messages", "signals", "reports")
 
 
 def load():

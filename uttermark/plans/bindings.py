@@ -145,7 +145,7 @@ def buffered_messages(spark: SparkSession, root: str) -> DataFrame:
     audio = F.base64(F.encode(F.repeat(F.lit("ab"), F.col("k")), "utf-8"))
     session = F.concat(
         F.lit(',"session":{"transcription_delay_ms":'), k,
-        F.when(F.col("k") % 2 == 0, F.concat(F.lit(',"temperature":0.'), k)).otherwise(""),
+        F.when(F.col("k") % 2 == 0, F.concat(F.lit(',"temperature":0.'), k, F.lit("5"))).otherwise(""),
         F.lit("}"),
     )
     kind = F.col("event_type")
