@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # The punctuation the normaliser deletes, and the white space that
-# Python's str.split() knows (both as the inside of a regex character class).
-PUNCTUATION = r'''、。！？（）…「」,. :;\[\]{}()\'"'''
-WHITESPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-
-# Full-width forms U+FF01..U+FF5E lie at a constant distance from ASCII 0x21..0x7E.
-FULL_WIDTH = "".join(chr(0xFF01 + i) for i in range(94))
-HALF_WIDTH = "".join(chr(0x21 + i) for i in range(94))
+# Python's str.split() knows.
+PUNCTUATION = "、。！？（）…「」,. :;[]{}()'\""
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+# Full-width forms U+FF01..U+FF5E lie at a constant distance from ASCII 0x21..0x7E;
+# those among the punctuation are deleted, the rest is folded.
+FULL_WIDTH = "".join(c for c in map(chr, range(0xFF01, 0xFF5F)) if c not in PUNCTUATION)
+HALF_WIDTH = "".join(chr(ord(c) - 0xFEE0) for c in FULL_WIDTH)
 
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 RUN_ID = r"^(\d{2})-(\d{2})-(\d{4})_v(\d+)$"
@@ -23,8 +27,11 @@ def normalize_text(text: Column) -> Column:
     ASCII ``!`` and ``?`` stay; a full-width comma survives as ``,`` because
     folding comes after deletion. NULL becomes ``''``.
     """
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{PUNCTUATION}{WHITESPACE}]+", "")
-    return F.lower(F.translate(bare, FULL_WIDTH, HALF_WIDTH))
+    # One pass: translate deletes the characters that have no counterpart.
+    deleted = PUNCTUATION + WHITESPACE
+    return F.lower(
+        F.translate(F.coalesce(text, F.lit("")), FULL_WIDTH + deleted, HALF_WIDTH)
+    )
 
 
 def file_stem(name: Column) -> Column:
@@ -199,3 +206,11 @@ def parse_timed_lines(text: Column) -> Column:
             F.trim(F.regexp_extract(x, line, 4)).alias("text"),
         ),
     )
+
+
+def timed_text(lines: Column) -> Column:
+    """Plain text of parsed timed lines, in the order of their start."""
+    keyed = F.transform(
+        lines, lambda x: F.struct(to_number(x["start"]).alias("start"), x["text"].alias("text"))
+    )
+    return F.array_join(F.array_sort(keyed)["text"], " ")

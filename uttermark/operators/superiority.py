@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .scan import value_bin
 
 COUNT = "decimal(19,0)"
-PAIRS = "decimal(38,0)"
 
 
 def superiority(
@@ -24,9 +23,9 @@ def superiority(
 
     ``left`` and ``right`` are the weights of a row on either side (0 or 1 for
     plain data, draw counts for resampled data); rows of neither side are best
-    filtered out before. Equal values are summed up first,
-    then every right value takes the running total of left weight below it. Bins
-    carry the totals across, so the sorted window covers one bin of one key.
+    filtered out before. Equal values are summed up first. The sorted
+    window covers one bin of one key: there every right value meets the left weight
+    below it. Only bin totals are then run through per key, without a join.
     NULL values are skipped. A key without one of the sides gives NULLs.
 
     Result: keys, total_pairs, p_left (left < right), p_right, p_tie.
@@ -47,30 +46,32 @@ def superiority(
         .filter((F.col("_l") != 0) | (F.col("_r") != 0))
         .withColumn("_bin", value_bin(F.col("_v")))
     )
-    lower_bins = (
-        Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(
+        Window.unboundedPreceding, -1
     )
+    below_in_bin = F.coalesce(F.sum("_l").over(inside), F.lit(0))
     bins = (
-        weights.groupBy(*by, "_bin")
-        .agg(F.sum("_l").alias("_bl"))
-        .select(*by, "_bin", F.coalesce(F.sum("_bl").over(lower_bins), F.lit(0)).alias("_in"))
-    )
-    lower_values = (
-        Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    below = F.coalesce(F.sum("_l").over(lower_values), F.lit(0)) + F.col("_in")
-    scored = weights.join(bins, [*by, "_bin"]).select(
-        *by,
-        "_l",
-        "_r",
-        (F.col("_r").cast(COUNT) * below.cast(COUNT)).alias("_wins"),
-        (F.col("_r").cast(COUNT) * F.col("_l").cast(COUNT)).alias("_ties"),
+        weights.withColumn("_below", below_in_bin)
+        .groupBy(*by, "_bin")
+        .agg(
+            F.sum("_l").cast(COUNT).alias("_bl"),
+            F.sum("_r").cast(COUNT).alias("_br"),
+            F.sum(F.col("_r").cast(COUNT) * F.col("_below").cast(COUNT)).alias("_wins"),
+            F.sum(F.col("_r").cast(COUNT) * F.col("_l").cast(COUNT)).alias("_ties"),
+        )
     )
-    total = F.sum("_l").cast(COUNT) * F.sum("_r").cast(COUNT)
-    sums = scored.groupBy(*by).agg(
-        total.cast("double").alias("total_pairs"),
-        F.sum("_wins").cast("double").alias("_wins"),
-        F.sum("_ties").cast("double").alias("_ties"),
+    # A bin's right weight also beats all left weight of the lower bins of its key.
+    lower = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    below_bin = F.coalesce(F.sum("_bl").over(lower), F.lit(0)).cast(COUNT)
+    total = F.sum("_bl").cast(COUNT) * F.sum("_br").cast(COUNT)
+    sums = (
+        bins.withColumn("_wins", F.col("_wins") + F.col("_br") * below_bin)
+        .groupBy(*by)
+        .agg(
+            total.cast("double").alias("total_pairs"),
+            F.sum("_wins").cast("double").alias("_wins"),
+            F.sum("_ties").cast("double").alias("_ties"),
+        )
     )
 
     def share(part: Column) -> Column:

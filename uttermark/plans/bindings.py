@@ -37,10 +37,13 @@ def file_name(user: Column) -> Column:
 
 def records(spark: SparkSession, root: str) -> DataFrame:
     """Result rows as the result files hold them: one per event, the CER as text."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    events = table(spark, root, "events").withColumn(
+        "k", F.get_json_object("props", "$.k").cast("int")
+    )
+    k = F.col("k")
     version = (F.floor(F.hour("ts") / 12) + 1).cast("int")
     cer_text = F.when(k < 90, F.concat(F.col("value").cast("string"), F.lit("%"))).otherwise("N/A")
-    base = table(spark, root, "events").select(
+    base = events.select(
         F.col("event_id").alias("seq"),
         F.col("event_type").alias("engine"),
         "user_id",
@@ -48,7 +51,7 @@ def records(spark: SparkSession, root: str) -> DataFrame:
         F.to_date("ts").alias("run_date"),
         version.alias("run_version"),
         run_id_of(F.col("ts"), version).alias("run_id"),
-        k.alias("k"),
+        "k",
         F.when(k < 10, "failed").otherwise("success").alias("status"),
         cer_text.alias("cer"),
         F.when(k % 7 != 0, k / 50).alias("inference_rtf"),

@@ -229,35 +229,45 @@ def parsed_percents(spark, root):
     )
 
 
-@query("timed_reference_rates", """
-WITH ordered AS (
-    SELECT conv_id, string_agg(regexp_replace(text, '[^\\x00-\\x7f]|\\n|\\r', '', 'g'), ' ' ORDER BY turn) AS hyp
-    FROM conversations GROUP BY conv_id),
-ref AS (SELECT conv_id, string_agg(trim(regexp_replace(text, '[^\\x00-\\x7f]|\\n|\\r', '', 'g')), ' ' ORDER BY turn) AS ref
-    FROM conversations WHERE role <> 'system' GROUP BY conv_id)
-SELECT conv_id, round(levenshtein(hyp, ref) / length(ref), 9) AS cer
-FROM (SELECT conv_id, """.replace("\\\\", "\\") + _norm("hyp") + " AS hyp, " + _norm("ref") + """ AS ref
-    FROM ordered JOIN ref USING (conv_id))""")
+TURN_TEXT = r"regexp_replace(regexp_replace(text, '[^\n\x20-\x7e]', '', 'g'), '[:\[\]]', '', 'g')"
+
+
+@query("timed_reference_rates", f"""
+WITH flat AS (SELECT conv_id, turn, {TURN_TEXT} AS t FROM conversations),
+lines AS (SELECT conv_id, turn, t, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l
+    FROM flat),
+rebuilt AS (SELECT conv_id, turn, len(l) AS n_lines, array_to_string(l, ' ') AS ref, array_to_string(list_reverse(l), ' ') AS hyp FROM lines)
+SELECT conv_id, turn, n_lines::INTEGER AS n_lines, round(CASE WHEN length({_norm("ref")}) > 0
+    THEN levenshtein({_norm("hyp")}, {_norm("ref")}) / length({_norm("ref")}) ELSE 0.0 END, 9) AS cer
+FROM rebuilt""")
 def timed_reference_rates(spark, root):
-    """CER against the text rebuilt from timed reference lines, in start order."""
-    flat = F.regexp_replace("text", r"[^\x00-\x7f]|\n|\r", "")
-    rows = table(spark, root, "conversations").select("conv_id", "turn", "role", flat.alias("text"))
-    line = F.concat(
-        F.lit("["), F.format_string("%.3f", F.col("turn") * 2.5), F.lit(" - "),
-        F.format_string("%.3f", F.col("turn") * 2.5 + 2), F.lit("] SPEAKER 1: "), F.col("text"),
+    """CER against the text rebuilt from a timed reference, whose lines come in any
+    order and are put back by their start. One row holds one reference file."""
+    flat = F.regexp_replace(F.regexp_replace("text", r"[^\n\x20-\x7e]", ""), r"[:\[\]]", "")
+    lines = F.filter(
+        F.transform(F.split(flat, "\n"), lambda x: F.trim(x)), lambda x: x != ""
     )
-    parsed = rows.filter("role <> 'system'").select(
-        "conv_id", F.inline(text.parse_timed_lines(line))
+    timed = F.array_join(
+        F.reverse(
+            F.transform(
+                lines,
+                lambda x, i: F.concat(
+                    F.lit("["), (i * 2.5).cast("string"), F.lit(" - "),
+                    (i * 2.5 + 2).cast("string"), F.lit("] SPEAKER 1: "), x,
+                ),
+            )
+        ),
+        "\n",
     )
-    # One recording's lines, as one reference file holds them.
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("start").cast("double"), F.col("text"))))
-    refs = parsed.groupBy("conv_id").agg(F.array_join(ordered["text"], " ").alias("ref"))
-    spoken = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    hyps = rows.groupBy("conv_id").agg(F.array_join(spoken["text"], " ").alias("hyp"))
-    joined = hyps.join(refs, "conv_id").select(
-        "conv_id", text.normalize_text(F.col("hyp")).alias("h"),
-        text.normalize_text(F.col("ref")).alias("r"),
+    rows = table(spark, root, "conversations").select("conv_id", "turn", timed.alias("timed"))
+    parsed = rows.select(
+        "conv_id", "turn", text.parse_timed_lines(F.col("timed")).alias("lines")
     )
-    return joined.select(
-        "conv_id", F.round(text.char_error_rate(F.col("h"), F.col("r")), 9).alias("cer")
+    return parsed.select(
+        "conv_id", "turn", F.size("lines").alias("n_lines"),
+        text.normalize_text(F.array_join(F.col("lines.text"), " ")).alias("hyp"),
+        text.normalize_text(text.timed_text(F.col("lines"))).alias("ref"),
+    ).select(
+        "conv_id", "turn", "n_lines",
+        F.round(text.char_error_rate(F.col("hyp"), F.col("ref")), 9).alias("cer"),
     )

@@ -27,6 +27,8 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", str(partitions))
+        # Small test tables would otherwise end up in one task after a shuffle.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     for key, value in CLUSTER_SETTINGS.items():
         builder = builder.config(key, value)
