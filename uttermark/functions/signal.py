@@ -26,12 +26,14 @@ def to_float(samples: Column) -> Column:
 
 def frame_rms(frame: Column) -> Column:
     squares = F.aggregate(frame, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    return F.sqrt(squares / F.size(frame))
+    return F.sqrt(F.try_divide(squares, F.size(frame)))
 
 
 def zero_crossing_rate(frame: Column) -> Column:
     """Share of neighbouring samples whose signs differ (zero counts as positive)."""
-    left = F.slice(frame, F.lit(1), F.size(frame) - 1)
-    right = F.slice(frame, F.lit(2), F.size(frame) - 1)
+    pairs = F.greatest(F.size(frame) - 1, F.lit(0))
+    left = F.slice(frame, F.lit(1), pairs)
+    right = F.slice(frame, F.lit(2), pairs)
     flips = F.zip_with(left, right, lambda a, b: F.when((a < 0) != (b < 0), 1.0).otherwise(0.0))
-    return F.aggregate(flips, F.lit(0.0), lambda acc, x: acc + x) / F.size(frame)
+    crossings = F.aggregate(flips, F.lit(0.0), lambda acc, x: acc + x)
+    return F.try_divide(crossings, F.size(frame))

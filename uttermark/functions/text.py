@@ -36,7 +36,7 @@ def normalize_text(text: Column) -> Column:
 
 def file_stem(name: Column) -> Column:
     """Last path component without its last suffix (a leading dot is no suffix)."""
-    base = F.regexp_extract(F.regexp_replace(F.coalesce(name, F.lit("")), "/+$", ""), "([^/]*)$", 1)
+    base = F.regexp_extract(F.regexp_replace(F.coalesce(name, F.lit("")), r"(/\.?)+$", ""), "([^/]*)$", 1)
     return F.regexp_replace(base, r"(?<=.)\.[^.]*$", "")
 
 

@@ -122,7 +122,7 @@ def bootstrap_mean(
         df, keys, value, row_id, seed=seed, replicas=replicas, exact_max=exact_max
     )
     means = draws.groupBy(*keys, "rep").agg(
-        (F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("_m")
+        F.try_divide(F.sum(F.col("value") * F.col("weight")), F.sum("weight")).alias("_m")
     )
     # At most `replicas` means per key, so the built-in percentile is bounded.
     return means.groupBy(*keys).agg(

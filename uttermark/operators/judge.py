@@ -225,12 +225,14 @@ def apply_override(verdicts: DataFrame, threshold: float = 0.5) -> DataFrame:
 def verdict_summary(verdicts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Counts, rates (4 dp), mean CER and mean RTF (3 dp) over the values present."""
     n = F.count(F.lit(1))
+
+    def share(condition: Column) -> Column:
+        return F.round(F.coalesce(F.try_divide(count_if(condition), n), F.lit(0.0)), 4)
+
     return verdicts.groupBy(*keys).agg(
         n.alias("total_files"),
-        F.round(count_if(F.col("has_hallucination")) / n, 4).alias("hallucination_rate"),
-        F.round(count_if(F.col("review_status") == "manual_review") / n, 4).alias(
-            "manual_review_rate"
-        ),
+        share(F.col("has_hallucination")).alias("hallucination_rate"),
+        share(F.col("review_status") == "manual_review").alias("manual_review_rate"),
         F.avg(parse_cer(F.col("existing_cer"))).alias("avg_cer"),
         F.round(F.coalesce(F.avg("existing_inference_rtf"), F.lit(0.0)), 3).alias(
             "avg_inference_rtf"

@@ -21,7 +21,7 @@ def count_if(condition: Column) -> Column:
 
 
 def rate(condition: Column) -> Column:
-    return count_if(condition) / F.count(F.lit(1))
+    return F.try_divide(count_if(condition), F.count(F.lit(1)))
 
 
 def run_means(records: DataFrame) -> DataFrame:
@@ -93,12 +93,12 @@ def silence_rate(records: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def wilson_low(k: Column, n: Column, z: float = 1.96) -> Column:
     center, margin = _wilson(k, n, z)
-    return F.greatest(F.lit(0.0), center - margin)
+    return F.when(n > 0, F.greatest(F.lit(0.0), center - margin))
 
 
 def wilson_high(k: Column, n: Column, z: float = 1.96) -> Column:
     center, margin = _wilson(k, n, z)
-    return F.least(F.lit(1.0), center + margin)
+    return F.when(n > 0, F.least(F.lit(1.0), center + margin))
 
 
 def _wilson(k: Column, n: Column, z: float) -> tuple[Column, Column]:

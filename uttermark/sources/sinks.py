@@ -56,7 +56,7 @@ def export_verdicts(verdicts: DataFrame, path: str) -> bool:
     first, *rest = VERDICT_COLUMNS
     flag = F.when(F.col("has_hallucination"), "True").otherwise("False")
     rows = verdicts.withColumn("has_hallucination", flag).select(
-        F.col(first).alias("﻿" + first), *rest
+        F.col(first).alias("\ufeff" + first), *rest
     )
     rows.write.option("header", True).option("escape", '"').mode("errorifexists").csv(path)
     return True
