@@ -59,10 +59,7 @@ def prompts(spark, root):
     )
 
 
-MODEL = F.element_at(
-    F.array(*[F.lit(m) for m in ("gpt-4o", "Llama-3.3-70b", "openai/gpt-oss-20b", "qwen3", "own-model")]),
-    (F.col("doc_id") % 5 + 1).cast("int"),
-)
+MODELS = ("gpt-4o", "Llama-3.3-70b", "openai/gpt-oss-20b", "qwen3", "own-model")
 MODEL_SQL = """list_extract(['gpt-4o', 'Llama-3.3-70b', 'openai/gpt-oss-20b', 'qwen3', 'own-model'],
     (doc_id % 5 + 1)::INTEGER)"""
 ROUTED = f"""WITH routed AS (SELECT doc_id, {MODEL_SQL} AS model, CASE WHEN doc_id % 5 IN (1, 2, 3) THEN 'Groq'
@@ -70,7 +67,9 @@ ROUTED = f"""WITH routed AS (SELECT doc_id, {MODEL_SQL} AS model, CASE WHEN doc_
 
 
 def routed(spark, root):
-    docs = table(spark, root, "documents").select("doc_id", MODEL.alias("model"))
+    names = F.array(*[F.lit(m) for m in MODELS])
+    model = F.element_at(names, (F.col("doc_id") % 5 + 1).cast("int"))
+    docs = table(spark, root, "documents").select("doc_id", model.alias("model"))
     return docs.withColumn(
         "provider", judge.route_provider(F.col("model"), ["OpenAI", "Groq"])
     )
@@ -244,12 +243,15 @@ def error_rate_vs_verdict(spark, root):
 
 
 @query("error_rate_correlation", with_sql(*JUDGED, body="""
-SELECT engine, round(corr(cer_bp, has_hallucination::INT), 6) AS correlation
+SELECT engine, round(covar_pop(cer_bp, has_hallucination::INT)
+    / nullif(stddev_pop(cer_bp) * stddev_pop(has_hallucination::INT), 0), 6) AS correlation
 FROM judged WHERE cer_bp IS NOT NULL GROUP BY engine"""))
 def error_rate_correlation(spark, root):
     rows = judged(spark, root).filter(F.col("cer_bp").isNotNull())
+    cer, flag = parse_cer(F.col("cer")), F.col("has_hallucination").cast("double")
+    spread = F.stddev_pop(cer) * F.stddev_pop(flag)
     return rounded(
         rows.groupBy("engine").agg(
-            F.corr(parse_cer(F.col("cer")), F.col("has_hallucination").cast("double")).alias("correlation")
+            F.try_divide(F.covar_pop(cer, flag), spread).alias("correlation")
         )
     )

@@ -141,11 +141,12 @@ def quantiles_of_order_lines(spark, root):
 
 RUN_MEANS = """
 , runs AS (SELECT engine, avg(cer_bp) / 100 AS value, avg(inference_rtf) AS rtf,
-    min(seq) AS row FROM records WHERE engine IN ('click', 'view') GROUP BY engine, run_id)"""
+    min(seq) AS row FROM records WHERE engine IN ('click', 'view') GROUP BY engine, run_id),
+scored AS (SELECT * FROM runs WHERE value IS NOT NULL), timed AS (SELECT * FROM runs WHERE rtf IS NOT NULL)"""
 
 
 @query("bootstrap_run_means", with_sql(*RECORDS, body=RUN_MEANS
-       + draws_sql("runs", "engine", 7, 400, 200) + mean_ci_sql("engine") + """
+       + draws_sql("scored", "engine", 7, 400, 200) + mean_ci_sql("engine") + """
 SELECT engine, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM ci"""))
 def bootstrap_run_means(spark, root):
     return rounded(bootstrap_mean(_run_means(spark, root), ["engine"], "value", "row",
@@ -205,8 +206,8 @@ def _sides():
 
 
 @query("superiority_by_run", with_sql(*RECORDS, body=RUN_MEANS + f"""
-SELECT 'cer' AS metric, {PAIRS.format(v='value')} FROM runs l, runs r WHERE l.engine = 'click' AND r.engine = 'view'
-UNION ALL SELECT 'rtf', {PAIRS.format(v='rtf')} FROM runs l, runs r WHERE l.engine = 'click' AND r.engine = 'view'"""))
+SELECT 'cer' AS metric, {PAIRS.format(v='value')} FROM scored l, scored r WHERE l.engine = 'click' AND r.engine = 'view'
+UNION ALL SELECT 'rtf', {PAIRS.format(v='rtf')} FROM timed l, timed r WHERE l.engine = 'click' AND r.engine = 'view'"""))
 def superiority_by_run(spark, root):
     long = rollup.metrics_long(
         _run_means(spark, root), ["engine"], {"cer": F.col("value"), "rtf": F.col("rtf")}
@@ -256,7 +257,7 @@ FROM p {'GROUP BY ' + keys if keys else ''}"""
 
 
 @query("bootstrap_superiority_by_run", with_sql(*RECORDS, body=RUN_MEANS
-       + draws_sql("runs", "engine", 701, 400, 200) + _superiority_ci_sql("")))
+       + draws_sql("scored", "engine", 701, 400, 200) + _superiority_ci_sql("")))
 def bootstrap_superiority_by_run(spark, root):
     return rounded(
         bootstrap_superiority(
