@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .joins import join_null_safe
 from .superiority import superiority
 
 PRIME = 2147483647  # 2^31 - 1; products of two residues fit a BIGINT
@@ -70,6 +71,7 @@ def resample(
     """Resampled rows (keys, rep, value, weight), NULL values skipped.
 
     ``row_id`` is a BIGINT that orders the rows of a key and is unique within it.
+    Needs at least one key column.
     """
     rows = df.select(
         *keys, F.col(value).cast("double").alias("value"), F.col(row_id).alias("_row")
@@ -80,7 +82,7 @@ def resample(
 
     # Groups of at most exact_max rows: an array of known size, then n draws each.
     small = (
-        rows.join(sizes.filter(F.col("_n") <= exact_max), list(keys))
+        join_null_safe(rows, sizes.filter(F.col("_n") <= exact_max), keys)
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("_row", "value"))).alias("_rows"))
         .select(*keys, F.col("_rows.value").alias("_values"))
@@ -97,7 +99,7 @@ def resample(
     )
 
     # Larger groups: weights are made where the rows lie.
-    large = rows.join(sizes.filter(F.col("_n") > exact_max).select(*keys), list(keys), "left_semi")
+    large = join_null_safe(rows, sizes.filter(F.col("_n") > exact_max), keys)
     weighted = _with_draw(
         large.select(*keys, "value", "_row", reps), "_draw", seed, F.col("rep"), F.col("_row")
     )

@@ -11,7 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.text import parse_cer
+from ..functions.text import parse_cer, percent_text
+from .joins import join_null_safe
 from .rollup import count_if
 from .scan import BLOCK_ROWS, row_position
 
@@ -242,6 +243,44 @@ def verdict_summary(verdicts: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def summary_document(
+    verdicts: DataFrame, keys: Sequence[str], model: str, hrs: DataFrame | None = None
+) -> DataFrame:
+    """One nested row per run in the shape of the summary file: rates, two label
+    histograms as maps and the mean metrics. ``hrs`` is (keys, hrs)."""
+
+    def label_map(label: str, name: str) -> DataFrame:
+        counts = verdicts.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_n"))
+        # At most one entry per value of the enumeration.
+        entries = F.map_from_entries(F.collect_list(F.struct(label, "_n")))
+        return counts.groupBy(*keys).agg(entries.alias(name))
+
+    rows = verdict_summary(verdicts, keys)
+    for label, name in (("primary_error", "error_distribution"),
+                        ("severity", "severity_distribution")):
+        rows = join_null_safe(rows, label_map(label, name), keys)
+    if hrs is not None:
+        rows = join_null_safe(rows, hrs, keys, "left")
+    else:
+        rows = rows.withColumn("hrs", F.lit(0.0))
+    cer_text = F.coalesce(percent_text(F.col("avg_cer")), F.lit("N/A"))
+    return rows.select(
+        *keys,
+        F.lit(model).alias("model_used"),
+        "total_files",
+        F.col("total_files").alias("evaluated_files"),
+        "with_gt_timestamped",
+        "without_gt_timestamped",
+        "hallucination_rate",
+        "manual_review_rate",
+        "error_distribution",
+        "severity_distribution",
+        F.struct(
+            cer_text.alias("avg_cer"), "avg_inference_rtf", F.coalesce("hrs", F.lit(0.0)).alias("hrs")
+        ).alias("existing_metrics"),
+    )
+
+
 def inconsistent(verdicts: DataFrame) -> DataFrame:
     """Verdicts that say "no hallucination" and still name an error or severity."""
     return verdicts.filter(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.grading import is_success
 from ..functions.text import canonical_stem
+from .joins import join_null_safe
 
 
 def last_wins(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -89,15 +90,11 @@ def missing_runs(records: DataFrame) -> DataFrame:
     The list of runs is one short array per engine, so a file is compared with it
     in place and no file-by-run grid is built. Complete files are left out.
     """
-    seen = records.groupBy("engine", "file").agg(F.collect_set("run_id").alias("_seen"))
-    runs = (
-        records.select("engine", "run_id")
-        .distinct()
-        .groupBy("engine")
-        .agg(F.array_sort(F.collect_list("run_id")).alias("_runs"))
-    )
+    pairs = records.select("engine", "file", "run_id").distinct()
+    seen = pairs.groupBy("engine", "file").agg(F.collect_list("run_id").alias("_seen"))
+    runs = pairs.groupBy("engine").agg(F.array_sort(F.collect_set("run_id")).alias("_runs"))
     return (
-        seen.join(runs, "engine")
+        join_null_safe(seen, runs, ["engine"])
         .withColumn("_missing", F.array_except("_runs", "_seen"))
         .filter(F.size("_missing") > 0)
         .select(

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .joins import join_null_safe
 from .scan import value_bin
 
 
@@ -49,18 +50,11 @@ def exact_quantiles(
     for q in quantiles.values():
         for rank in (low(q), high(q)):
             wanted = wanted | ((rank >= F.col("_start")) & (rank < F.col("_end")))
-    hit_bins = bins.filter(wanted).select(
-        *[F.col(k).alias(f"_h_{k}") for k in keys], F.col("_bin").alias("_h_bin"), "_n", "_start"
-    )
-    # Null-safe equality keeps NULL keys, and adds no filter below the join, so that
-    # both sides read the same exchange of the collapsed values.
-    same_bin = F.col("_bin").eqNullSafe(F.col("_h_bin"))
-    for k in keys:
-        same_bin = same_bin & F.col(k).eqNullSafe(F.col(f"_h_{k}"))
+    hit_bins = bins.filter(wanted).select(*keys, "_bin", "_n", "_start")
 
     in_bin = Window.partitionBy(*keys, "_bin").orderBy("_v")
     ranked = (
-        counts.join(hit_bins, same_bin)
+        join_null_safe(counts, hit_bins, [*keys, "_bin"])
         .withColumn("_stop", F.col("_start") + F.sum("_c").over(in_bin))
         .withColumn("_from", F.col("_stop") - F.col("_c"))
     )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.grading import is_silence, is_success, quality_tier
 from ..functions.text import run_key
 from .bootstrap import EXACT_MAX, REPLICAS, bootstrap_mean
+from .joins import join_null_safe, merge_by_key
 from .quantiles import exact_quantiles
 
 
@@ -24,31 +25,37 @@ def rate(condition: Column) -> Column:
     return F.try_divide(count_if(condition), F.count(F.lit(1)))
 
 
-def run_means(records: DataFrame) -> DataFrame:
-    """Means over the successful rows of every run; a missing RTF counts as 0,
-    a missing CER is left out. Runs without a success do not appear."""
-    ok = records.filter(is_success(F.col("status")))
-    return ok.groupBy("engine", "run_id").agg(
-        F.avg(zero_if_missing("total_rtf")).alias("avg_total_rtf"),
-        F.avg(zero_if_missing("inference_rtf")).alias("avg_inference_rtf"),
-        (F.avg("cer_bp") / 10000).alias("avg_cer"),
+def _per_run(records: DataFrame) -> DataFrame:
+    """Success count and means over the successful rows of every run; a missing RTF
+    counts as 0, a missing CER is left out."""
+    ok = is_success(F.col("status"))
+    return records.groupBy("engine", "run_id").agg(
+        count_if(ok).alias("_successes"),
+        F.avg(F.when(ok, zero_if_missing("total_rtf"))).alias("avg_total_rtf"),
+        F.avg(F.when(ok, zero_if_missing("inference_rtf"))).alias("avg_inference_rtf"),
+        (F.avg(F.when(ok, F.col("cer_bp"))) / 10000).alias("avg_cer"),
     )
 
 
+def run_means(records: DataFrame) -> DataFrame:
+    """Means of every run that has a successful row."""
+    return _per_run(records).filter("_successes > 0").drop("_successes")
+
+
 def mean_of_run_means(records: DataFrame) -> DataFrame:
-    """Unweighted mean of the run means per engine."""
-    passed = records.groupBy("engine").agg(F.count_distinct("run_id").alias("runs_passed"))
-    means = (
-        run_means(records)
+    """Unweighted mean of the run means per engine, out of one scan."""
+    return (
+        _per_run(records)
         .groupBy("engine")
         .agg(
-            F.count(F.lit(1)).alias("runs_aggregated"),
+            F.count(F.lit(1)).alias("runs_passed"),
+            count_if(F.col("_successes") > 0).alias("runs_aggregated"),
             F.avg("avg_total_rtf").alias("avg_total_rtf"),
             F.avg("avg_inference_rtf").alias("avg_inference_rtf"),
             F.avg("avg_cer").alias("avg_cer"),
         )
+        .filter("runs_aggregated > 0")
     )
-    return passed.join(means, "engine")
 
 
 def run_statistics(records: DataFrame) -> DataFrame:
@@ -178,7 +185,7 @@ def metric_summary(
     interval = bootstrap_mean(
         long, keys, value, row_id, seed=seed, replicas=replicas, exact_max=exact_max
     )
-    return basic.join(ranks, list(keys)).join(interval, list(keys))
+    return merge_by_key([basic, ranks, interval], keys)
 
 
 def metrics_long(df: DataFrame, ids: Sequence[str], metrics: Mapping[str, Column]) -> DataFrame:
@@ -241,16 +248,22 @@ def mix_text(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
 
 def cross_run_label_means(df: DataFrame, label: str) -> DataFrame:
     """Mean count of each label over all runs of an engine; an absent label counts 0."""
-    runs = df.select("engine", "run_id").distinct().groupBy("engine").agg(
-        F.count(F.lit(1)).alias("n_runs")
-    )
-    return (
-        histogram(df, ["engine"], label)
-        .join(runs, "engine")
-        .select("engine", label, (F.col("n") / F.col("n_runs")).alias("mean_count"))
+    counts = histogram(df, ["engine", "run_id"], label)
+    runs = counts.groupBy("engine").agg(F.count_distinct("run_id").alias("n_runs"))
+    totals = counts.groupBy("engine", label).agg(F.sum("n").alias("n"))
+    return join_null_safe(totals, runs, ["engine"]).select(
+        "engine", label, (F.col("n") / F.col("n_runs")).alias("mean_count")
     )
 
 
+def first_row_values(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], order: str
+) -> DataFrame:
+    """Attributes that repeat on every row of a key, taken from its first row."""
+    first = F.min_by(F.struct(*columns), F.col(order)).alias("_first")
+    return df.groupBy(*keys).agg(first).select(*keys, "_first.*")
+
+
 def representatives(records: DataFrame) -> DataFrame:
     """Runs with the worst, best and latest result per (engine, file)."""
     key = run_key(F.col("run_id"))

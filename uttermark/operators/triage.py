@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import grading as g
+from .joins import join_null_safe
 from .quantiles import exact_quantiles
 from .rollup import metrics_long
 
@@ -32,8 +33,10 @@ def poor_cases(file_grain: DataFrame, q: float = 0.85) -> DataFrame:
     """Files with at least one trigger, their trigger list and its length.
 
     Files without a timed reference whose mean CER is 0 are no candidates.
+    ``file_grain`` is read twice, so pass a checkpointed or written table where
+    computing it is expensive.
     """
-    rows = file_grain.join(tail_thresholds(file_grain, q), "engine").filter(
+    rows = join_null_safe(file_grain, tail_thresholds(file_grain, q), ["engine"]).filter(
         ~(~F.col("has_timestamp") & (F.coalesce("cer_mean", F.lit(0.0)) == 0))
     )
     c = F.col

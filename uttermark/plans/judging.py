@@ -175,6 +175,32 @@ def verdict_summary(spark, root):
     return summary.withColumn("avg_cer", F.round("avg_cer", 6))
 
 
+@query("summary_documents", RESPONSES + """
+, e AS (SELECT existing_rf, string_agg(concat(primary_error, '=', n), ',' ORDER BY primary_error) AS errors
+    FROM (SELECT existing_rf, primary_error, count(*) AS n FROM verdicts GROUP BY ALL) GROUP BY existing_rf),
+s AS (SELECT existing_rf, string_agg(concat(severity, '=', n), ',' ORDER BY severity) AS severities
+    FROM (SELECT existing_rf, severity, count(*) AS n FROM verdicts GROUP BY ALL) GROUP BY existing_rf),
+h AS (SELECT existing_rf, count(*) AS n, round(avg(existing_inference_rtf), 3) AS rtf FROM verdicts GROUP BY existing_rf)
+SELECT existing_rf, n AS evaluated_files, errors, severities, rtf AS avg_inference_rtf, 'm' AS model_used
+FROM e JOIN s USING (existing_rf) JOIN h USING (existing_rf)""")
+def summary_documents(spark, root):
+    verdicts = judge.parse_verdicts(responses(spark, root)).withColumn("with_gt", F.lit(True))
+    docs = judge.summary_document(verdicts, ["existing_rf"], "m")
+
+    def text(name: str):
+        pairs = F.transform(
+            F.array_sort(F.map_entries(name)),
+            lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")),
+        )
+        return F.array_join(pairs, ",")
+
+    return docs.select(
+        "existing_rf", "evaluated_files", text("error_distribution").alias("errors"),
+        text("severity_distribution").alias("severities"),
+        F.col("existing_metrics.avg_inference_rtf").alias("avg_inference_rtf"), "model_used",
+    )
+
+
 @query("verdict_labels", RESPONSES + """
 SELECT 'primary_error' AS field, primary_error AS label, count(*) AS n FROM verdicts GROUP BY ALL
 UNION ALL SELECT 'severity', severity, count(*) FROM verdicts GROUP BY ALL""")

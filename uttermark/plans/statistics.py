@@ -11,6 +11,7 @@ from ..operators.superiority import superiority
 from .bindings import (
     FILES, JUDGED, LEFT_ENGINE, RECORDS, RIGHT_ENGINE, big_records, judged, records, with_sql,
 )
+from ..session import reusable
 from .registry import query
 from .runs import rounded
 
@@ -222,9 +223,10 @@ FROM (SELECT l.file, {PAIRS.format(v='cer_bp')} FROM records l JOIN records r US
 def superiority_by_file(spark, root):
     both = records(spark, root).filter(F.col("engine").isin(LEFT_ENGINE, RIGHT_ENGINE))
     pairs = superiority(both, ["file"], "cer_bp", **_sides())
-    return pairs.filter("total_pairs > 0").withColumn(
+    scored = pairs.filter("total_pairs > 0").withColumn(
         "winner", winner(F.col("p_left"), F.col("p_right"), LEFT_ENGINE, RIGHT_ENGINE)
     )
+    return scored.orderBy(F.desc("p_right"), "file")
 
 
 @query("superiority_of_order_lines", with_sql("big", body="""
@@ -335,6 +337,15 @@ def cross_run_label_means(spark, root):
     return rounded(rollup.cross_run_label_means(judged(spark, root), "severity"))
 
 
+@query("first_row_values", with_sql(*RECORDS, body="""
+SELECT engine, file, arg_min(run_id, seq) AS run_id, arg_min(duration, seq) AS duration FROM records
+GROUP BY engine, file"""))
+def first_row_values(spark, root):
+    return rollup.first_row_values(
+        records(spark, root), ["engine", "file"], ["run_id", "duration"], "seq"
+    )
+
+
 @query("representatives", with_sql(*RECORDS, body="""
 SELECT engine, file, arg_max(run_id, (cer_bp, run_date, run_version, seq)) FILTER (cer_bp IS NOT NULL) AS worst_run,
     arg_min(run_id, (cer_bp, run_date, run_version, seq)) FILTER (cer_bp IS NOT NULL) AS best_run,
@@ -368,7 +379,7 @@ WORST = "n_triggers DESC, cer_mean DESC, cer_std DESC, high_severity_rate DESC,
 
 
 def cases(spark, root):
-    return triage.poor_cases(rollup.file_grain(judged(spark, root)))
+    return triage.poor_cases(reusable(rollup.file_grain(judged(spark, root))))
 
 
 def case_columns(df):

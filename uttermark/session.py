@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CLUSTER_SETTINGS = {
     # Runtime re-planning: coalesced and split partitions, joins by measured size.
@@ -38,9 +38,17 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a local one only where unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
+    """The shared checkpoint folder the cluster names; a local one only where unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         folder = tempfile.mkdtemp(prefix="uttermark-")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def reusable(df: DataFrame) -> DataFrame:
+    """Compute a small intermediate table once, for several readers. It is written to
+    the checkpoint folder, so a lost executor costs no second pass over the facts."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
