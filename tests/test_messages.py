@@ -193,6 +193,8 @@ def test_streamed_keepalives_and_silences(spark, stream_files):
                           "sessions", "complete")
     batch = live.stream_silences(df, "2 minutes")
     assert collected(sessions) == collected(batch)
+    for block in (50, m.BLOCK_ROWS):
+        assert collected(m.activity_sessions(df, 120, block).drop("session")) == collected(batch)
 
 
 def test_resume_sink_never_redoes_a_success(spark, tmp_path):

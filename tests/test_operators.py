@@ -31,8 +31,10 @@ def test_running_equals_a_plain_window(spark, block_rows):
     df = spark.createDataFrame(data, "key string, seq long, v double")
     got = scan.running(
         df, ["key"], "seq", sums={"n": F.lit(1).cast("bigint")}, lasts={"prev": F.col("v")},
-        block_rows=block_rows,
+        totals={"total": F.lit(1).cast("bigint")}, block_rows=block_rows,
     )
+    sizes = pd.Series([k for k, _, _ in data]).value_counts()
+    assert all(r.total == sizes[r.key] for r in got.collect())
     result = {(r.key, r.seq): (r.n, r.prev) for r in got.collect()}
     assert len(result) == len(data)
     frame = pd.DataFrame(data, columns=["key", "seq", "v"]).sort_values("seq")

@@ -86,6 +86,16 @@ def quality_tier(cer_pct: Column) -> Column:
     )
 
 
+def tier_rank(cer_pct: Column) -> Column:
+    """The tier as a number, which aggregates without a sort."""
+    return (
+        F.when(cer_pct.isNull(), 0)
+        .when(cer_pct <= TIER_GOOD, 1)
+        .when(cer_pct <= TIER_FAIR, 2)
+        .otherwise(3)
+    )
+
+
 def audio_reasons(rms: Column, flatness: Column, zcr: Column, rolloff: Column) -> Column:
     return F.array_compact(
         F.array(

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.grading import is_silence, is_success, quality_tier
+from ..functions.grading import is_silence, is_success, tier_rank
 from ..functions.text import run_key
 from .bootstrap import EXACT_MAX, REPLICAS, bootstrap_mean
 from .joins import join_null_safe, merge_by_key
@@ -196,7 +196,7 @@ def metrics_long(df: DataFrame, ids: Sequence[str], metrics: Mapping[str, Column
 
 def file_grain(records: DataFrame) -> DataFrame:
     """The engine-file summary that triage, comparison and case views share."""
-    tier = quality_tier(F.col("cer_bp") / 100)
+    tier = tier_rank(F.col("cer_bp") / 100)
     return records.groupBy("engine", "file").agg(
         F.count(F.lit(1)).alias("runs"),
         (F.avg("cer_bp") / 100).alias("cer_mean"),

@@ -25,17 +25,21 @@ def tail(lines: DataFrame, order: str, n: int = 60) -> DataFrame:
 def next_version(used: DataFrame, day: str, version: str) -> DataFrame:
     """First unused version number per day, filling gaps.
 
-    Candidates are 1 and every used number plus one; an anti join removes the used
-    ones, so no list of versions is built in one place.
+    Candidates are 1 and every used number plus one. They meet the used numbers in
+    one grouping, so no list of versions is built in one place.
     """
-    taken = used.select(day, version).distinct()
-    candidates = (
-        taken.select(day, (F.col(version) + 1).alias(version))
-        .unionByName(taken.select(day, F.lit(1).cast(taken.schema[version].dataType).alias(version)))
-        .distinct()
-    )
+    kind = used.schema[version].dataType
+    number = F.col(version)
+
+    def entry(value, taken: bool):
+        return F.struct(value.cast(kind).alias(version), F.lit(taken).alias("_taken"))
+
+    marks = F.array(entry(number, True), entry(number + 1, False), entry(F.lit(1), False))
     return (
-        candidates.join(taken, [day, version], "left_anti")
+        used.select(day, F.inline(marks))
+        .groupBy(day, version)
+        .agg(F.bool_or("_taken").alias("_taken"))
+        .filter(~F.col("_taken"))
         .groupBy(day)
         .agg(F.min(version).alias("next_version"))
     )

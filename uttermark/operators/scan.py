@@ -23,14 +23,16 @@ def running(
     *,
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
+    totals: Mapping[str, Column] | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add running columns per ``keys`` in the order of the BIGINT ``seq``.
 
     ``sums``: running sum up to and including the row. ``lasts``: last non-NULL
-    value among the rows strictly before it. ``keys`` must not be NULL.
+    value among the rows strictly before it. ``totals``: sum over the whole key.
+    ``keys`` must not be NULL.
     """
-    sums, lasts = dict(sums or {}), dict(lasts or {})
+    sums, lasts, totals = dict(sums or {}), dict(lasts or {}), dict(totals or {})
     group = [*keys, "_block"]
     rows = df.select(
         "*",
@@ -39,7 +41,10 @@ def running(
         *[c.alias(f"_l_{n}") for n, c in lasts.items()],
     )
 
-    block_totals = rows.groupBy(*group).agg(
+    block_totals = rows.select(
+        "*", *[c.alias(f"_t_{n}") for n, c in totals.items()]
+    ).groupBy(*group).agg(
+        *[F.sum(f"_t_{n}").alias(f"_t_{n}") for n in totals],
         *[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in sums],
         *[
             F.max_by(f"_l_{n}", F.when(F.col(f"_l_{n}").isNotNull(), F.col(seq))).alias(f"_l_{n}")
@@ -53,6 +58,7 @@ def running(
         *group,
         *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_in_{n}") for n in sums],
         *[F.last(f"_l_{n}", ignorenulls=True).over(earlier).alias(f"_in_{n}") for n in lasts],
+        *[F.sum(f"_t_{n}").over(Window.partitionBy(*keys)).alias(n) for n in totals],
     )
 
     inside = Window.partitionBy(*group).orderBy(seq)
@@ -68,6 +74,7 @@ def running(
             F.coalesce(F.last(f"_l_{n}", ignorenulls=True).over(before), F.col(f"_in_{n}")).alias(n)
             for n in lasts
         ],
+        *totals,
     )
 
 

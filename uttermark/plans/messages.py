@@ -133,16 +133,13 @@ def handshake_order(spark, root):
 
 
 @query("silent_gaps", with_sql(*BUFFERED, body=f"""
-, g AS (SELECT *, CASE WHEN {SECONDS.format("lag(ts) OVER w", "ts")} < {TIMEOUT} THEN 0 ELSE 1 END AS starts
+, g AS (SELECT *, CASE WHEN {SECONDS.format("lag(ts) OVER w", "ts")} <= {TIMEOUT} THEN 0 ELSE 1 END AS starts
     FROM messages WINDOW w AS (PARTITION BY conn_id ORDER BY seq)),
 s AS (SELECT *, sum(starts) OVER (PARTITION BY conn_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS session FROM g)
 SELECT conn_id, count(*) AS messages, count(*) FILTER (type = 'session.keepalive') AS keepalive_count,
     epoch_us(max(ts)) AS last_us FROM s GROUP BY conn_id, session"""))
 def silent_gaps(spark, root):
-    from ..streaming.live import stream_silences
-
-    # The streaming operator runs on a batch DataFrame unchanged.
-    sessions = stream_silences(buffered_messages(spark, root), f"{TIMEOUT} seconds")
+    sessions = m.activity_sessions(buffered_messages(spark, root), TIMEOUT)
     return sessions.select(
         "conn_id", "messages", "keepalive_count",
         F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("last_message"))

@@ -344,10 +344,10 @@ SELECT engine, run_id, seq,
     count(*) OVER (PARTITION BY engine, run_id) AS total
 FROM records"""))
 def batch_position(spark, root):
-    from ..operators.scan import row_position
+    from ..operators.scan import running
 
-    rows = records(spark, root).select("engine", "run_id", "seq")
-    totals = rows.groupBy("engine", "run_id").agg(F.count(F.lit(1)).alias("total"))
-    return row_position(rows, ["engine", "run_id"], "seq", "position").join(
-        totals, ["engine", "run_id"]
-    ).select("engine", "run_id", "seq", "position", "total")
+    one = F.lit(1).cast("bigint")
+    return running(
+        records(spark, root).select("engine", "run_id", "seq"), ["engine", "run_id"], "seq",
+        sums={"position": one}, totals={"total": one},
+    )

@@ -395,7 +395,7 @@ def case_columns(df):
 SELECT engine, round(tc, 6) AS cer_tail, round(ts, 6) AS std_tail, round(th, 6) AS high_tail,
     round(tr, 6) AS rtf_tail FROM tails"""))
 def tail_thresholds(spark, root):
-    return rounded(triage.tail_thresholds(rollup.file_grain(judged(spark, root))))
+    return rounded(triage.tail_thresholds(reusable(rollup.file_grain(judged(spark, root)))))
 
 
 @query("poor_cases", with_sql(*FILES, body=CASES + f"SELECT {CASE_COLUMNS} FROM cases"))

@@ -14,6 +14,8 @@ CLUSTER_SETTINGS = {
     # A side is broadcast only if its measured size stays under this bound.
     "spark.sql.autoBroadcastJoinThreshold": "32m",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
+    # Session windows of a hot connection shrink before the shuffle.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.session.timeZone": "UTC",
 }
 

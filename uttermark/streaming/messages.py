@@ -174,6 +174,25 @@ def timeouts(
     )
 
 
+def activity_sessions(
+    messages: DataFrame, limit_seconds: float, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Stretches of a connection without a wait above the limit. Two running
+    passes: the wait before each message, then the number of stretches begun."""
+    slim = messages.select("conn_id", "seq", "ts", "type")
+    waits = running(
+        slim, ["conn_id"], "seq", lasts={"_previous": F.col("ts")}, block_rows=block_rows
+    )
+    wait = seconds_between(F.col("_previous"), F.col("ts"))
+    begins = F.when(wait <= limit_seconds, 0).otherwise(1).cast("bigint")
+    numbered = running(waits, ["conn_id"], "seq", sums={"session": begins}, block_rows=block_rows)
+    return numbered.groupBy("conn_id", "session").agg(
+        F.count(F.lit(1)).alias("messages"),
+        count_if(F.col("type") == KEEPALIVE).alias("keepalive_count"),
+        F.max("ts").alias("last_message"),
+    )
+
+
 def dialog_attempts(messages: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Number the attempts of a connection; final, error and close end one."""
     return with_unit(messages, [FINAL, ERROR, CLOSE], "attempt", block_rows)
