@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from uttermark.operators import matching
+from uttermark.operators import matching, rollup
 from uttermark.sources import readers, sinks
 
 
@@ -28,7 +28,7 @@ def test_results(spark, runs):
     df = readers.read_results(spark, f"{runs}/*/*/results.json")
     assert df.count() == 5
     first = df.filter("run_id = '19-04-2026_v2' and file like 'a%'").first()
-    assert (first["engine_root"], first["run_version"], str(first["run_date"])) == ("alpha", 2, "2026-04-19")
+    assert (first["engine"], first["run_version"], str(first["run_date"])) == ("alpha", 2, "2026-04-19")
     assert first["bytes_sent"] is None and first["cer_bp"] == 6549 and first["transcript"] == "日本"
     odd = df.filter("run_id = '20-04-2026 x'").first()
     assert odd["run_date"] is None and odd["run_version"] == 0
@@ -36,7 +36,7 @@ def test_results(spark, runs):
     assert readers.select_runs(df, high=2).count() == 3
     assert readers.select_runs(df, date="2026-04-19").count() == 3
     assert readers.select_runs(df, runs=["20-04-2026_v1", "gone"]).count() == 1
-    latest = df.groupBy("engine_root").agg(F.max("run_version")).collect()
+    latest = df.groupBy("engine").agg(F.max("run_version")).collect()
     assert dict(map(tuple, latest)) == {"alpha": 10, "beta": 1}
 
 
@@ -144,3 +144,29 @@ def test_markdown(spark):
     ]
     got = df.select(sinks.interval_text(F.lit(0.398), F.lit(0.504)), sinks.number_text(F.lit(float("nan")))).first()
     assert tuple(got) == ("39.8% … 50.4%", "N/A")
+
+
+def test_unified_records_from_files(spark, runs, tmp_path):
+    head = ",".join(readers.schemas.VERDICT_COLUMNS)
+    (runs / "alpha" / "19-04-2026_v2" / "details.csv").write_text(
+        head + "\na (1).mp3,True,insertion,high,low,auto_accept,65.49%,0,0.25,why,ev,ctx\n", encoding="utf-8")
+    quality = spark.createDataFrame([("b.wav", 0.5, ["x"])], "file string, avg_rms double, reasons array<string>")
+    facts = matching.unified_records(
+        readers.read_results(spark, f"{runs}/*/*/results.json"),
+        readers.read_verdicts(spark, f"{runs}/*/*/details.csv"),
+        quality,
+        spark.createDataFrame([("a_(1)",)], "name string"),
+        spark.createDataFrame([("a",)], "name string"),
+    )
+    got = {(r["run_id"], r["file"]): r for r in facts.collect()}
+    assert len(got) == 5
+    hit = got[("19-04-2026_v2", "a (1).mp3")]
+    assert hit["has_hallucination"] and hit["severity"] == "high" and hit["reasoning"] == "why"
+    assert hit["has_timestamp"] and hit["has_rttm"] and hit["transcript_length"] == 2
+    other = got[("19-04-2026_v10", "a (1).mp3")]
+    assert other["severity"] == "unknown" and not other["has_hallucination"]
+    assert got[("19-04-2026_v2", "b.wav")]["reasons"] == ["x"]
+    assert not got[("19-04-2026_v2", "b.wav")]["has_timestamp"]
+    sinks.export_records(facts, str(tmp_path / "records"))
+    grains = rollup.grains(facts).filter("grain = 'engine'").collect()
+    assert {r["engine"]: r["records"] for r in grains} == {"alpha": 4, "beta": 1}

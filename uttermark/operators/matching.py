@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.grading import is_success
-from ..functions.text import canonical_stem
+from ..functions.text import (
+    canonical_stem, file_stem, segment_aliases, timed_aliases, transcript_hash,
+)
 from .joins import join_null_safe
 
 
@@ -104,3 +106,49 @@ def missing_runs(records: DataFrame) -> DataFrame:
             F.array_join("_missing", ", ").alias("missing"),
         )
     )
+
+
+def unified_records(
+    results: DataFrame,
+    verdicts: DataFrame,
+    quality: DataFrame,
+    timed_names: DataFrame,
+    segment_names: DataFrame,
+) -> DataFrame:
+    """The fact table of the multi-run reports: results with their verdict of the
+    same run, audio quality and marks for the references at hand.
+
+    ``verdicts`` has (engine, run_id, filename, ...), ``quality`` has (file, ...), the
+    name tables have (name) without suffix.
+    """
+    keys = ["engine", "run_id", "file"]
+    transcript = F.coalesce("transcript", F.lit(""))
+    base = results.withColumns(
+        {
+            "transcript": transcript,
+            "transcript_hash": transcript_hash(transcript),
+            "transcript_length": F.length(transcript),
+        }
+    )
+    labels = [
+        "has_hallucination", "primary_error", "severity", "confidence", "review_status",
+        "reasoning", "evidence_hyp_text", "evidence_gt_context",
+    ]
+    judged = verdicts.select("engine", "run_id", F.col("filename").alias("file"), *labels)
+    one_each = judged.groupBy(*keys).agg(F.max(F.struct(*labels)).alias("_v")).select(*keys, "_v.*")
+    sound = quality.groupBy("file").agg(
+        F.max(F.struct(*[c for c in quality.columns if c != "file"])).alias("_q")
+    ).select("file", "_q.*")
+    stem = file_stem(F.col("file"))
+    timed = first_alias_match(base, "file", timed_aliases(stem), timed_names)
+    segments = first_alias_match(base, "file", segment_aliases(stem), segment_names)
+    return (
+        with_verdicts(base, one_each, keys)
+        .join(sound, "file", "left")
+        .join(timed.withColumnRenamed("matched", "_timed"), "file", "left")
+        .join(segments.withColumnRenamed("matched", "_segments"), "file", "left")
+        .withColumns(
+            {"has_timestamp": F.col("_timed").isNotNull(), "has_rttm": F.col("_segments").isNotNull()}
+        )
+        .drop("_timed", "_segments")
+    )

@@ -20,12 +20,12 @@ def _path() -> Column:
 
 
 def _run_identity() -> list[Column]:
-    """engine root, run id and the parts of the run id, all out of the path."""
+    """Engine (the root directory), run id and its parts, all out of the path."""
     path = F.url_decode(F.replace(_path(), F.lit("+"), F.lit("%2B")))
     run_id = F.regexp_extract(path, RUN_DIR, 2)
     key = run_key(run_id)
     return [
-        F.regexp_extract(path, RUN_DIR, 1).alias("engine_root"),
+        F.regexp_extract(path, RUN_DIR, 1).alias("engine"),
         run_id.alias("run_id"),
         F.make_date(
             F.nullif(key["year"], F.lit(0)), key["month"], key["day"]
@@ -42,10 +42,12 @@ def _runs_only(df: DataFrame) -> DataFrame:
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """``<engine root>/<run>/results.json`` arrays, one row per element.
 
-    ``bytes_sent`` -1 (unknown) becomes NULL; ``cer_bp`` is the CER text as a number.
+    ``engine`` is the root directory; what the rows themselves say is kept as
+    ``reported_engine``. ``bytes_sent`` -1 (unknown) becomes NULL; ``cer_bp`` is the
+    CER text as a number.
     """
     raw = spark.read.schema(schemas.RESULTS_DDL).option("multiLine", True).json(path)
-    rows = raw.select("*", *_run_identity())
+    rows = raw.withColumnRenamed("engine", "reported_engine").select("*", *_run_identity())
     return _runs_only(rows).withColumns(
         {
             "bytes_sent": F.nullif("bytes_sent", F.lit(-1).cast("bigint")),
