@@ -3,7 +3,7 @@
 Draws come from integer arithmetic on (seed, replicate, row), so they are equal on
 every retry, on every cluster size and in any SQL engine. Small groups are
 resampled exactly (n draws with replacement); above ``exact_max`` rows a group
-uses Poisson(1) weights per row, which need no row exchange at all.
+uses Poisson(1) weights per row, which combine before the shuffle.
 """
 
 from __future__ import annotations
@@ -98,8 +98,10 @@ def resample(
         F.lit(1).cast("bigint").alias("weight"),
     )
 
-    # Larger groups: weights are made where the rows lie.
-    large = join_null_safe(rows, sizes.filter(F.col("_n") > exact_max), keys)
+    # Larger groups: one weight per row and replicate. Rows are spread by their number
+    # first: moving a row once is nothing beside making `replicas` draws for it, and
+    # neither a hot key nor an uneven input split keeps one task busy.
+    large = join_null_safe(rows, sizes.filter(F.col("_n") > exact_max), keys).repartition("_row")
     weighted = _with_draw(
         large.select(*keys, "value", "_row", reps), "_draw", seed, F.col("rep"), F.col("_row")
     )

@@ -29,11 +29,18 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", str(partitions))
+        # Recording a call site for each column costs more than small queries take.
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # Small test tables would otherwise end up in one task after a shuffle.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     for key, value in CLUSTER_SETTINGS.items():
         builder = builder.config(key, value)
+    # Join the small test tables the way large ones are joined: by shuffle.
+    builder = builder.config("spark.sql.autoBroadcastJoinThreshold", "1m").config(
+        "spark.sql.adaptive.autoBroadcastJoinThreshold", "1m"
+    )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

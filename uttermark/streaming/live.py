@@ -13,7 +13,7 @@ from ..functions.grading import is_success
 from ..operators.rollup import count_if
 from .messages import (
     APPEND, CLOSE, COMMIT, ERROR, FINAL, KEEPALIVE, PARTIAL, SESSION_UPDATE, chunk_bytes,
-    spoken_text,
+    message_texts, spoken_text,
 )
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -122,10 +122,11 @@ def stream_resolved_texts(messages: DataFrame, watermark: str = "1 hour") -> Dat
     slim = (
         messages.withWatermark("ts", watermark)
         .filter(kind.isin(PARTIAL, FINAL, ERROR, CLOSE))
+        .select("conn_id", "seq", "type", message_texts(F.col("payload")).alias("body"))
         .select(
             "conn_id", "seq", "type",
-            F.when(kind == PARTIAL, spoken_text(F.col("payload"), True))
-            .when(kind == FINAL, spoken_text(F.col("payload"), False)).alias("text"),
+            F.when(kind == PARTIAL, spoken_text(F.col("body"), True))
+            .when(kind == FINAL, spoken_text(F.col("body"), False)).alias("text"),
         )
     )
     return slim.groupBy("conn_id").transformWithStateInPandas(

@@ -51,9 +51,14 @@ def error_text(payload: Column) -> Column:
     )
 
 
-def spoken_text(payload: Column, prefer_lines: bool) -> Column:
-    """Text of a partial (lines first) or final (text, lines, segments) message."""
-    body = F.from_json(payload, TEXT_PARTS)
+def message_texts(payload: Column) -> Column:
+    """The places of a message that can hold text, parsed once."""
+    return F.from_json(payload, TEXT_PARTS)
+
+
+def spoken_text(body: Column, prefer_lines: bool) -> Column:
+    """Text of a partial (lines first) or final (text, lines, segments) message,
+    given its message_texts column."""
     lines = F.array_join(
         F.filter(F.transform(body["lines"], lambda x: x["text"]), lambda t: t != ""), " "
     )
@@ -202,10 +207,13 @@ def resolved_texts(messages: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFra
     """Transcript of every finished attempt: final text, its lines, its segments, or
     the last non-empty partial before it."""
     kind = F.col("type")
-    said = messages.filter(kind.isin(PARTIAL, FINAL, ERROR, CLOSE)).select(
+    parsed = messages.filter(kind.isin(PARTIAL, FINAL, ERROR, CLOSE)).select(
+        "conn_id", "seq", "type", message_texts(F.col("payload")).alias("_body")
+    )
+    said = parsed.select(
         "conn_id", "seq", "type",
-        F.when(kind == PARTIAL, spoken_text(F.col("payload"), True)).alias("_partial"),
-        F.when(kind == FINAL, spoken_text(F.col("payload"), False)).alias("_final"),
+        F.when(kind == PARTIAL, spoken_text(F.col("_body"), True)).alias("_partial"),
+        F.when(kind == FINAL, spoken_text(F.col("_body"), False)).alias("_final"),
     )
     is_end = kind.isin(FINAL, ERROR, CLOSE)
     ended = is_end.cast("bigint")
