@@ -19,20 +19,25 @@ GRAINS = """
 SELECT engine, file, run_id,
     CASE grouping(engine, file, run_id) WHEN 3 THEN 'engine' WHEN 1 THEN 'file' ELSE 'run' END AS grain,
     count(*) AS records, round(avg(cer_bp) / 100, 6) AS cer_mean, min(cer_bp) / 100 AS cer_min,
-    max(cer_bp) / 100 AS cer_max, round(avg(inference_rtf), 6) AS rtf_mean,
+    max(cer_bp) / 100 AS cer_max, round(avg(inference_rtf), 9) AS rtf_mean,
     round(count(*) FILTER (has_hallucination) / count(*), 6) AS hallucination_rate,
     round(count(*) FILTER (severity = 'high') / count(*), 6) AS high_severity_rate
 FROM {0} GROUP BY GROUPING SETS ((engine), (engine, file), (engine, run_id))"""
 
 
+def _rounded_grains(facts):
+    grains_of = rollup.grains(facts).withColumn("rtf_mean", F.round("rtf_mean", 9))
+    return rounded(grains_of, skip=("rtf_mean",))
+
+
 @query("grains", with_sql(*JUDGED, body=GRAINS.format("judged")))
 def grains(spark, root):
-    return rounded(rollup.grains(judged(spark, root)))
+    return _rounded_grains(judged(spark, root))
 
 
 @query("grains_of_order_lines", with_sql("big", body=GRAINS.format("big")))
 def grains_of_order_lines(spark, root):
-    return rounded(rollup.grains(big_records(spark, root)))
+    return _rounded_grains(big_records(spark, root))
 
 
 @query("distinct_members", with_sql(*RECORDS, body="""
@@ -254,7 +259,7 @@ c AS (SELECT *, coalesce(sum(l) OVER (PARTITION BY {group} ORDER BY value
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM w),
 p AS (SELECT {group}, (sum(l) * sum(r) - sum(r * below) - sum(r * l))::DOUBLE / (sum(l) * sum(r))::DOUBLE AS pr
     FROM c GROUP BY {group} HAVING sum(l) * sum(r) > 0)
-SELECT {final}round(quantile_cont(pr, 0.025), 9) AS ci_low, round(quantile_cont(pr, 0.975), 9) AS ci_high
+SELECT {final}round(quantile_cont(pr, 0.025), 11) AS ci_low, round(quantile_cont(pr, 0.975), 11) AS ci_high
 FROM p {'GROUP BY ' + keys if keys else ''}"""
 
 
@@ -266,7 +271,7 @@ def bootstrap_superiority_by_run(spark, root):
             _run_means(spark, root), [], "value", "row", side="engine",
             left=LEFT_ENGINE, right=RIGHT_ENGINE, seed=701, replicas=400,
         ),
-        9,
+        11,
     )
 
 
@@ -280,7 +285,7 @@ def bootstrap_superiority_by_file(spark, root):
             records(spark, root), ["file"], "cer_bp", "seq", side="engine",
             left=LEFT_ENGINE, right=RIGHT_ENGINE, seed=900, replicas=50,
         ),
-        9,
+        11,
     )
 
 
