@@ -56,12 +56,12 @@ def test_ratio_and_reasons(values):
 
 def test_silence_rate(spark):
     rows = [
-        ("silence_test.mp3", "Hello world", 60.0), ("normal.mp3", "ignore me", 30.0),
-        ("Noise_bg.wav", "Repeating", 120.0),
+        ("x_silence.mp3", "twelve chars", 90.0), ("talk.mp3", "does not count", 45.0),
+        ("White_Noise.wav", "8 chars.", 150.0), ("silence_2.wav", None, None),
     ]
     df = spark.createDataFrame(rows, "file string, transcript string, duration double")
-    assert rollup.silence_rate(df, []).first()["hrs"] == pytest.approx(20 / 3)
-    assert rollup.silence_rate(df.filter("file = 'normal.mp3'"), []).first()["hrs"] == 0.0
+    assert rollup.silence_rate(df, []).first()["hrs"] == pytest.approx(20 / 4)
+    assert rollup.silence_rate(df.filter("file = 'talk.mp3'"), []).first()["hrs"] == 0.0
 
 
 @pytest.mark.parametrize("k,n,low,high", [(0, 0, None, None), (0, 10, 0.0, None), (10, 10, None, 1.0),

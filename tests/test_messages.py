@@ -176,6 +176,22 @@ def test_streamed_texts_equal_the_batch_form(spark, stream_files):
     assert collected(got) == collected(m.resolved_texts(df))
 
 
+def test_streamed_outcomes_equal_the_batch_form(spark, stream_files):
+    df, folder = stream_files
+    live.use_rocksdb(spark)
+    order = (m.PARTIAL, m.KEEPALIVE, m.FINAL)
+    got = run_stream(spark, folder, lambda s: live.stream_attempt_outcomes(s, 300, order), "outcomes")
+    ends = df.filter(F.col("type").isin(m.FINAL, m.ERROR, m.CLOSE)).groupBy("conn_id").count()
+    want = (
+        m.attempt_outcomes(df, 300).join(m.handshake_order(df, order), ["conn_id", "attempt"])
+        .join(ends, "conn_id").filter("attempt < count").drop("count")
+    )
+    text = [F.coalesce(c, F.lit("-")).alias(c) for c in ("error_type", "error_message")]
+    columns = ["conn_id", "attempt", "status", *text, "in_order"]
+    assert collected(got.select(*columns)) == collected(want.select(*columns))
+    assert got.filter("error_type = 'timeout'").count() > 0 and got.filter("in_order").count() > 0
+
+
 def test_streamed_settings_equal_the_batch_form(spark, stream_files):
     df, folder = stream_files
     got = run_stream(spark, folder, live.stream_settings, "settings", "complete")

@@ -52,7 +52,8 @@ def evaluation_candidates(results: DataFrame, timed: DataFrame, plain: DataFrame
 
 
 def with_verdicts(records: DataFrame, verdicts: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Left join with the defaults of a missing verdict."""
+    """Left join with the defaults of a missing verdict. ``verdicts`` must be unique
+    by ``on`` (see last_wins)."""
     labels = ["primary_error", "severity", "confidence", "review_status"]
     rest = [c for c in verdicts.columns if c not in [*on, *labels, "has_hallucination"]]
     return records.join(verdicts, list(on), "left").select(

@@ -30,7 +30,8 @@ def running(
 
     ``sums``: running sum up to and including the row. ``lasts``: last non-NULL
     value among the rows strictly before it. ``totals``: sum over the whole key.
-    ``keys`` must not be NULL.
+    ``keys`` must not be NULL. The per-key scan meets ``range of seq / block_rows``
+    blocks at most; take larger blocks where ``seq`` is sparse, such as a clock.
     """
     sums, lasts, totals = dict(sums or {}), dict(lasts or {}), dict(totals or {})
     group = [*keys, "_block"]

@@ -12,8 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions.grading import is_success
 from ..operators.rollup import count_if
 from .messages import (
-    APPEND, CLOSE, COMMIT, ERROR, FINAL, KEEPALIVE, PARTIAL, SESSION_UPDATE, chunk_bytes,
-    message_texts, spoken_text,
+    APPEND, AUDIO, CLOSE, COMMIT, CONFIG, ERROR, FINAL, KEEPALIVE, PARTIAL, READY,
+    SESSION_UPDATE, STOP, chunk_bytes, error_text, message_texts, spoken_text,
 )
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -21,6 +21,10 @@ UNITS_DDL = "conn_id bigint, unit bigint, chunks bigint, bytes bigint, commit_se
 TEXTS_DDL = (
     "conn_id bigint, attempt bigint, final_seq bigint, transcript string, from_partial boolean"
 )
+OUTCOMES_DDL = (
+    "conn_id bigint, attempt bigint, status string, error_type string, error_message string, "
+    "in_order boolean, total_time double"
+)
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -100,6 +104,82 @@ class _ResolvedTexts(StatefulProcessor):
         pass
 
 
+class _AttemptOutcomes(StatefulProcessor):
+    """State per connection: number, start, last message, longest wait and first
+    positions of the expected types of the open attempt."""
+
+    def __init__(self, limit_us: int, expected: Sequence[str]) -> None:
+        self._limit = limit_us
+        self._expected = tuple(expected)
+        self._firsts = [f"first_{i}" for i in range(len(self._expected))]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        firsts = "".join(f", {name} bigint" for name in self._firsts)
+        self._open = handle.getValueState(
+            "open", "attempt bigint, started bigint, previous bigint, worst bigint" + firsts
+        )
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
+        blank = (0, None, None, 0) + (None,) * len(self._firsts)
+        attempt, started, previous, worst, *firsts = (
+            self._open.get() if self._open.exists() else blank
+        )
+        batch = _in_order(rows)
+        is_end = batch["type"].isin([FINAL, ERROR, CLOSE])
+        batch["attempt"] = attempt + is_end.cumsum() - is_end
+        before = batch.groupby("attempt")["us"].shift()
+        if previous is not None:
+            before.iloc[0] = previous
+        batch["wait"] = (batch["us"] - before).fillna(0)
+        batch["ended"] = batch["type"].where(is_end)
+        for name, kind in zip(self._firsts, self._expected):
+            batch[name] = batch["seq"].where(batch["type"] == kind)
+        found = batch.groupby("attempt", as_index=False).agg(
+            started=("us", "min"), received=("us", "max"), worst=("wait", "max"),
+            ended=("ended", "last"), error_text=("error_text", "last"),
+            **{name: (name, "min") for name in self._firsts},
+        )
+        # What was carried over belongs to the first attempt of the batch.
+        if started is not None:
+            found.loc[0, "started"] = started
+        found.loc[0, "worst"] = max(worst, found.loc[0, "worst"])
+        for name, seen in zip(self._firsts, firsts):
+            if seen is not None:
+                found.loc[0, name] = seen
+
+        done = found[found["ended"].notna()]
+        error = done["ended"].map({ERROR: "server_error", CLOSE: "websocket_closed"})
+        error = error.mask(done["worst"] > self._limit, "timeout")
+        in_order = pd.Series(True, index=done.index)
+        for earlier, later in zip(self._firsts, self._firsts[1:]):
+            in_order &= done[earlier] < done[later]
+        yield pd.DataFrame(
+            {
+                "conn_id": key[0],
+                "attempt": done["attempt"],
+                "status": error.isna().map({True: "success", False: "failed"}),
+                "error_type": error.astype(object).where(error.notna(), None),
+                "error_message": done["error_text"],
+                "in_order": in_order,
+                "total_time": ((done["received"] - done["started"]) / 1e6).round(2),
+            }
+        )
+
+        now = int(attempt + is_end.sum())
+        rest = found[found["ended"].isna()]
+        if len(rest):
+            row = rest.iloc[-1]
+            seen = [None if pd.isna(row[n]) else int(row[n]) for n in self._firsts]
+            self._open.update(
+                (now, int(row["started"]), int(row["received"]), int(row["worst"]), *seen)
+            )
+        else:
+            self._open.update((now, *blank[1:]))
+
+    def close(self) -> None:
+        pass
+
+
 def stream_commit_units(messages: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Streaming form of commit_units; a unit leaves with its commit."""
     slim = (
@@ -134,6 +214,24 @@ def stream_resolved_texts(messages: DataFrame, watermark: str = "1 hour") -> Dat
     )
 
 
+def stream_attempt_outcomes(
+    messages: DataFrame,
+    limit_seconds: float,
+    expected: Sequence[str] = (CONFIG, READY, AUDIO, STOP, FINAL),
+    watermark: str = "1 hour",
+) -> DataFrame:
+    """Streaming form of attempt_outcomes and handshake_order, with the total time;
+    a row leaves with the ending message of its attempt."""
+    slim = messages.withWatermark("ts", watermark).select(
+        "conn_id", "seq", "type", F.unix_micros("ts").alias("us"),
+        F.when(F.col("type") == ERROR, error_text(F.col("payload"))).alias("error_text"),
+    )
+    return slim.groupBy("conn_id").transformWithStateInPandas(
+        _AttemptOutcomes(int(limit_seconds * 1e6), expected),
+        outputStructType=OUTCOMES_DDL, outputMode="Append", timeMode="None",
+    )
+
+
 def stream_keepalives(
     messages: DataFrame, window: str = "1 hour", watermark: str = "1 hour"
 ) -> DataFrame:
