@@ -89,3 +89,5 @@ def test_signal_helpers(values):
     assert got[0][3] == pytest.approx(4 / 5)
     assert got[0][2] == pytest.approx((2.5625 / 5) ** 0.5)
     assert got[1][0] == []
+    back = values("x array<double>", rows[:1], s.to_float(s.to_int16(x)))[0][0]
+    assert back == pytest.approx(rows[0][0], abs=1e-4)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from uttermark.functions.text import canonical_stem, file_stem, timed_aliases
 from uttermark.operators import (
-    bootstrap, checks, compare, judge, matching, quantiles, rollup, runlog, scan, stability,
+    bootstrap, checks, compare, judge, matching, quantiles, rollup, runlog, scan, scoring, stability,
     superiority, triage,
 )
 
@@ -172,6 +172,30 @@ def test_matching(spark):
     assert joined["c.wav"]["severity"] == "unknown" and joined["c.wav"]["has_hallucination"] is False
 
 
+def test_scoring_and_candidates(spark):
+    schema = ("engine string, run_id string, file string, status string, transcript string, "
+              "duration double, inference_rtf double")
+    results = spark.createDataFrame(
+        [("e", "r", "a.mp3", "success", "Hello!!!!! there", 10.0, 0.05), ("e", "r", "b.mp3", "success", "", 1.0, 0.05),
+         ("e", "r", "c.mp3", "failed", None, None, None), ("e", "r", "silence.wav", "success", "x", 60.0, 0.05),
+         ("e", "r", "d.mp3", "success", "zzzzzz", 1.0, None), ("e", "r", "quiet", "success", "", 1.0, 0.05)], schema)
+    refs = spark.createDataFrame(
+        [("a.mp3", "hello!!!!! there"), ("b.mp3", "words"), ("c.mp3", "w"), ("silence.wav", "x"), ("quiet", "。")],
+        "file string, ref_text string")
+    got = {r["file"]: (r["rf"], r["cer"], r["grade"]) for r in scoring.score_results(results, refs).collect()}
+    assert got == {
+        "a.mp3": (1, "0.00%", "S (Excellent)"), "b.mp3": (0, "N/A (Empty)", "F (Fail)"),
+        "c.mp3": (0, "N/A", "ERROR"), "silence.wav": (0, "0.00%", "B (Fair)"),
+        "d.mp3": (1, "N/A", "B"), "quiet": (0, "0.00%", "S (Excellent)"),
+    }
+    plain = spark.createDataFrame([("a", "ref a")], "canonical_id string, gt_plain string")
+    timed = spark.createDataFrame([], "canonical_id string, gt_timestamped string")
+    scored = scoring.score_results(results, refs)
+    prompts = judge.build_prompts(matching.candidate_rows(matching.evaluation_candidates(scored, timed, plain)))
+    kinds = dict(rows_of(prompts.select("filename", "reference_kind")))
+    assert kinds["a.mp3"] == "plain" and kinds["d.mp3"] == "none" and "c.mp3" not in kinds
+
+
 def test_missing_runs(spark):
     df = spark.createDataFrame(
         [("e", "a", "r1"), ("e", "a", "r2"), ("e", "b", "r2"), ("e", "a", "r1")],

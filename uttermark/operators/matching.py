@@ -51,6 +51,21 @@ def evaluation_candidates(results: DataFrame, timed: DataFrame, plain: DataFrame
     return keyed.join(timed, "canonical_id", "left").join(plain, "canonical_id", "left")
 
 
+def candidate_rows(matched: DataFrame) -> DataFrame:
+    """Matched results in the shape that prompts are built from."""
+    return matched.select(
+        F.col("file").alias("filename"),
+        "canonical_id",
+        F.coalesce("transcript", F.lit("")).alias("hyp_transcript"),
+        "gt_timestamped",
+        "gt_plain",
+        "duration",
+        F.col("cer").alias("existing_cer"),
+        F.coalesce("rf", F.lit(0)).alias("existing_rf"),
+        F.col("inference_rtf").alias("existing_inference_rtf"),
+    )
+
+
 def with_verdicts(records: DataFrame, verdicts: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left join with the defaults of a missing verdict. ``verdicts`` must be unique
     by ``on`` (see last_wins)."""

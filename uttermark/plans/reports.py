@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.grading import evidence_or, winner
 from ..operators import checks, compare, rollup, triage
 from ..operators.superiority import superiority
+from ..session import reusable
 from ..sources import sinks
 from .bindings import (
     FILES, JUDGED, LEFT_ENGINE, RECORDS, RIGHT_ENGINE, judged, records, table, with_sql,
@@ -97,7 +98,7 @@ def case_studies(spark, root):
 
     facts = judged(spark, root)
     both = facts.filter(F.col("engine").isin(LEFT_ENGINE, RIGHT_ENGINE))
-    sides = rollup.file_grain(both)
+    sides = reusable(rollup.file_grain(both))
     main = sides.filter(F.col("engine") == LEFT_ENGINE).select(
         "file", "cer_mean", "cer_std", "hallucination_rate"
     )

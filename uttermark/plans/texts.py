@@ -170,6 +170,55 @@ def row_grades(spark, root):
     return rows.select("conv_id", "turn", grade.alias("grade"))
 
 
+@query("scored_results", with_sql("pairs", body=SCORED + f"""
+, results AS (SELECT concat(CASE WHEN conv_id % 3 = 0 THEN 'silence_' ELSE 'call_' END, conv_id, '_', turn) AS file,
+    concat('r', conv_id % 5) AS run_id, CASE WHEN conv_id % 9 = 0 THEN 'failed' ELSE 'success' END AS status,
+    CASE WHEN turn % 7 = 6 THEN '' ELSE hyp END AS transcript, (turn * 1000)::DOUBLE AS duration,
+    (turn % 10) / 20.0::DOUBLE AS rtf, CASE WHEN conv_id % 4 <> 1 THEN ref END AS ref FROM pairs),
+h AS (SELECT run_id, CASE WHEN sum(duration) > 0 THEN sum(length(transcript)) / (sum(duration) / 60) ELSE 0.0 END AS hrs
+    FROM results WHERE file LIKE 'silence%' GROUP BY run_id),
+chars AS (SELECT file, unnest(string_split(transcript, '')) AS c,
+    generate_subscripts(string_split(transcript, ''), 1) AS i FROM results),
+islands AS (SELECT file, c, i - row_number() OVER (PARTITION BY file, c ORDER BY i) AS g FROM chars),
+reps AS (SELECT file, count(*) AS rf FROM (SELECT file FROM islands GROUP BY file, c, g HAVING count(*) >= 5) GROUP BY file),
+n AS (SELECT *, {_norm('transcript')} AS nh, {_norm('ref')} AS nr FROM results LEFT JOIN h USING (run_id)
+    LEFT JOIN reps USING (file)),
+v AS (SELECT *, CASE WHEN status <> 'success' OR ref IS NULL OR (nh = '' AND nr <> '') THEN NULL
+    WHEN length(nr) > 0 THEN levenshtein(nh, nr) / length(nr) WHEN length(nh) > 0 THEN 1.0 ELSE 0.0 END AS cer,
+    CASE WHEN file LIKE 'silence%' THEN coalesce(hrs, 0) ELSE 0.0 END AS g FROM n)
+SELECT file, status, round(cer, 9) AS cer_value,
+    CASE WHEN cer IS NOT NULL THEN 'scored' WHEN status = 'success' AND ref IS NOT NULL THEN 'N/A (Empty)' ELSE 'N/A' END AS cer_kind, coalesce(rf, 0)::INTEGER AS rf,
+    CASE WHEN status <> 'success' THEN 'ERROR'
+    WHEN ref IS NULL THEN CASE WHEN rtf < 0.2 AND coalesce(rf, 0) = 0 THEN 'A' WHEN rtf < 0.5 THEN 'B' ELSE 'F' END
+    WHEN nh = '' AND nr <> '' THEN 'F (Fail)' WHEN g = 0 AND cer < 0.01 AND rtf < 0.1 THEN 'S (Excellent)'
+    WHEN g < 0.5 AND cer < 0.03 AND rtf < 0.2 THEN 'A (Good)'
+    WHEN g < 2.0 AND cer < 0.10 AND rtf < 0.5 THEN 'B (Fair)' ELSE 'F (Fail)' END AS grade
+FROM v"""))
+def scored_results(spark, root):
+    from ..operators.scoring import score_results
+
+    conv, turn = F.col("conv_id"), F.col("turn")
+    name = F.concat(
+        F.when(conv % 3 == 0, "silence_").otherwise("call_"), conv.cast("string"), F.lit("_"),
+        turn.cast("string"),
+    )
+    rows = turn_pairs(spark, root).withColumn("file", name)
+    results = rows.select(
+        F.lit("e").alias("engine"), F.concat(F.lit("r"), (conv % 5).cast("string")).alias("run_id"),
+        "file", F.when(conv % 9 == 0, "failed").otherwise("success").alias("status"),
+        F.when(turn % 7 == 6, "").otherwise(F.col("hyp")).alias("transcript"),
+        (turn * 1000).cast("double").alias("duration"),
+        ((turn % 10) / 20).alias("inference_rtf"),
+    )
+    references = rows.filter(conv % 4 != 1).select("file", F.col("ref").alias("ref_text"))
+    scored = score_results(results, references)
+    kind = F.when(F.col("cer").endswith("%"), "scored").otherwise(F.col("cer"))
+    return scored.select(
+        "file", "status", F.round("cer_value", 9).alias("cer_value"), kind.alias("cer_kind"),
+        "rf", "grade",
+    )
+
+
 @query("quality_tiers", with_sql(*RECORDS, body="""
 SELECT engine, CASE WHEN cer_bp IS NULL THEN 'unknown' WHEN cer_bp <= 2000 THEN 'good'
     WHEN cer_bp <= 5000 THEN 'fair' ELSE 'poor' END AS tier, count(*) AS n
