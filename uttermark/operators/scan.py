@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BLOCK_ROWS = 1 << 20
+BLOCK_ROWS = 1 << 18
 
 
 def running(
