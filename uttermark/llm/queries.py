@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash, packing, warc  # noqa: F401
+from . import langid, minhash, packing, warc  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
