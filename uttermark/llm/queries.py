@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, langid, minhash, packing, warc  # noqa: F401
+from . import decontam, embeddings, langid, minhash, packing, warc  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
