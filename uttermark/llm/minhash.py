@@ -2,9 +2,10 @@
 
 Every permutation keeps its minimum and its maximum, so a signature of 2h values costs
 h hash evaluations. Signatures are banded; documents that meet in a band bucket are
-compared on their full shingle sets, first with the bucket's smallest document, then
-across the components that this leaves apart in a bucket. Documents of equal sets are
-one class from the start, so copies never meet each other as pairs.
+compared on their full shingle sets, first with the bucket's smallest document. Documents
+of buckets that this leaves in several components are then compared across components,
+where prefixes of their rarest shingles meet. Documents of equal sets are one class from
+the start, so copies never meet each other as pairs.
 
 Defined cases: a text that is null or without words has the empty set and links with
 nothing; a text of fewer words than a shingle has one shingle, the whole sequence. A row
@@ -20,11 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import components, written
+from .common import components, table, written
 from .registry import query
-from .common import table
 
 MISS = 1e-5  # chance that a pair exactly at the threshold meets in no band
 ROWS = 7  # values in a band
@@ -209,6 +209,69 @@ def _with_both(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
     return pairs.join(left, "a").join(right, "b")
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(v.as_buffer(), np.int64) for v in _arrow(batch, "shingles")]
+        if sets:
+            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(offsets, np.concatenate(sets))
+            yield pa.RecordBatch.from_arrays(
+                [_arrow(batch, c) for c in ("node", "component", "n")] + [lists],
+                names=["node", "component", "n", "shingles"],
+            )
+
+
+def _across(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate pairs from different components among ``sets`` (node, component, n,
+    shingles), by prefixes in the order of rising frequency: two sets of similarity t
+    share one of the n - ceil(t n) + 1 rarest shingles of the larger and one of the
+    n - ceil(2 t n / (1 + t)) + 1 rarest of the smaller. Texts that share a passage but
+    not their rare shingles never meet, however many they are, and no link is lost."""
+    listed = sets.mapInArrow(
+        _listed, "node bigint, component bigint, n bigint, shingles array<bigint>"
+    )
+    entries = written(
+        listed.select("node", "component", "n", F.explode("shingles").alias("shingle")), "entries"
+    )
+    often = entries.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("df"),
+        F.min("component").alias("c1"),
+        F.max("component").alias("c2"),
+    )
+    order = Window.partitionBy("node").orderBy("df", "shingle")
+    wide = F.expr(f"n - ({num} * n + {den} - 1) div {den} + 1")
+    narrow = F.expr(f"n - ({2 * num} * n + {num + den} - 1) div {num + den} + 1")
+    prefix = written(
+        entries.join(often, "shingle")
+        .withColumn("rank", F.row_number().over(order))
+        .filter((F.col("rank") <= wide) & (F.col("c1") < F.col("c2")))
+        .select(
+            "shingle", "node", "component", "n", "rank", (F.col("rank") <= narrow).alias("narrow")
+        ),
+        "prefix",
+    )
+    small = prefix.filter("narrow").select(
+        "shingle",
+        F.col("node").alias("a"),
+        F.col("component").alias("ca"),
+        F.col("n").alias("na"),
+        F.col("rank").alias("ra"),
+    )
+    # The first shingle that a linked pair shares leaves enough others behind it.
+    behind = 1 + F.least(F.col("n") - F.col("rank"), F.col("na") - F.col("ra"))
+    return (
+        prefix.join(small, "shingle")
+        .filter(
+            (F.col("component") != F.col("ca"))
+            & ((F.col("n") > F.col("na")) | ((F.col("n") == F.col("na")) & (F.col("node") > F.col("a"))))
+            & (den * F.col("na") >= num * F.col("n"))
+            & ((num + den) * behind >= num * (F.col("n") + F.col("na")))
+        )
+        .select("a", F.col("node").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Components of documents linked by a Jaccard similarity of at least num / den on
     sets of ``words``-word shingles.
@@ -244,6 +307,15 @@ def near_duplicates(docs: DataFrame, words: int, num: int, den: int) -> DataFram
         """No two sets of these sizes can be linked otherwise."""
         return den * F.least(x, y) >= num * F.greatest(x, y)
 
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """``nodes`` with the shingle set of each node."""
+        named = classes.select("node", "k1", "n").join(nodes, "node")
+        sets = texts.join(named.select(F.col("node").alias("doc_id")), "doc_id").mapInArrow(
+            _sets(words), "node bigint, k1 bigint, shingles binary"
+        )
+        # A repeated id may stand for several texts; the name of the set picks the right one.
+        return sets.join(named, ["node", "k1"]).dropDuplicates(["node", "k1"])
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         likely = written(
             _with_both(pairs, classes, "sketch").mapInArrow(
@@ -252,14 +324,7 @@ def near_duplicates(docs: DataFrame, words: int, num: int, den: int) -> DataFram
             "likely",
         )
         needed = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-        names = classes.select("node", "k1").join(needed, "node")
-        sets = texts.join(names.select(F.col("node").alias("doc_id")), "doc_id").mapInArrow(
-            _sets(words), "node bigint, k1 bigint, shingles binary"
-        )
-        # A repeated id may stand for several texts; the name of the set picks the right one.
-        sets = written(
-            sets.join(names, ["node", "k1"]).dropDuplicates(["node", "k1"]), "sets"
-        )
+        sets = written(sets_of(needed), "sets")
         return written(
             _with_both(likely, sets, "shingles").mapInArrow(
                 _confirm(num, den), "a bigint, b bigint"
@@ -274,34 +339,25 @@ def near_duplicates(docs: DataFrame, words: int, num: int, den: int) -> DataFram
     )
     known = components(near_first)
 
-    # A bucket whose members are in one component is settled. Elsewhere, only pairs from
-    # different components are left to look at, and none with the first member.
-    all_members = members.select("bucket", "node", "n").unionByName(
-        buckets.select("bucket", F.col("pivot").alias("node"), F.col("pivot_n").alias("n"))
+    # A bucket whose members are in one component is settled. For the documents of the
+    # others, the pairs left to look at lie across components.
+    all_members = members.select("bucket", "node").unionByName(
+        buckets.select("bucket", F.col("pivot").alias("node"))
     )
     placed = written(
         all_members.join(known, "node", "left").select(
-            "bucket", "node", "n", F.coalesce("component", "node").alias("component")
+            "bucket", "node", F.coalesce("component", "node").alias("component")
         ),
         "placed",
     )
     open_buckets = (
         placed.groupBy("bucket")
-        .agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("node").alias("pivot"))
+        .agg(F.min("component").alias("c1"), F.max("component").alias("c2"))
         .filter("c1 < c2")
-        .select("bucket", "pivot")
-    )
-    rest = written(
-        placed.join(open_buckets, "bucket").filter("node <> pivot").drop("pivot"), "open"
-    )
-    other = rest.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"),
-                        F.col("component").alias("cb"))
-    across = (
-        rest.join(other, "bucket")
-        .filter((F.col("component") < F.col("cb")) & sized("n", "nb"))
-        .select(F.col("node").alias("a"), "b")
-        .distinct()
+        .select("bucket")
     )
+    rest = placed.join(open_buckets, "bucket").select("node", "component").distinct()
+    across = _across(written(sets_of(rest), "open"), num, den)
     links = near_first.unionByName(confirmed(across))
     reached = components(links)
 
