@@ -1,26 +1,66 @@
-"""From raw documents to packed sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
+
+Defined cases are those of the operators. A document whose text is null, has no letter or
+lies between languages is rejected by the first stage; one that had lines and loses all of
+them to other documents is dropped by the second. ``n_chars`` follows the text. Extra
+columns stay up to the last stage.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from uttermark.llm.common import new_path
+from uttermark.llm.common import new_path, table
+from uttermark.llm.decontam import without_contaminated
+from uttermark.llm.langid import identify, learn
+from uttermark.llm.lines import dedup_lines
 from uttermark.llm.minhash import without_near_duplicates
+from uttermark.llm.packing import pack
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    known = learn(docs.select("doc_id", "text", "lang"), F.lit(True))
+    rows = docs.select("text", F.struct("*").alias("row"))
+    return identify(rows, known).filter("NOT rejected").select("row.*")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = dedup_lines(docs, counts=("_all_lines", "_gone_lines"))
+    kept = found.filter("_gone_lines = 0 OR text rlike '\\\\S'")
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        kept = kept.withColumn("n_chars", F.char_length("text").cast(kind))
+    return kept.select(*docs.columns)
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_near_duplicates(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("lines", lines),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("packing", packing),
+]
 
-#: Compression classes, min-max signatures and a tokenizer's ids are beyond SQL.
+#: Compressed sizes, signatures and a tokenizer's ids are beyond SQL; tests compare each
+#: stage with a brute-force version instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``; each is written as Parquet and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
@@ -29,4 +69,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load():
+    """The query ``pipeline`` and its SQL twin, if any."""
     return {"pipeline": run}, {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,9 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def unhex64(column: Column) -> Column:
-    """A 64-bit hash as BIGINT out of 16 hex digits."""
-    return F.conv(column, 16, -10).cast("bigint")
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a written table of narrow rows, marked for broadcast if its counted rows
+    are few. Beyond that Spark joins by shuffle, and splits skewed partitions."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .common import table
 from .registry import query
@@ -41,8 +41,6 @@ EVIDENCE = 24
 UNKNOWN = "und"
 APART = re.compile(r"[\W\d_]+")
 
-PREDICTED = "lang_pred string, score double, rejected boolean"
-
 
 def letters(text: str) -> bytes:
     """Lower-case words of letters alone: digits, marks and symbols tell no language."""
@@ -123,8 +121,13 @@ def identify(
     made = ("lang_pred", "score", "rejected")
     kept = docs.drop(*made)
     at = kept.columns.index("text")
-    fields = ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields
+    schema = T.StructType(
+        [
+            *kept.schema.fields,
+            T.StructField("lang_pred", T.StringType()),
+            T.StructField("score", T.DoubleType()),
+            T.StructField("rejected", T.BooleanType()),
+        ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +147,7 @@ def identify(
                     names=[*batch.schema.names, *made],
                 )
 
-    return kept.mapInArrow(run, f"{fields}, {PREDICTED}")
+    return kept.mapInArrow(run, schema)
 
 
 def held_out() -> Column:

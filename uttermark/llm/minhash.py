@@ -94,7 +94,8 @@ class MinMax:
 
 
 SIGNED = (
-    "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch binary"
+    "doc_id bigint, text_hash bigint, n_shingles bigint, k1 bigint, k2 bigint, "
+    "bands array<bigint>, sketch binary"
 )
 
 
@@ -128,13 +129,14 @@ def _sign(words: int, bands: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         _arrow(batch, "doc_id"),
+                        _arrow(batch, "text_hash"),
                         pa.array(sizes, pa.int64()),
                         pa.array(one, pa.int64()),
                         pa.array(two, pa.int64()),
                         pa.ListArray.from_arrays(offsets, np.concatenate(rows)),
                         pa.array(sketches, pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"],
+                    names=["doc_id", "text_hash", "n_shingles", "k1", "k2", "bands", "sketch"],
                 )
 
     return run
@@ -221,18 +223,12 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _across(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs from different components among ``sets`` (node, component, n,
-    shingles), by prefixes in the order of rising frequency: two sets of similarity t
-    share one of the n - ceil(t n) + 1 rarest shingles of the larger and one of the
-    n - ceil(2 t n / (1 + t)) + 1 rarest of the smaller. Texts that share a passage but
-    not their rare shingles never meet, however many they are, and no link is lost."""
-    listed = sets.mapInArrow(
-        _listed, "node bigint, component bigint, n bigint, shingles array<bigint>"
-    )
-    entries = written(
-        listed.select("node", "component", "n", F.explode("shingles").alias("shingle")), "entries"
-    )
+def prefix_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate pairs (a, b) from different components among sets, given as rows (node,
+    component, n, shingle), by prefixes in the order of rising frequency: two sets of
+    similarity t share one of the n - ceil(t n) + 1 rarest shingles of the larger and one
+    of the n - ceil(2 t n / (1 + t)) + 1 rarest of the smaller. Texts that share a passage
+    but not their rare shingles never meet, however many they are, and no link is lost."""
     often = entries.groupBy("shingle").agg(
         F.count(F.lit(1)).alias("df"),
         F.min("component").alias("c1"),
@@ -279,8 +275,16 @@ def near_duplicates(docs: DataFrame, words: int, num: int, den: int) -> DataFram
     Returns one row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id,
     kept. ``kept`` marks the smallest id of each component.
     """
+    return _judged(docs, words, num, den).drop("text_hash")
+
+
+def _judged(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     bands = band_count(num / den)
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    texts = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.xxhash64("text").alias("text_hash"),
+        F.col("text").cast("binary").alias("text"),
+    )
     signed = written(texts.mapInArrow(_sign(words, bands), SIGNED), "signed")
     filled = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(
@@ -357,7 +361,11 @@ def near_duplicates(docs: DataFrame, words: int, num: int, den: int) -> DataFram
         .select("bucket")
     )
     rest = placed.join(open_buckets, "bucket").select("node", "component").distinct()
-    across = _across(written(sets_of(rest), "open"), num, den)
+    listed = written(sets_of(rest), "open").mapInArrow(
+        _listed, "node bigint, component bigint, n bigint, shingles array<bigint>"
+    )
+    entries = listed.select("node", "component", "n", F.explode("shingles").alias("shingle"))
+    across = prefix_pairs(written(entries, "entries"), num, den)
     links = near_first.unionByName(confirmed(across))
     reached = components(links)
 
@@ -365,10 +373,11 @@ def near_duplicates(docs: DataFrame, words: int, num: int, den: int) -> DataFram
         "k1", "k2", F.coalesce("component", "node").alias("component")
     )
     return (
-        signed.select("doc_id", "n_shingles", "k1", "k2")
+        signed.select("doc_id", "text_hash", "n_shingles", "k1", "k2")
         .join(found, ["k1", "k2"], "left")
         .select(
             "doc_id",
+            "text_hash",
             "n_shingles",
             F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias(
                 "component_id"
@@ -379,15 +388,24 @@ def near_duplicates(docs: DataFrame, words: int, num: int, den: int) -> DataFram
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns. Of rows that repeat the
-    kept id, one of each text stays."""
-    gone = (
-        near_duplicates(docs.select("doc_id", "text"), words, num, den)
-        .filter("NOT kept")
-        .select("doc_id")
-        .distinct()
-    )
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates()
+    """The rows of ``docs`` that are kept, with all their columns. Of rows that repeat both
+    id and text, one stays."""
+    judged = written(_judged(docs.select("doc_id", "text"), words, num, den), "judged")
+    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    same = ["doc_id", "_hash"]
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.select("doc_id", F.col("text_hash").alias("_hash"))
+
+    left = keyed.join(named(judged.filter("NOT kept")).distinct(), same, "left_anti")
+    repeated = written(
+        named(judged.filter("kept AND doc_id IS NOT NULL")).groupBy(*same).count().filter("count > 1"),
+        "repeated",
+    ).drop("count")
+    if not repeated.isEmpty():
+        once = left.join(repeated, same, "left_semi").dropDuplicates(same)
+        left = left.join(repeated, same, "left_anti").unionByName(once)
+    return left.select(*docs.columns)
 
 
 SQL = r"""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontam, embeddings, langid, minhash, packing, warc  # noqa: F401
+from . import (  # noqa: F401
+    decontam, embeddings, htmltext, langid, lines, minhash, packing, pii, secrets, warc,
+)
 from .registry import ORACLES, QUERIES
 
 
