@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from uttermark.functions import text
 from uttermark.functions.text import canonical_stem, file_stem, timed_aliases
 from uttermark.operators import (
     bootstrap, checks, compare, judge, matching, quantiles, rollup, runlog, scan, scoring, stability,
@@ -105,7 +106,10 @@ def test_bootstrap_is_reproducible_and_brackets_the_mean(spark):
         df.repartition(3, "v"), ["key"], "v", "id", seed=9, replicas=400)))
     assert [r[0] for r in one] == [r[0] for r in two]
     assert [r[1:] for r in one] == [pytest.approx(r[1:]) for r in two]
+    drawn = {r[0]: r[1:] for r in rows_of(bootstrap.bootstrap_mean(*args, seed=9, replicas=400, method="draws"))}
+    assert drawn["single"] == (42.0, 42.0)
     ci = {k: (lo, hi) for k, lo, hi in one}
+    assert drawn["large"] == pytest.approx(ci["large"], rel=0.02)
     assert ci["single"] == (42.0, 42.0)
     for key, n in [("small", 30), ("large", 500)]:
         vals = [v for k, _, v in data if k == key]
@@ -119,10 +123,10 @@ def test_bootstrap_is_reproducible_and_brackets_the_mean(spark):
 
 def test_draws_and_weights_are_even(spark):
     df = spark.createDataFrame([("s", i, float(i)) for i in range(50)], "key string, id long, v double")
-    small = bootstrap.resample(df, ["key"], "v", "id", seed=1, replicas=400)
+    small = bootstrap.resample(df, ["key"], "v", "id", seed=1, replicas=400, method="draws")
     counts = dict(rows_of(small.groupBy("value").count()))
     assert len(counts) == 50 and min(counts.values()) > 300 and max(counts.values()) < 510
-    large = bootstrap.resample(df, ["key"], "v", "id", seed=1, replicas=400, exact_max=10)
+    large = bootstrap.resample(df, ["key"], "v", "id", seed=1, replicas=400)
     mean, var = large.agg(F.avg("weight"), F.var_pop("weight")).first()
     assert mean == pytest.approx(1, abs=0.03) and var == pytest.approx(1, abs=0.06)
 
@@ -349,3 +353,16 @@ def test_checks(spark):
 def test_stem_agreement(values):
     assert values("a string, b string", [("A (1).mp3", "a_(1).txt")],
                   canonical_stem(F.col("a")) == canonical_stem(F.col("b"))) == [(True,)]
+
+
+def test_round_exact_rounds_like_correct_decimal_rounding(spark):
+    rng = random.Random(8)
+    values = [0.0625, 1 / 32, 0.5, 1.5, 2.5, 0.0005, 0.0015, 0.0025, 0.0045, 0.1245, 2.675, 1.005, 0.0, -0.0625, -2.675]
+    values += [rng.random() * 10 ** rng.randint(-3, 6) for _ in range(2000)]
+    values += [(rng.randint(0, 10**6) + 0.5) / 1000 for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = rows_of(df.select("v", *[text.round_exact(F.col("v"), d) for d in (2, 3, 4)],
+                            *[text.fixed_text(F.col("v"), d) for d in (1, 2)],
+                            text.fixed_text(F.col("v"), 3, sign=True)))
+    for v, *found in got:
+        assert found == [round(v, 2), round(v, 3), round(v, 4), f"{v:.1f}", f"{v:.2f}", f"{v:+.3f}"]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .text import round_exact
+
 # Grade labels, tier cut-offs (percent), media suffixes, silence words.
 GRADE_S, GRADE_A, GRADE_B, GRADE_F = "S (Excellent)", "A (Good)", "B (Fair)", "F (Fail)"
 TIER_GOOD, TIER_FAIR = 20, 50
@@ -45,7 +47,7 @@ def is_media(path: Column) -> Column:
 
 def ratio(seconds: Column, duration: Column) -> Column:
     """Real-time factor at three decimals; 0 for an empty recording."""
-    return F.when(duration > 0, F.round(seconds / duration, 3)).otherwise(F.lit(0.0))
+    return F.when(duration > 0, round_exact(seconds / duration, 3)).otherwise(F.lit(0.0))
 
 
 def quality_grade(hrs: Column, cer: Column, rtf: Column) -> Column:

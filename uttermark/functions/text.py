@@ -108,9 +108,45 @@ def percent_text_basis_points(text: Column) -> Column:
     ).cast("bigint")
 
 
+def round_exact(value: Column, digits: int) -> Column:
+    """The DOUBLE nearest to the decimal that is nearest to the exact binary value, exact
+    ties to even. ``round`` and ``bround`` decide on the shortest decimal text instead.
+
+    ``low`` is what the product loses to rounding, by Dekker's split of both factors into
+    halves; it tells on which side of the tie a product lies that looks like one.
+    """
+    scale = float(10**digits)
+    value = value.cast("double")
+    product = value * scale
+    half = value * 134217729.0
+    top = half - (half - value)
+    rest = value - top
+    scale_top = scale * 134217729.0 - (scale * 134217729.0 - scale)
+    scale_rest = scale - scale_top
+    low = ((top * scale_top - product) + top * scale_rest + rest * scale_top) + rest * scale_rest
+    floor = F.floor(product)
+    over = product - floor
+    up = (over > 0.5) | (
+        (over == 0.5) & ((low > 0) | ((low == 0) & (F.pmod(floor, F.lit(2)) == 1)))
+    )
+    rounded = (floor + F.when(up, 1).otherwise(0)) / scale
+    # From 2^50 on the spacing of doubles leaves nothing to round.
+    return F.when(F.abs(product) < 2.0**50, rounded).otherwise(value)
+
+
+def fixed_text(value: Column, digits: int, sign: bool = False) -> Column:
+    """Text with a fixed number of decimals, rounded like ``round_exact``."""
+    form = f"%{'+' if sign else ''}.{digits}f"
+    rounded = round_exact(value, digits)
+    # A negative value that rounds to zero keeps its sign.
+    return F.when((rounded == 0) & (value < 0), "-" + f"%.{digits}f" % 0).otherwise(
+        F.format_string(form, rounded)
+    )
+
+
 def percent_text(fraction: Column) -> Column:
     """Fraction -> two-decimal percent text, the stored form of a CER."""
-    return F.format_string("%.2f%%", fraction * 100)
+    return F.concat(fixed_text(fraction * 100, 2), F.lit("%"))
 
 
 def transcript_hash(text: Column) -> Column:

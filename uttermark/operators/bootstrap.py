@@ -1,9 +1,13 @@
 """Reproducible bootstrap intervals.
 
 Draws come from integer arithmetic on (seed, replicate, row), so they are equal on
-every retry, on every cluster size and in any SQL engine. Small groups are
-resampled exactly (n draws with replacement); above ``exact_max`` rows a group
-uses Poisson(1) weights per row, which combine before the shuffle.
+every retry, on every cluster size and in any SQL engine. By default each row gets a
+Poisson(1) weight in each replicate, whatever the size of its group; weights combine
+before the shuffle. A caller may ask for ``method="draws"`` instead, n draws with
+replacement from a group of n, which gathers each group in an array.
+
+A replicate in which all weights of a group are 0 has no mean and is left out of the
+percentiles, so a single row gives (x, x).
 """
 
 from __future__ import annotations
@@ -12,18 +16,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .joins import join_null_safe
 from .superiority import superiority
 
 PRIME = 2147483647  # 2^31 - 1; products of two residues fit a BIGINT
 REPLICAS = 2000
-EXACT_MAX = 200
+METHODS = ("poisson", "draws")
 
 # Upper ends of the Poisson(1) distribution function, as shares of PRIME.
 POISSON_STEPS = (
     0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
     0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
-    0.999998874797402,
+    0.999998874797402, 0.9999998885745216, 0.9999999899522336, 0.9999999991683892,
 )
 
 
@@ -66,49 +69,50 @@ def resample(
     *,
     seed: int,
     replicas: int = REPLICAS,
-    exact_max: int = EXACT_MAX,
+    method: str = "poisson",
 ) -> DataFrame:
     """Resampled rows (keys, rep, value, weight), NULL values skipped.
 
     ``row_id`` is a BIGINT that orders the rows of a key and is unique within it.
     Needs at least one key column.
     """
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}")
     rows = df.select(
         *keys, F.col(value).cast("double").alias("value"), F.col(row_id).alias("_row")
     ).filter(F.col("value").isNotNull())
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     last = F.lit(replicas - 1).cast("bigint")
     reps = F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("rep")
-
-    # Groups of at most exact_max rows: an array of known size, then n draws each.
-    small = (
-        join_null_safe(rows, sizes.filter(F.col("_n") <= exact_max), keys)
-        .groupBy(*keys)
+    if method == "poisson":
+        # Rows are spread by their number first: moving a row once is nothing beside
+        # making `replicas` draws for it, and neither a hot key nor an uneven input split
+        # keeps one task busy.
+        weighted = _with_draw(
+            rows.repartition("_row").select(*keys, "value", "_row", reps),
+            "_draw", seed, F.col("rep"), F.col("_row"),
+        )
+        return _sealed(
+            weighted.select(*keys, "rep", "value", poisson_weight(F.col("_draw")).alias("weight")),
+            keys,
+        )
+    groups = (
+        rows.groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("_row", "value"))).alias("_rows"))
         .select(*keys, F.col("_rows.value").alias("_values"))
         .withColumn("_n", F.size("_values").cast("bigint"))
     )
     places = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("_pos")
-    drawn = small.select(*keys, "_values", "_n", reps).select("*", places)
+    drawn = groups.select(*keys, "_values", "_n", reps).select("*", places)
     drawn = _with_draw(drawn, "_draw", seed, F.col("rep"), F.col("_pos"))
-    exact = drawn.select(
-        *keys,
-        "rep",
-        F.get(F.col("_values"), (F.col("_draw") % F.col("_n")).cast("int")).alias("value"),
-        F.lit(1).cast("bigint").alias("weight"),
-    )
-
-    # Larger groups: one weight per row and replicate. Rows are spread by their number
-    # first: moving a row once is nothing beside making `replicas` draws for it, and
-    # neither a hot key nor an uneven input split keeps one task busy.
-    large = join_null_safe(rows, sizes.filter(F.col("_n") > exact_max), keys).repartition("_row")
-    weighted = _with_draw(
-        large.select(*keys, "value", "_row", reps), "_draw", seed, F.col("rep"), F.col("_row")
-    )
-    poisson = weighted.select(
-        *keys, "rep", "value", poisson_weight(F.col("_draw")).alias("weight")
+    return _sealed(
+        drawn.select(
+            *keys,
+            "rep",
+            F.get(F.col("_values"), (F.col("_draw") % F.col("_n")).cast("int")).alias("value"),
+            F.lit(1).cast("bigint").alias("weight"),
+        ),
+        keys,
     )
-    return _sealed(exact, keys).unionByName(_sealed(poisson, keys))
 
 
 def bootstrap_mean(
@@ -119,11 +123,11 @@ def bootstrap_mean(
     *,
     seed: int,
     replicas: int = REPLICAS,
-    exact_max: int = EXACT_MAX,
+    method: str = "poisson",
 ) -> DataFrame:
     """95 % interval of the mean per key: (keys, ci_low, ci_high)."""
     draws = resample(
-        df, keys, value, row_id, seed=seed, replicas=replicas, exact_max=exact_max
+        df, keys, value, row_id, seed=seed, replicas=replicas, method=method
     )
     means = draws.groupBy(*keys, "rep").agg(
         F.try_divide(F.sum(F.col("value") * F.col("weight")), F.sum("weight")).alias("_m")
@@ -145,12 +149,12 @@ def bootstrap_superiority(
     right: str,
     seed: int,
     replicas: int = REPLICAS,
-    exact_max: int = EXACT_MAX,
+    method: str = "poisson",
 ) -> DataFrame:
     """95 % interval of P(right < left) per key, both sides resampled."""
     both = df.filter(F.col(side).isin(left, right))
     draws = resample(
-        both, [*keys, side], value, row_id, seed=seed, replicas=replicas, exact_max=exact_max
+        both, [*keys, side], value, row_id, seed=seed, replicas=replicas, method=method
     )
     per_rep = superiority(
         draws,

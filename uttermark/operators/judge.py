@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.text import parse_cer, percent_text
+from ..functions.text import parse_cer, percent_text, round_exact
 from .joins import join_null_safe
 from .rollup import count_if
 from .scan import BLOCK_ROWS, row_position
@@ -228,14 +228,14 @@ def verdict_summary(verdicts: DataFrame, keys: Sequence[str]) -> DataFrame:
     n = F.count(F.lit(1))
 
     def share(condition: Column) -> Column:
-        return F.round(F.coalesce(F.try_divide(count_if(condition), n), F.lit(0.0)), 4)
+        return round_exact(F.coalesce(F.try_divide(count_if(condition), n), F.lit(0.0)), 4)
 
     return verdicts.groupBy(*keys).agg(
         n.alias("total_files"),
         share(F.col("has_hallucination")).alias("hallucination_rate"),
         share(F.col("review_status") == "manual_review").alias("manual_review_rate"),
         F.avg(parse_cer(F.col("existing_cer"))).alias("avg_cer"),
-        F.round(F.coalesce(F.avg("existing_inference_rtf"), F.lit(0.0)), 3).alias(
+        round_exact(F.coalesce(F.avg("existing_inference_rtf"), F.lit(0.0)), 3).alias(
             "avg_inference_rtf"
         ),
         count_if(F.col("with_gt")).alias("with_gt_timestamped"),

@@ -19,13 +19,24 @@ def exact_quantiles(
     each wanted rank, and only those bins are sorted: no task ever holds a key.
     NULL and NaN are skipped; keys without any value give no row.
     """
-    counts = (
+    return quantiles_of_counts(value_counts(df, keys, value), keys, quantiles)
+
+
+def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, _v, _c): distinct values of a key with their counts, NULL and NaN skipped."""
+    return (
         df.select(*keys, F.col(value).cast("double").alias("_v"))
         .filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_bin", value_bin(F.col("_v")))
     )
+
+
+def quantiles_of_counts(
+    counts: DataFrame, keys: Sequence[str], quantiles: Mapping[str, float]
+) -> DataFrame:
+    """``exact_quantiles`` from counted distinct values (keys, _v, _c)."""
+    counts = counts.withColumn("_bin", value_bin(F.col("_v")))
     by_key = Window.partitionBy(*keys)
     bins = (
         counts.groupBy(*keys, "_bin")

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.grading import is_silence, is_success, tier_rank
 from ..functions.text import run_key
-from .bootstrap import EXACT_MAX, REPLICAS, bootstrap_mean
+from .bootstrap import REPLICAS, bootstrap_mean
 from .joins import join_null_safe, merge_by_key
-from .quantiles import exact_quantiles
+from .quantiles import quantiles_of_counts, value_counts
 
 
 def zero_if_missing(metric: str) -> Column:
@@ -167,23 +167,27 @@ def metric_summary(
     *,
     seed: int,
     replicas: int = REPLICAS,
-    exact_max: int = EXACT_MAX,
+    method: str = "poisson",
 ) -> DataFrame:
-    """Count, mean, median, deviation, range, p95 and bootstrap interval per key."""
-    basic = (
-        long.filter(F.col(value).isNotNull())
-        .groupBy(*keys)
-        .agg(
-            F.count(value).alias("count"),
-            F.avg(value).alias("mean"),
-            F.stddev_pop(value).alias("std"),
-            F.min(value).alias("min"),
-            F.max(value).alias("max"),
-        )
+    """Count, mean, median, deviation, range, p95 and bootstrap interval per key.
+
+    Equal values are counted once; the first six follow from these counts, and the
+    exchange behind them is used by all.
+    """
+    counts = value_counts(long, keys, value)
+    v, c = F.col("_v"), F.col("_c")
+    mean = F.sum(v * c) / F.sum(c)
+    spread = F.sum(v * v * c) / F.sum(c) - mean * mean
+    basic = counts.groupBy(*keys).agg(
+        F.sum("_c").alias("count"),
+        mean.alias("mean"),
+        F.sqrt(F.greatest(spread, F.lit(0.0))).alias("std"),
+        F.min("_v").alias("min"),
+        F.max("_v").alias("max"),
     )
-    ranks = exact_quantiles(long, keys, value, {"median": 0.5, "p95": 0.95})
+    ranks = quantiles_of_counts(counts, keys, {"median": 0.5, "p95": 0.95})
     interval = bootstrap_mean(
-        long, keys, value, row_id, seed=seed, replicas=replicas, exact_max=exact_max
+        long, keys, value, row_id, seed=seed, replicas=replicas, method=method
     )
     return merge_by_key([basic, ranks, interval], keys)
 

@@ -163,9 +163,9 @@ def overridden_verdicts(spark, root):
 @query("verdict_summary", RESPONSES + """
 , final AS (SELECT *, CASE WHEN cer_value > 0.5 AND NOT has_hallucination THEN 'manual_review'
     ELSE review_status END AS review FROM verdicts)
-SELECT existing_rf, count(*) AS total_files, round(count(*) FILTER (has_hallucination) / count(*), 4) AS hallucination_rate,
-    round(count(*) FILTER (review = 'manual_review') / count(*), 4) AS manual_review_rate,
-    round(avg(cer_value), 6) AS avg_cer, round(avg(existing_inference_rtf), 3) AS avg_inference_rtf,
+SELECT existing_rf, count(*) AS total_files, CAST(printf('%.4f', count(*) FILTER (has_hallucination) / count(*)) AS DOUBLE) AS hallucination_rate,
+    CAST(printf('%.4f', count(*) FILTER (review = 'manual_review') / count(*)) AS DOUBLE) AS manual_review_rate,
+    round(avg(cer_value), 6) AS avg_cer, CAST(printf('%.3f', avg(existing_inference_rtf)) AS DOUBLE) AS avg_inference_rtf,
     count(*) FILTER (with_gt) AS with_gt_timestamped, count(*) FILTER (NOT with_gt) AS without_gt_timestamped
 FROM final GROUP BY existing_rf""")
 def verdict_summary(spark, root):
@@ -180,7 +180,7 @@ def verdict_summary(spark, root):
     FROM (SELECT existing_rf, primary_error, count(*) AS n FROM verdicts GROUP BY ALL) GROUP BY existing_rf),
 s AS (SELECT existing_rf, string_agg(concat(severity, '=', n), ',' ORDER BY severity) AS severities
     FROM (SELECT existing_rf, severity, count(*) AS n FROM verdicts GROUP BY ALL) GROUP BY existing_rf),
-h AS (SELECT existing_rf, count(*) AS n, round(avg(existing_inference_rtf), 3) AS rtf FROM verdicts GROUP BY existing_rf)
+h AS (SELECT existing_rf, count(*) AS n, CAST(printf('%.3f', avg(existing_inference_rtf)) AS DOUBLE) AS rtf FROM verdicts GROUP BY existing_rf)
 SELECT existing_rf, n AS evaluated_files, errors, severities, rtf AS avg_inference_rtf, 'm' AS model_used
 FROM e JOIN s USING (existing_rf) JOIN h USING (existing_rf)""")
 def summary_documents(spark, root):

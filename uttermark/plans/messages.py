@@ -17,8 +17,8 @@ SECONDS = "(epoch_us({1}) - epoch_us({0})) / 1e6"
 
 
 def _r(x: str, digits: int) -> str:
-    """Rounds the shortest decimal text of a double, half up."""
-    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 16)), {digits}) AS DOUBLE)"
+    """Rounds the exact binary value of a double, exact ties to even."""
+    return f"CAST(printf('%.{digits}f', {x}) AS DOUBLE)"
 
 
 @query("message_types", with_sql(*BUFFERED, body="""

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.grading import winner
 from ..operators import compare, rollup, triage
-from ..operators.bootstrap import POISSON_STEPS, PRIME, bootstrap_mean, bootstrap_superiority
+from ..operators.bootstrap import (
+    POISSON_STEPS, PRIME, REPLICAS, bootstrap_mean, bootstrap_superiority,
+)
 from ..operators.superiority import superiority
 from .bindings import (
     FILES, JUDGED, LEFT_ENGINE, RECORDS, RIGHT_ENGINE, big_records, judged, records, with_sql,
@@ -70,27 +72,17 @@ def _pow5(x: str) -> str:
     return f"({square} * {square} % {PRIME} * {x} % {PRIME})"
 
 
-def draws_sql(source: str, keys: str, seed: int, replicas: int, exact_max: int) -> str:
+def draws_sql(source: str, keys: str, seed: int) -> str:
     """Views ending in ``draws`` (keys, rep, value, weight) over ``source`` (keys, value, row)."""
-    def draw(row: str) -> str:
-        first = f"((rep + 1) * 1000003 + {seed} * 7919) % {PRIME}"
-        return f"({first} * 48271 + {row} % {PRIME} * 69621 + 11) % {PRIME}"
-
+    first = f"((rep + 1) * 1000003 + {seed} * 7919) % {PRIME}"
     weight = " + ".join(f"(d2 >= {int(s * PRIME)})::BIGINT" for s in POISSON_STEPS)
     return f"""
-, numbered AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY row) - 1 AS pos,
-    count(*) OVER (PARTITION BY {keys}) AS n FROM {source}),
-reps AS (SELECT unnest(range(0, {replicas})) AS rep),
-small1 AS (SELECT {keys}, rep, pos, n, {draw('pos')} AS d0 FROM numbered, reps WHERE n <= {exact_max}),
-small2 AS (SELECT *, ({_pow5('d0')} + pos % {PRIME} * 16807 + 101) % {PRIME} AS d1 FROM small1),
-small3 AS (SELECT *, {_pow5('d1')} % n AS pick FROM small2),
-large1 AS (SELECT {keys}, rep, value, row, {draw('row')} AS d0 FROM numbered, reps WHERE n > {exact_max}),
-large2 AS (SELECT *, ({_pow5('d0')} + row % {PRIME} * 16807 + 101) % {PRIME} AS d1 FROM large1),
-large3 AS (SELECT *, {_pow5('d1')} AS d2 FROM large2),
-draws AS (
-    SELECT {', '.join('s.' + k.strip() for k in keys.split(','))}, rep, value, 1::BIGINT AS weight
-    FROM small3 s JOIN numbered m ON m.pos = s.pick AND {' AND '.join(f'm.{k.strip()} = s.{k.strip()}' for k in keys.split(','))}
-    UNION ALL SELECT * FROM (SELECT {keys}, rep, value, {weight} AS weight FROM large3) WHERE weight > 0)"""
+, reps AS (SELECT unnest(range(0, {REPLICAS})) AS rep),
+draw0 AS (SELECT {keys}, rep, value, row, ({first} * 48271 + row % {PRIME} * 69621 + 11) % {PRIME} AS d0
+    FROM {source}, reps),
+draw1 AS (SELECT *, ({_pow5('d0')} + row % {PRIME} * 16807 + 101) % {PRIME} AS d1 FROM draw0),
+draw2 AS (SELECT *, {_pow5('d1')} AS d2 FROM draw1),
+draws AS (SELECT * FROM (SELECT {keys}, rep, value, {weight} AS weight FROM draw2) WHERE weight > 0)"""
 
 
 def mean_ci_sql(keys: str) -> str:
@@ -108,7 +100,7 @@ METRICS_LONG = """
 
 
 @query("metric_summary", with_sql(*RECORDS, body=METRICS_LONG
-       + draws_sql("long", "engine, metric", 101, 100, 200) + mean_ci_sql("engine, metric") + """
+       + draws_sql("long", "engine, metric", 101) + mean_ci_sql("engine, metric") + """
 SELECT engine, metric, count(*) AS count, round(avg(value) / 100, 6) AS mean,
     round(quantile_cont(value, 0.5) / 100, 6) AS median, round(stddev_pop(value) / 100, 6) AS std,
     round(min(value) / 100, 6) AS min, round(max(value) / 100, 6) AS max,
@@ -124,7 +116,7 @@ def metric_summary(spark, root):
             "rtf": F.col("inference_rtf") * 100,
         },
     )
-    summary = rollup.metric_summary(long, ["engine", "metric"], "value", "seq", seed=101, replicas=100)
+    summary = rollup.metric_summary(long, ["engine", "metric"], "value", "seq", seed=101)
     scaled = ["mean", "median", "std", "min", "max", "p95", "ci_low", "ci_high"]
     return rounded(summary.withColumns({c: F.col(c) / 100 for c in scaled}))
 
@@ -152,20 +144,18 @@ scored AS (SELECT * FROM runs WHERE value IS NOT NULL), timed AS (SELECT * FROM
 
 
 @query("bootstrap_run_means", with_sql(*RECORDS, body=RUN_MEANS
-       + draws_sql("scored", "engine", 7, 400, 200) + mean_ci_sql("engine") + """
+       + draws_sql("scored", "engine", 7) + mean_ci_sql("engine") + """
 SELECT engine, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM ci"""))
 def bootstrap_run_means(spark, root):
-    return rounded(bootstrap_mean(_run_means(spark, root), ["engine"], "value", "row",
-                                  seed=7, replicas=400))
+    return rounded(bootstrap_mean(_run_means(spark, root), ["engine"], "value", "row", seed=7))
 
 
 @query("bootstrap_order_lines", with_sql("big", body="""
 , src AS (SELECT engine, cer_bp::DOUBLE AS value, seq AS row FROM big)"""
-       + draws_sql("src", "engine", 11, 20, 200) + mean_ci_sql("engine") + """
+       + draws_sql("src", "engine", 11) + mean_ci_sql("engine") + """
 SELECT engine, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM ci"""))
 def bootstrap_order_lines(spark, root):
-    return rounded(bootstrap_mean(big_records(spark, root), ["engine"], "cer_bp", "seq",
-                                  seed=11, replicas=20))
+    return rounded(bootstrap_mean(big_records(spark, root), ["engine"], "cer_bp", "seq", seed=11))
 
 
 def _run_means(spark, root):
@@ -264,12 +254,25 @@ FROM p {'GROUP BY ' + keys if keys else ''}"""
 
 
 @query("bootstrap_superiority_by_run", with_sql(*RECORDS, body=RUN_MEANS
-       + draws_sql("scored", "engine", 701, 400, 200) + _superiority_ci_sql("")))
+       + draws_sql("scored", "engine", 701) + _superiority_ci_sql("")))
 def bootstrap_superiority_by_run(spark, root):
     return rounded(
         bootstrap_superiority(
             _run_means(spark, root), [], "value", "row", side="engine",
-            left=LEFT_ENGINE, right=RIGHT_ENGINE, seed=701, replicas=400,
+            left=LEFT_ENGINE, right=RIGHT_ENGINE, seed=701,
+        ),
+        11,
+    )
+
+
+@query("bootstrap_rtf_superiority_by_run", with_sql(*RECORDS, body=RUN_MEANS
+       + ", src AS (SELECT engine, rtf AS value, row FROM timed)"
+       + draws_sql("src", "engine", 702) + _superiority_ci_sql("")))
+def bootstrap_rtf_superiority_by_run(spark, root):
+    return rounded(
+        bootstrap_superiority(
+            _run_means(spark, root), [], "rtf", "row", side="engine",
+            left=LEFT_ENGINE, right=RIGHT_ENGINE, seed=702,
         ),
         11,
     )
@@ -278,12 +281,12 @@ def bootstrap_superiority_by_run(spark, root):
 @query("bootstrap_superiority_by_file", with_sql(*RECORDS, body="""
 , src AS (SELECT file, engine, cer_bp::DOUBLE AS value, seq AS row FROM records
     WHERE engine IN ('click', 'view') AND cer_bp IS NOT NULL)"""
-       + draws_sql("src", "file, engine", 900, 50, 200) + _superiority_ci_sql("file")))
+       + draws_sql("src", "file, engine", 900) + _superiority_ci_sql("file")))
 def bootstrap_superiority_by_file(spark, root):
     return rounded(
         bootstrap_superiority(
             records(spark, root), ["file"], "cer_bp", "seq", side="engine",
-            left=LEFT_ENGINE, right=RIGHT_ENGINE, seed=900, replicas=50,
+            left=LEFT_ENGINE, right=RIGHT_ENGINE, seed=900,
         ),
         11,
     )

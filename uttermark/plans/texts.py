@@ -231,7 +231,7 @@ def quality_tiers(spark, root):
 
 
 @query("real_time_factors", with_sql(*RECORDS, body="""
-SELECT seq, CASE WHEN duration > 0 THEN CAST(round(CAST(CAST(wait_after_commit / duration AS VARCHAR) AS DECIMAL(38, 20)), 3) AS DOUBLE) ELSE 0.0 END AS rtf
+SELECT seq, CASE WHEN duration > 0 THEN CAST(printf('%.3f', wait_after_commit / duration) AS DOUBLE) ELSE 0.0 END AS rtf
 FROM records"""))
 def real_time_factors(spark, root):
     return records(spark, root).select(

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import escape_cell, run_key
+from ..functions.text import escape_cell, fixed_text, run_key
 from .schemas import VERDICT_COLUMNS
 
 # The columns of the records export and where each one comes from.
@@ -81,7 +81,7 @@ def export_json(summary: DataFrame, path: str) -> None:
 
 def number_text(value: Column, digits: int = 2) -> Column:
     missing = value.isNull() | F.isnan(value.cast("double"))
-    return F.when(missing, "N/A").otherwise(F.format_string(f"%.{digits}f", value.cast("double")))
+    return F.when(missing, "N/A").otherwise(fixed_text(value.cast("double"), digits))
 
 
 def percent_cell(value: Column, digits: int = 1) -> Column:
@@ -91,7 +91,7 @@ def percent_cell(value: Column, digits: int = 1) -> Column:
 
 def signed_text(value: Column, digits: int = 3) -> Column:
     return F.when(value.isNull(), "-").otherwise(
-        F.format_string(f"%+.{digits}f", value.cast("double"))
+        fixed_text(value.cast("double"), digits, sign=True)
     )
 
 

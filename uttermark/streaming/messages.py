@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.grading import ratio
+from ..functions.text import round_exact
 from ..operators.rollup import count_if
 from ..operators.scan import BLOCK_ROWS, running
 
@@ -174,7 +175,7 @@ def timeouts(
         "conn_id", "seq",
         F.lit("failed").alias("status"),
         F.lit("timeout").alias("error_type"),
-        F.round(wait, 2).alias("wait_after_commit"),
+        round_exact(wait, 2).alias("wait_after_commit"),
         (F.col("keepalive_count") - own).alias("keepalive_count"),
     )
 
@@ -267,10 +268,10 @@ def latency_stages(
     duration = F.col("bytes_sent") / BYTES_PER_SECOND
     return stages.filter(F.col("_received").isNotNull()).select(
         "conn_id", "unit", "chunks_sent", "bytes_sent",
-        F.round(seconds_between(F.col("_start"), F.col("_connected")), 3).alias("connect_time"),
-        F.round(seconds_between(F.col("_stream"), F.col("_committed")), 2).alias("stream_time"),
-        F.round(wait, 3).alias("wait_after_commit"),
-        F.round(total, 2).alias("total_time"),
+        round_exact(seconds_between(F.col("_start"), F.col("_connected")), 3).alias("connect_time"),
+        round_exact(seconds_between(F.col("_stream"), F.col("_committed")), 2).alias("stream_time"),
+        round_exact(wait, 3).alias("wait_after_commit"),
+        round_exact(total, 2).alias("total_time"),
         ratio(total, duration).alias("total_rtf"),
         ratio(wait, duration).alias("inference_rtf"),
     )
