@@ -108,19 +108,14 @@ def big_records(spark: SparkSession, root: str) -> DataFrame:
 # ------------------------------------------------------------------- texts
 
 
-def ascii_only(text: Column) -> Column:
-    return F.regexp_replace(text, r"[^\x00-\x7f]", "")
-
-
 def turn_pairs(spark: SparkSession, root: str) -> DataFrame:
     """Each conversation turn as hypothesis of the turn before it (an equi-join on
-    conversation and turn). Non-ASCII letters are dropped on both sides, as the
-    second engine measures edit distance in bytes."""
+    conversation and turn)."""
     turns = table(spark, root, "conversations")
     hyp = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp"))
     ref = turns.select("conv_id", "turn", F.col("text").alias("ref"))
     return hyp.join(ref, ["conv_id", "turn"]).select(
-        "conv_id", "turn", ascii_only(F.col("hyp")).alias("hyp"), ascii_only(F.col("ref")).alias("ref")
+        "conv_id", "turn", "hyp", "ref"
     )
 
 
@@ -257,8 +252,7 @@ VIEWS = {
             l_suppkey % 10 > 3 AS has_timestamp
         FROM lineitem""",
     "pairs": r"""
-        SELECT r.conv_id, r.turn, regexp_replace(h.text, '[^\x00-\x7f]', '', 'g') AS hyp,
-            regexp_replace(r.text, '[^\x00-\x7f]', '', 'g') AS ref
+        SELECT r.conv_id, r.turn, h.text AS hyp, r.text AS ref
         FROM conversations r JOIN conversations h ON h.conv_id = r.conv_id AND h.turn = r.turn + 1""",
     "messages": f"""
         SELECT user_id AS conn_id, event_id AS seq, ts, {K} AS k,

@@ -24,6 +24,13 @@ def _norm(expr: str) -> str:
     return NORMALIZE.format(expr)
 
 
+def _edits(hyp: str, ref: str) -> str:
+    """Edit distance in letters. The second engine counts bytes, so each accented letter of
+    the given texts becomes a capital, of which normalised texts have none."""
+    one = "translate({}, 'áâäàçéèêëíîïñóôöùúûüß', 'ABCDEFGHIJKLMNOPQRSTU')"
+    return f"levenshtein({one.format(hyp)}, {one.format(ref)})"
+
+
 WIDE = "concat(text, '　ＡＢ１，！ Ｚ?!')"
 
 
@@ -77,7 +84,7 @@ def scored_pairs(spark, root):
 
 SCORED = f"""
 , norm AS (SELECT conv_id, turn, {_norm('hyp')} AS hyp, {_norm('ref')} AS ref FROM pairs),
-scored AS (SELECT *, CASE WHEN length(ref) > 0 THEN levenshtein(hyp, ref) / length(ref)
+scored AS (SELECT *, CASE WHEN length(ref) > 0 THEN {_edits('hyp', 'ref')} / length(ref)
     WHEN length(hyp) > 0 THEN 1.0 ELSE 0.0 END AS cer FROM norm)"""
 
 
@@ -184,7 +191,7 @@ reps AS (SELECT file, count(*) AS rf FROM (SELECT file FROM islands GROUP BY fil
 n AS (SELECT *, {_norm('transcript')} AS nh, {_norm('ref')} AS nr FROM results LEFT JOIN h USING (run_id)
     LEFT JOIN reps USING (file)),
 v AS (SELECT *, CASE WHEN status <> 'success' OR ref IS NULL OR (nh = '' AND nr <> '') THEN NULL
-    WHEN length(nr) > 0 THEN levenshtein(nh, nr) / length(nr) WHEN length(nh) > 0 THEN 1.0 ELSE 0.0 END AS cer,
+    WHEN length(nr) > 0 THEN {_edits('nh', 'nr')} / length(nr) WHEN length(nh) > 0 THEN 1.0 ELSE 0.0 END AS cer,
     CASE WHEN file LIKE 'silence%' THEN coalesce(hrs, 0) ELSE 0.0 END AS g FROM n)
 SELECT file, status, round(cer, 9) AS cer_value,
     CASE WHEN cer IS NOT NULL THEN 'scored' WHEN status = 'success' AND ref IS NOT NULL THEN 'N/A (Empty)' ELSE 'N/A' END AS cer_kind, coalesce(rf, 0)::INTEGER AS rf,
@@ -278,23 +285,19 @@ def parsed_percents(spark, root):
     )
 
 
-TURN_TEXT = r"regexp_replace(regexp_replace(text, '[^\n\x20-\x7e]', '', 'g'), '[:\[\]]', '', 'g')"
-
-
 @query("timed_reference_rates", f"""
-WITH flat AS (SELECT conv_id, turn, {TURN_TEXT} AS t FROM conversations),
+WITH flat AS (SELECT conv_id, turn, text AS t FROM conversations),
 lines AS (SELECT conv_id, turn, t, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l
     FROM flat),
 rebuilt AS (SELECT conv_id, turn, len(l) AS n_lines, array_to_string(l, ' ') AS ref, array_to_string(list_reverse(l), ' ') AS hyp FROM lines)
 SELECT conv_id, turn, n_lines::INTEGER AS n_lines, round(CASE WHEN length({_norm("ref")}) > 0
-    THEN levenshtein({_norm("hyp")}, {_norm("ref")}) / length({_norm("ref")}) ELSE 0.0 END, 9) AS cer
+    THEN {_edits(_norm("hyp"), _norm("ref"))} / length({_norm("ref")}) ELSE 0.0 END, 9) AS cer
 FROM rebuilt""")
 def timed_reference_rates(spark, root):
     """CER against the text rebuilt from a timed reference, whose lines come in any
     order and are put back by their start. One row holds one reference file."""
-    flat = F.regexp_replace(F.regexp_replace("text", r"[^\n\x20-\x7e]", ""), r"[:\[\]]", "")
     lines = F.filter(
-        F.transform(F.split(flat, "\n"), lambda x: F.trim(x)), lambda x: x != ""
+        F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != ""
     )
     timed = F.array_join(
         F.reverse(
