@@ -204,7 +204,7 @@ def test_missing_runs(spark):
     df = spark.createDataFrame(
         [("e", "a", "r1"), ("e", "a", "r2"), ("e", "b", "r2"), ("e", "a", "r1")],
         "engine string, file string, run_id string")
-    assert rows_of(matching.missing_runs(df)) == [("e", "b", 1, "r1")]
+    assert rows_of(matching.missing_runs(df)) == [("e", "b", "r1")]
 
 
 def test_last_wins_and_compare(spark):
@@ -320,7 +320,13 @@ def test_routes_and_round_robin(spark):
     def routes(available):
         return [r[0] for r in df.orderBy("id").select(judge.route_provider(F.col("model"), available)).collect()]
     assert routes(["OpenAI", "Groq"]) == ["OpenAI", "Groq", "OpenAI", "OpenAI", "OpenAI"]
-    assert routes(["Groq"]) == ["Groq"] * 5
+    assert routes(["Groq"]) == [None, "Groq", None, None, "Groq"]
+    open_ = df.select("id", judge.route_provider(F.col("model"), ["Groq"]).alias("p"))
+    turns = judge.assign_round_robin(open_, "p", "id", {"Groq": 2, "Other": 1}).orderBy("id").collect()
+    assert [(r.p, r.key_index) for r in turns] == [
+        ("Groq", 0), ("Groq", 0), ("Groq", 1), ("Other", 0), ("Groq", 1)]
+    lone = spark.createDataFrame([(i, None) for i in range(5)], "id long, p string")
+    assert scan.row_position(lone, ["p"], "id", "n", 2).filter("n >= 1").count() == 5
     many = spark.range(20).select("id", F.lit("P").alias("p"))
     got = [r[0] for r in judge.assign_round_robin(many, "p", "id", {"P": 3}, block_rows=4).orderBy("id").select("key_index").collect()]
     assert got == [i % 3 for i in range(20)]

@@ -20,7 +20,8 @@ def join_null_safe(
     for i, k in enumerate(keys):
         same = F.col(k).eqNullSafe(F.col(f"_right_{k}"))
         condition = same if i == 0 else condition & same
-    return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
+    joined = left.join(renamed, condition, how)
+    return joined.drop(*[f"_right_{k}" for k in keys]) if how != "left_anti" else joined
 
 
 def merge_by_key(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:

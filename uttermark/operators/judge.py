@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import parse_cer, percent_text, round_exact
 from .joins import join_null_safe
@@ -111,7 +111,9 @@ def route_provider(
 ) -> Column:
     """Provider of a model: by prefix, else by family name, else the primary one.
 
-    A preferred provider that is not available falls through to the next rule.
+    A preferred provider that is not available falls through to the next rule. Where the
+    primary one is not available either, requests go to all that are in turn: NULL, for
+    ``assign_round_robin`` to fill.
     """
     by_prefix = F.lit(False)
     for prefix in primary_prefixes:
@@ -119,10 +121,12 @@ def route_provider(
     by_family = F.lit(False)
     for name in OPEN_MODEL_NAMES:
         by_family = by_family | F.lower(model).contains(name)
-    fallback = primary if primary in available else available[0]
-    chosen = F.when(by_prefix, primary).when(by_family, secondary).otherwise(fallback)
-    known = F.coalesce(chosen.isin(*available), F.lit(False))
-    return F.when(known, chosen).otherwise(fallback)
+    fallback = F.lit(primary if primary in available else None).cast("string")
+    return (
+        F.when(by_prefix & F.lit(primary in available), primary)
+        .when(by_family & F.lit(secondary in available), secondary)
+        .otherwise(fallback)
+    )
 
 
 def assign_round_robin(
@@ -132,27 +136,30 @@ def assign_round_robin(
     keys_per_provider: Mapping[str, int],
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Adds ``key_index``: requests of a provider go to its keys in turn."""
+    """Adds ``key_index``: requests of a provider go to its keys in turn. Requests without
+    a provider go to the keys of all providers in turn, and get their provider with it."""
+    placed = row_position(requests, [provider], seq, "_pos", block_rows)
+    clients = [(name, i) for name, n in keys_per_provider.items() for i in range(n)]
+    every = F.array(
+        *[F.struct(F.lit(name).alias("name"), F.lit(i).alias("key")) for name, i in clients]
+    )
+    client = every[F.pmod(F.col("_pos") - 1, F.lit(len(clients))).cast("int")]
     size = F.lit(1)
     for name, n in keys_per_provider.items():
         size = F.when(F.col(provider) == name, n).otherwise(size)
-    placed = row_position(requests, [provider], seq, "_pos", block_rows)
-    return placed.withColumn("key_index", F.pmod(F.col("_pos") - 1, size)).drop("_pos")
-
-
-RESPONSE = T.StructType(
-    [
-        T.StructField("filename", T.StringType()),
-        T.StructField("has_hallucination", T.BooleanType()),
-        T.StructField("primary_error", T.StringType()),
-        T.StructField("evidence_hyp_text", T.StringType()),
-        T.StructField("evidence_gt_context", T.StringType()),
-        T.StructField("severity", T.StringType()),
-        T.StructField("confidence", T.StringType()),
-        T.StructField("review_status", T.StringType()),
-        T.StructField("reasoning", T.StringType()),
-    ]
-)
+    own = F.pmod(F.col("_pos") - 1, size)
+    open_ = F.col(provider).isNull()
+    return placed.select(
+        *[
+            F.coalesce(F.col(c), client["name"]).alias(c) if c == provider else F.col(c)
+            for c in requests.columns
+        ],
+        F.when(open_, client["key"]).otherwise(own).alias("key_index"),
+    )
+
+
+TRUE_WORDS = ("true", "t", "yes", "y", "on", "1")
+FALSE_WORDS = ("false", "f", "no", "n", "off", "0")
 
 
 def parse_verdicts(responses: DataFrame, attempts: int = 3) -> DataFrame:
@@ -160,27 +167,50 @@ def parse_verdicts(responses: DataFrame, attempts: int = 3) -> DataFrame:
 
     Columns used: filename, raw (NULL for a call that never succeeded),
     existing_cer, existing_rf, existing_inference_rtf. The file name and the three
-    metrics of the request always win over those in the response.
+    metrics of the request always win over those in the response. A response is one JSON
+    object and nothing else; texts must be texts, a label may be absent but not null, and
+    the flag may be written as a word or as 0 or 1.
     """
-    parsed = responses.withColumn("_v", F.from_json("raw", RESPONSE, {"mode": "PERMISSIVE"}))
+    # Within brackets, text before or behind the object is no JSON any more.
+    parsed = responses.withColumn(
+        "_v", F.try_parse_json(F.concat(F.lit("["), F.col("raw"), F.lit("]")))
+    )
+
+    def place(field: str) -> str:
+        return f"$[0].{field}"
+
+    def kind(field: str) -> Column:
+        """Type of a field: NULL if absent, VOID for a JSON null."""
+        return F.schema_of_variant(F.try_variant_get("_v", place(field), "variant"))
+
+    def text(field: str) -> Column:
+        value = F.try_variant_get("_v", place(field), "string")
+        return F.when(kind(field) == "STRING", value)
 
-    def given(field: str, default: str | None) -> Column:
-        present = F.get_json_object("raw", f"$.{field}")
-        value = F.col(f"_v.{field}")
-        return F.when(present.isNull(), default).otherwise(value) if default else value
+    def label(field: str, default: str) -> Column:
+        return F.when(kind(field).isNull(), default).otherwise(text(field))
 
-    error = given("primary_error", "none")
-    severity = given("severity", "none")
-    confidence = given("confidence", "low")
-    review = given("review_status", "auto_accept")
+    word = F.lower(F.try_variant_get("_v", place("has_hallucination"), "string"))
+    flag = F.when(
+        kind("has_hallucination").isin("BOOLEAN", "STRING", "BIGINT"),
+        F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False),
+    )
+    reasoning = text("reasoning")
+    error = label("primary_error", "none")
+    severity = label("severity", "none")
+    confidence = label("confidence", "low")
+    review = label("review_status", "auto_accept")
     valid = (
-        F.col("_v.has_hallucination").isNotNull()
-        & F.col("_v.reasoning").isNotNull()
+        F.try_variant_get("_v", "$[1]", "variant").isNull()
+        & flag.isNotNull()
+        & reasoning.isNotNull()
         & error.isin(*PRIMARY_ERRORS)
         & severity.isin(*SEVERITIES)
         & confidence.isin(*CONFIDENCES)
         & review.isin(*REVIEW_STATUSES)
     )
+    for field in ("evidence_hyp_text", "evidence_gt_context"):
+        valid = valid & F.coalesce(kind(field).isin("STRING", "VOID"), F.lit(True))
     ok = F.coalesce(valid, F.lit(False))
     failure = F.concat(
         F.lit(f"LLM call failed after {attempts} attempts: "),
@@ -191,21 +221,27 @@ def parse_verdicts(responses: DataFrame, attempts: int = 3) -> DataFrame:
         return F.when(ok, value).otherwise(fallback)
 
     missing = F.lit(None).cast("string")
-    return parsed.select(
-        "filename",
-        pick(F.col("_v.has_hallucination"), F.lit(False)).alias("has_hallucination"),
+    # Out of a one-row generator, so that filters on these columns stay above it instead
+    # of repeating the whole validation.
+    verdict = F.struct(
+        pick(flag, F.lit(False)).alias("has_hallucination"),
         pick(error, F.lit("none")).alias("primary_error"),
         pick(severity, F.lit("none")).alias("severity"),
         pick(confidence, F.lit("low")).alias("confidence"),
         pick(review, F.lit("manual_review")).alias("review_status"),
-        "existing_cer",
-        "existing_rf",
-        "existing_inference_rtf",
-        pick(F.col("_v.reasoning"), failure).alias("reasoning"),
-        pick(F.col("_v.evidence_hyp_text"), missing).alias("evidence_hyp_text"),
-        pick(F.col("_v.evidence_gt_context"), missing).alias("evidence_gt_context"),
+        pick(reasoning, failure).alias("reasoning"),
+        pick(text("evidence_hyp_text"), missing).alias("evidence_hyp_text"),
+        pick(text("evidence_gt_context"), missing).alias("evidence_gt_context"),
         (~ok).alias("call_failed"),
     )
+    request = ["existing_cer", "existing_rf", "existing_inference_rtf"]
+    labels = [
+        "has_hallucination", "primary_error", "severity", "confidence", "review_status",
+    ]
+    texts = ["reasoning", "evidence_hyp_text", "evidence_gt_context", "call_failed"]
+    return parsed.select("filename", *request, F.inline(F.array(verdict))).select(
+        "filename", *labels, *request, *texts
+    )
 
 
 def apply_override(verdicts: DataFrame, threshold: float = 0.5) -> DataFrame:

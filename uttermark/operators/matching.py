@@ -103,25 +103,30 @@ def restrict_to(df: DataFrame, allowed: DataFrame, keys: Sequence[str]) -> DataF
 
 
 def missing_runs(records: DataFrame) -> DataFrame:
-    """Per (engine, file) the runs of the engine that lack the file.
+    """(engine, file, run_id) for every run of an engine that lacks a file of it, files
+    that are in all runs left out before.
 
-    The list of runs is one short array per engine, so a file is compared with it
-    in place and no file-by-run grid is built. Complete files are left out.
+    Only what is missing is listed. Counts decide which files are incomplete; for these
+    alone the runs of their engine are set against the runs seen.
     """
     pairs = records.select("engine", "file", "run_id").distinct()
-    seen = pairs.groupBy("engine", "file").agg(F.collect_list("run_id").alias("_seen"))
-    runs = pairs.groupBy("engine").agg(F.array_sort(F.collect_set("run_id")).alias("_runs"))
-    return (
-        join_null_safe(seen, runs, ["engine"])
-        .withColumn("_missing", F.array_except("_runs", "_seen"))
-        .filter(F.size("_missing") > 0)
-        .select(
-            "engine",
-            "file",
-            F.size("_missing").cast("bigint").alias("n_missing"),
-            F.array_join("_missing", ", ").alias("missing"),
-        )
-    )
+    runs = pairs.select("engine", "run_id").distinct()
+    totals = runs.groupBy("engine").agg(F.count(F.lit(1)).alias("_runs"))
+    seen = pairs.groupBy("engine", "file").agg(F.count(F.lit(1)).alias("_seen"))
+    incomplete = join_null_safe(seen, totals, ["engine"]).filter("_seen < _runs")
+    wanted = join_null_safe(incomplete.select("engine", "file"), runs, ["engine"])
+    return join_null_safe(wanted, pairs, ["engine", "file", "run_id"], "left_anti")
+
+
+def last_of(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key without the column ``line``: that of the greatest ``line``. Rows
+    that tie, or a table without that column, give the greatest row, which is at least the
+    same in every run."""
+    rest = F.struct(*[c for c in df.columns if c not in [*keys, "line"]])
+    if "line" in df.columns:
+        best = F.max(F.struct(F.col("line"), rest.alias("row"))).alias("_b")
+        return df.groupBy(*keys).agg(best).select(*keys, "_b.row.*")
+    return df.groupBy(*keys).agg(F.max(rest).alias("_b")).select(*keys, "_b.*")
 
 
 def unified_records(
@@ -135,7 +140,8 @@ def unified_records(
     same run, audio quality and marks for the references at hand.
 
     ``verdicts`` has (engine, run_id, filename, ...), ``quality`` has (file, ...), the
-    name tables have (name) without suffix.
+    name tables have (name) without suffix. Of repeated verdicts or quality rows the last
+    counts, by a column ``line`` where the table has one.
     """
     keys = ["engine", "run_id", "file"]
     transcript = F.coalesce("transcript", F.lit(""))
@@ -150,11 +156,10 @@ def unified_records(
         "has_hallucination", "primary_error", "severity", "confidence", "review_status",
         "reasoning", "evidence_hyp_text", "evidence_gt_context",
     ]
-    judged = verdicts.select("engine", "run_id", F.col("filename").alias("file"), *labels)
-    one_each = judged.groupBy(*keys).agg(F.max(F.struct(*labels)).alias("_v")).select(*keys, "_v.*")
-    sound = quality.groupBy("file").agg(
-        F.max(F.struct(*[c for c in quality.columns if c != "file"])).alias("_q")
-    ).select("file", "_q.*")
+    line = [c for c in ("line",) if c in verdicts.columns]
+    judged = verdicts.select("engine", "run_id", F.col("filename").alias("file"), *labels, *line)
+    one_each = last_of(judged, keys)
+    sound = last_of(quality, ["file"])
     stem = file_stem(F.col("file"))
     timed = first_alias_match(base, "file", timed_aliases(stem), timed_names)
     segments = first_alias_match(base, "file", segment_aliases(stem), segment_names)

@@ -30,13 +30,15 @@ def running(
 
     ``sums``: running sum up to and including the row. ``lasts``: last non-NULL
     value among the rows strictly before it. ``totals``: sum over the whole key.
-    ``keys`` must not be NULL. The per-key scan meets ``range of seq / block_rows``
+    NULL is a key like any other. The per-key scan meets ``range of seq / block_rows``
     blocks at most; take larger blocks where ``seq`` is sparse, such as a clock.
     """
     sums, lasts, totals = dict(sums or {}), dict(lasts or {}), dict(totals or {})
-    group = [*keys, "_block"]
+    # As fields of a struct, NULL keys meet each other in joins too.
+    group = ["_key", "_block"]
     rows = df.select(
         "*",
+        F.struct(*keys).alias("_key"),
         F.floor(F.col(seq) / block_rows).alias("_block"),
         *[c.alias(f"_s_{n}") for n, c in sums.items()],
         *[c.alias(f"_l_{n}") for n, c in lasts.items()],
@@ -53,13 +55,13 @@ def running(
         ],
     )
     earlier = (
-        Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     )
     inflow = block_totals.select(
         *group,
         *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_in_{n}") for n in sums],
         *[F.last(f"_l_{n}", ignorenulls=True).over(earlier).alias(f"_in_{n}") for n in lasts],
-        *[F.sum(f"_t_{n}").over(Window.partitionBy(*keys)).alias(n) for n in totals],
+        *[F.sum(f"_t_{n}").over(Window.partitionBy("_key")).alias(n) for n in totals],
     )
 
     inside = Window.partitionBy(*group).orderBy(seq)

@@ -47,6 +47,14 @@ def conclusion(stability: DataFrame) -> DataFrame:
     )
 
 
+def run_cells(
+    df: DataFrame, keys: Sequence[str], run: str, cell: Column, order: str
+) -> DataFrame:
+    """(keys, run, cell) for every run there is; the last duplicate wins. What a wide table
+    shows, in the form that needs no list of runs."""
+    return df.groupBy(*keys, run).agg(F.max_by(cell, F.col(order)).alias("cell"))
+
+
 def pivot_runs(
     df: DataFrame, keys: Sequence[str], run: str, runs: Sequence[str], cell: Column, order: str
 ) -> DataFrame:

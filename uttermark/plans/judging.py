@@ -92,12 +92,12 @@ def round_robin(spark, root):
 
 
 RESPONSES = """WITH resp AS (
-    SELECT d.doc_id, concat('doc_', d.doc_id) AS filename, d.doc_id % 8 AS kind, l.quality, l.toxic,
+    SELECT d.doc_id, concat('doc_', d.doc_id) AS filename, d.doc_id % 8 AS kind, d.doc_id // 8 % 6 AS shape, l.quality, l.toxic,
         concat(d.n_chars % 120, '.25%') AS cer, (d.n_chars % 120 + 0.25) / 100 AS cer_value,
         (d.doc_id % 4)::INTEGER AS rf, (d.n_chars % 50) / 10.0::DOUBLE AS rtf
     FROM documents d LEFT JOIN labels l USING (doc_id)),
 parsed AS (
-    SELECT *, quality IS NOT NULL AND kind <> 5 AND kind <> 6 AS valid FROM resp),
+    SELECT *, quality IS NOT NULL AND kind <> 5 AND kind <> 6 AND shape NOT IN (1, 2, 3) AS valid FROM resp),
 verdicts AS (
     SELECT doc_id, filename, valid AND toxic = 1 AS has_hallucination,
         CASE WHEN valid AND toxic = 1 THEN 'insertion' ELSE 'none' END AS primary_error,
@@ -116,21 +116,25 @@ def responses(spark, root):
     docs = table(spark, root, "documents").select("doc_id", "n_chars")
     rows = docs.join(table(spark, root, "labels"), "doc_id", "left")
     kind, toxic = F.col("doc_id") % 8, F.col("toxic") == 1
+    # Text behind the object, a null label, a number for a text, a flag as a word.
+    shape = F.floor(F.col("doc_id") / 8) % 6
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
     body = F.concat(
         F.when(kind == 4, "").otherwise(F.concat(F.lit('"filename":"other'), name, F.lit('",'))),
-        F.lit('"has_hallucination":'), F.when(toxic, "true").otherwise("false"),
+        F.lit('"has_hallucination":'),
+        F.when(shape == 4, F.when(toxic, '"True"').otherwise('"no"'))
+        .otherwise(F.when(toxic, "true").otherwise("false")),
         F.lit(',"primary_error":"'),
         F.when(kind == 5, "typo").when(toxic, "insertion").otherwise("none"),
         F.lit('",'),
-        F.when(kind == 7, "").otherwise(
+        F.when(shape == 2, F.lit('"severity":null,')).when(kind == 7, "").otherwise(
             F.concat(F.lit('"severity":"'), F.when(toxic, "high").otherwise("low"), F.lit('",'))
         ),
         F.lit('"confidence":"'), F.when(F.col("quality") == 1, "high").otherwise("medium"),
-        F.lit('","reasoning":"because"'),
+        F.when(shape == 3, F.lit('","reasoning":5')).otherwise(F.lit('","reasoning":"because"')),
     )
     raw = F.when(kind == 6, F.concat(F.lit("Sure! {"), body)).otherwise(
-        F.concat(F.lit("{"), body, F.lit("}"))
+        F.concat(F.lit("{"), body, F.when(shape == 1, "} So it is.").otherwise("}"))
     )
     return rows.select(
         "doc_id",

@@ -165,10 +165,8 @@ def pending_files(spark, root):
 
 @query("missing_runs", with_sql(*RECORDS, body="""
 , grid AS (SELECT DISTINCT f.engine, f.file, r.run_id FROM records f JOIN records r USING (engine))
-SELECT engine, file, count(*) AS n_missing, string_agg(run_id, ', ' ORDER BY run_id) AS missing
-FROM grid g WHERE NOT EXISTS (SELECT 1 FROM records r
-    WHERE r.engine = g.engine AND r.file = g.file AND r.run_id = g.run_id)
-GROUP BY engine, file"""))
+SELECT engine, file, run_id FROM grid g WHERE NOT EXISTS (SELECT 1 FROM records r
+    WHERE r.engine = g.engine AND r.file = g.file AND r.run_id = g.run_id)"""))
 def missing_runs(spark, root):
     return matching.missing_runs(records(spark, root))
 
@@ -219,24 +217,15 @@ def stability_conclusion(spark, root):
     )
 
 
-PIVOT_RUNS = tuple(f"{d:02d}-01-2024_v{v}" for d in range(1, 31) for v in (1, 2))
-
-
 @query("pivot_runs", with_sql(*JUDGED, body="""
-, cells AS (
-    SELECT engine, file, run_id, arg_max(concat(CASE WHEN has_hallucination THEN 'H' ELSE 'OK' END,
-        ' (', CASE WHEN cer_bp IS NULL THEN 'none' ELSE CAST(cer_bp AS VARCHAR) END, ')'), seq) AS cell
-    FROM judged GROUP BY engine, file, run_id)
-SELECT engine, file,
-""" + ",\n".join(
-    f"    coalesce(max(cell) FILTER (run_id = '{r}'), '-') AS \"{r}\"" for r in PIVOT_RUNS
-) + "\nFROM cells GROUP BY engine, file"))
+SELECT engine, file, run_id, arg_max(concat(CASE WHEN has_hallucination THEN 'H' ELSE 'OK' END,
+    ' (', CASE WHEN cer_bp IS NULL THEN 'none' ELSE CAST(cer_bp AS VARCHAR) END, ')'), seq) AS cell
+FROM judged GROUP BY engine, file, run_id"""))
 def pivot_runs(spark, root):
+    """The cells of the run table in long form, so that no run is left out."""
     cer = F.coalesce(F.col("cer_bp").cast("string"), F.lit("none"))
     cell = verdict_cell(F.col("has_hallucination"), cer)
-    return stability.pivot_runs(
-        judged(spark, root), ["engine", "file"], "run_id", PIVOT_RUNS, cell, "seq"
-    )
+    return stability.run_cells(judged(spark, root), ["engine", "file"], "run_id", cell, "seq")
 
 
 @query("run_stability", with_sql(*RECORDS, body="""

@@ -27,9 +27,10 @@ def _run_identity() -> list[Column]:
     return [
         F.regexp_extract(path, RUN_DIR, 1).alias("engine"),
         run_id.alias("run_id"),
-        F.make_date(
-            F.nullif(key["year"], F.lit(0)), key["month"], key["day"]
-        ).alias("run_date"),
+        # A name that is no date gives NULL and does not end the read.
+        F.try_to_date(F.regexp_extract(run_id, r"^(\d{2}-\d{2}-\d{4})_v\d+$", 1), "dd-MM-yyyy").alias(
+            "run_date"
+        ),
         key["version"].alias("run_version"),
     ]
 

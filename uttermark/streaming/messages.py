@@ -41,8 +41,9 @@ def message_type(payload: Column) -> Column:
 
 
 def chunk_bytes(payload: Column) -> Column:
+    """Bytes of audio in a message; a payload that is no base64 holds none."""
     audio = F.get_json_object(payload, "$.audio")
-    return F.coalesce(F.octet_length(F.unbase64(audio)), F.lit(0)).cast("bigint")
+    return F.coalesce(F.octet_length(F.try_to_binary(audio, F.lit("base64"))), F.lit(0)).cast("bigint")
 
 
 def error_text(payload: Column) -> Column:
