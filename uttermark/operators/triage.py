@@ -32,9 +32,8 @@ def tail_thresholds(file_grain: DataFrame, q: float = 0.85) -> DataFrame:
 def poor_cases(file_grain: DataFrame, q: float = 0.85) -> DataFrame:
     """Files with at least one trigger, their trigger list and its length.
 
-    Files without a timed reference whose mean CER is 0 are no candidates.
-    ``file_grain`` is read twice, so pass a checkpointed or written table where
-    computing it is expensive.
+    Files without a timed reference whose mean CER is 0 are no candidates. Thresholds
+    and rows come from the same ``file_grain``, whose exchange Spark uses for both.
     """
     rows = join_null_safe(file_grain, tail_thresholds(file_grain, q), ["engine"]).filter(
         ~(~F.col("has_timestamp") & (F.coalesce("cer_mean", F.lit(0.0)) == 0))

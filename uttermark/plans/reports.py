@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 from ..functions.grading import evidence_or, winner
 from ..operators import checks, compare, rollup, triage
 from ..operators.superiority import superiority
-from ..session import reusable
 from ..sources import sinks
 from .bindings import (
     FILES, JUDGED, LEFT_ENGINE, RECORDS, RIGHT_ENGINE, judged, records, table, with_sql,
 )
 from .registry import query
 from .runs import rounded
-from .statistics import cases
+from .statistics import CASES, WORST, cases
 
 
 @query("record_checks", with_sql(*JUDGED, body="""
@@ -36,10 +35,12 @@ def record_checks(spark, root):
     )
 
 
-@query("triage_report_rows")
+@query("triage_report_rows", with_sql(*FILES, body=CASES + f"""
+SELECT concat('| ', engine, ' | `', file, '` | ', triggers, ' | ', printf('%.1f', cer_mean), '% | ',
+    printf('%.1f', cer_std), '% | ', coalesce(printf('%.3f', rtf_mean), 'N/A'), ' | ',
+    printf('%.1f', high_severity_rate * 100), '% |') AS row
+FROM (SELECT * FROM cases ORDER BY {WORST} LIMIT 12)"""))
 def triage_report_rows(spark, root):
-    """Formatted table rows; number formatting differs between engines on ties, so
-    there is no SQL twin (the numbers behind it are checked in worst_cases)."""
     top = cases(spark, root).orderBy(*triage.worst_first()).limit(12)
     cells = {
         "Engine": F.col("engine"),
@@ -84,35 +85,35 @@ segs AS (SELECT conv_id AS user_id, count(*) AS segments, count(DISTINCT role) A
 ex AS (SELECT doc_id AS user_id, array_to_string(list_slice(list_filter(list_transform(
     regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: trim(x)), lambda x: x <> ''), 1, 3), ' ') AS excerpt FROM documents),
 names AS (SELECT DISTINCT file, user_id FROM records),
-f AS (SELECT c.file, round(c.cer_mean, 6) AS cer_mean, round(c.cer_std, 6) AS cer_std,
+f AS (SELECT c.engine, c.file, round(c.cer_mean, 6) AS cer_mean, round(c.cer_std, 6) AS cer_std,
     round(c.hallucination_rate, 6) AS hallucination_rate, round(o.cer_mean, 6) AS other_cer_mean
-    FROM files c LEFT JOIN files o ON o.file = c.file AND o.engine = 'view' WHERE c.engine = 'click')
-SELECT f.*, p_right AS other_wins, CASE WHEN p_right > p_left THEN 'view' WHEN p_right < p_left THEN 'click' ELSE 'tie' END AS winner,
+    FROM files c LEFT JOIN files o ON o.file = c.file AND o.engine <> c.engine AND o.engine IN ('click', 'view')
+    WHERE c.engine IN ('click', 'view'))
+SELECT f.*, CASE f.engine WHEN 'click' THEN p_right ELSE p_left END AS other_wins, CASE WHEN p_right > p_left THEN 'view' WHEN p_right < p_left THEN 'click' ELSE 'tie' END AS winner,
     worst_run, coalesce(segments, 0) AS segments, coalesce(speakers, 0) AS speakers,
     coalesce(voiced_seconds, 0) AS voiced_seconds, coalesce(nullif(excerpt, ''), 'no reference') AS excerpt
-FROM f JOIN names USING (file) LEFT JOIN pairs USING (file) LEFT JOIN reps ON reps.file = f.file AND reps.engine = 'click'
+FROM f JOIN names USING (file) LEFT JOIN pairs USING (file) LEFT JOIN reps ON reps.file = f.file AND reps.engine = f.engine
 LEFT JOIN segs USING (user_id) LEFT JOIN ex USING (user_id)"""))
 def case_studies(spark, root):
-    """One wide row per file of the left engine, as the case sections show it."""
+    """One wide row per (engine, file) of both engines, as the case sections show it."""
     from ..functions.text import excerpt
 
     facts = judged(spark, root)
     both = facts.filter(F.col("engine").isin(LEFT_ENGINE, RIGHT_ENGINE))
-    sides = reusable(rollup.file_grain(both))
-    main = sides.filter(F.col("engine") == LEFT_ENGINE).select(
-        "file", "cer_mean", "cer_std", "hallucination_rate"
+    sides = rollup.file_grain(both).select(
+        "engine", "file", "cer_mean", "cer_std", "hallucination_rate"
     )
-    other = sides.filter(F.col("engine") == RIGHT_ENGINE).select(
-        "file", F.col("cer_mean").alias("other_cer_mean")
+    swapped = F.when(F.col("engine") == LEFT_ENGINE, RIGHT_ENGINE).otherwise(LEFT_ENGINE)
+    other = sides.select(
+        swapped.alias("engine"), "file", F.col("cer_mean").alias("other_cer_mean")
     )
     wins = superiority(
         both, ["file"], "cer_bp",
         left=(F.col("engine") == LEFT_ENGINE).cast("bigint"),
         right=(F.col("engine") == RIGHT_ENGINE).cast("bigint"),
-    ).select("file", "p_left", F.col("p_right").alias("other_wins"))
-    worst = rollup.representatives(
-        records(spark, root).filter(F.col("engine") == LEFT_ENGINE)
-    ).select("file", "worst_run")
+    ).select("file", "p_left", "p_right")
+    other_wins = F.when(F.col("engine") == LEFT_ENGINE, F.col("p_right")).otherwise(F.col("p_left"))
+    worst = rollup.representatives(both).select("engine", "file", "worst_run")
     segments = rollup.segment_stats(
         table(spark, root, "conversations").select(
             F.col("conv_id").alias("file"), F.col("role").alias("speaker"),
@@ -125,14 +126,16 @@ def case_studies(spark, root):
     names = facts.select("file", "user_id").distinct()
     zero = F.lit(0).cast("bigint")
     wide = (
-        main.join(names, "file").join(other, "file", "left").join(wins, "file", "left")
-        .join(worst, "file", "left").join(segments, "user_id", "left")
+        sides.join(names, "file").join(other, ["engine", "file"], "left")
+        .join(wins, "file", "left").join(worst, ["engine", "file"], "left")
+        .join(segments, "user_id", "left")
         .join(excerpts, "user_id", "left")
     )
     return rounded(
         wide.select(
-            "file", "cer_mean", "cer_std", "hallucination_rate", "other_cer_mean", "other_wins",
-            winner(F.col("p_left"), F.col("other_wins"), LEFT_ENGINE, RIGHT_ENGINE).alias("winner"),
+            "engine", "file", "cer_mean", "cer_std", "hallucination_rate", "other_cer_mean",
+            other_wins.alias("other_wins"),
+            winner(F.col("p_left"), F.col("p_right"), LEFT_ENGINE, RIGHT_ENGINE).alias("winner"),
             "worst_run",
             F.coalesce("segments", zero).alias("segments"),
             F.coalesce("speakers", zero).alias("speakers"),
