@@ -81,11 +81,19 @@ def test_timeouts_and_outcomes(spark):
         (1, 501, m.ERROR, {"error": {"message": "boom"}}), (1, 502, m.CLOSE, {}), (1, 503, m.AUDIO, {}),
         (2, 0, m.FINAL, {"text": "x"}),
     ]
+    waits = [
+        (1, 0, m.KEEPALIVE, {}), (1, 1, m.COMMIT, {}), (1, 5, m.KEEPALIVE, {}), (1, 9, m.KEEPALIVE, {}),
+        (1, 70, m.KEEPALIVE, {}), (1, 71, m.DONE, {}), (1, 200, m.COMMIT, {}), (1, 250, m.DONE, {}),
+        (1, 400, m.APPEND, {}), (2, 10, m.COMMIT, {}), (2, 20, m.KEEPALIVE, {}), (3, 10, m.KEEPALIVE, {}),
+    ]
+    columns = ("conn_id", "seq", "wait_after_commit", "keepalive_count")
     for block in (2, m.BLOCK_ROWS):
-        got = m.timeouts(make(spark, rows), 60, block_rows=block)
-        assert collected(got.select("conn_id", "seq", "wait_after_commit", "keepalive_count")) == [
-            (1, 2, 61.0, 1), (1, 3, 434.0, 1),
-        ]
+        got = m.timeouts(make(spark, waits), 60, block_rows=block)
+        assert collected(got.select(*columns)) == [(1, 4, 68.0, 2)]
+        last = make(spark, waits).agg(F.max("ts")).first()[0]
+        got = m.timeouts(make(spark, waits), 60, until=last, block_rows=block)
+        ends = {r[0]: r[2:] for r in collected(got.select(*columns)) if r[0] == 2}
+        assert ends == {2: (70.0, 1)}
         outcome = m.attempt_outcomes(make(spark, rows), 60, block_rows=block)
         assert collected(outcome.select("conn_id", "attempt", F.coalesce("error_type", F.lit("-")),
                                         F.coalesce("error_message", F.lit("-")))) == [

@@ -72,12 +72,19 @@ TIMEOUT = 20 * 3600
 
 
 @query("timeouts", with_sql(*BUFFERED, body=f"""
-, g AS (SELECT *, {SECONDS.format("lag(ts) OVER w", "ts")} AS wait,
-    coalesce(count(*) FILTER (type = 'session.keepalive') OVER (PARTITION BY conn_id ORDER BY seq
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS alive
-    FROM messages WINDOW w AS (PARTITION BY conn_id ORDER BY seq))
-SELECT conn_id, seq, 'failed' AS status, 'timeout' AS error_type, {_r('wait', 2)} AS wait_after_commit,
-    alive AS keepalive_count FROM g WHERE wait > {TIMEOUT}"""))
+, m AS (SELECT *, type = 'input_audio_buffer.commit' OR type = 'error' AS turn FROM messages),
+g AS (SELECT *, lag(ts) OVER w AS before,
+    count(*) FILTER (turn) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS unit,
+    last_value(CASE WHEN turn THEN {{'type': type, 'ts': ts}} END IGNORE NULLS)
+        OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS state
+    FROM m WINDOW w AS (PARTITION BY conn_id ORDER BY seq)),
+l AS (SELECT conn_id, unit, min(seq) AS seq, arg_min(before, seq) AS silent, any_value(state.ts) AS committed
+    FROM g WHERE state.type <> 'error' AND {SECONDS.format("before", "ts")} > {TIMEOUT} GROUP BY conn_id, unit)
+SELECT l.conn_id, l.seq, 'failed' AS status, 'timeout' AS error_type,
+    {_r(SECONDS.format('committed', 'silent') + f' + {TIMEOUT}', 2)} AS wait_after_commit,
+    (SELECT count(*) FROM g WHERE g.conn_id = l.conn_id AND g.unit = l.unit AND g.seq < l.seq
+        AND g.type = 'session.keepalive') AS keepalive_count
+FROM l"""))
 def timeouts(spark, root):
     return m.timeouts(buffered_messages(spark, root), TIMEOUT)
 

@@ -7,6 +7,7 @@ BIGINT that orders the messages of a connection and is unique within it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -160,24 +161,56 @@ def seconds_between(earlier: Column, later: Column) -> Column:
 
 
 def timeouts(
-    messages: DataFrame, limit_seconds: float, block_rows: int = BLOCK_ROWS
+    messages: DataFrame,
+    limit_seconds: float,
+    until: datetime | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Messages that came later than the limit after the previous one: failed rows
-    with the wait and the keep-alives seen so far on the connection."""
+    """One failed row for every commit whose result did not come because nothing came for
+    longer than the limit, whatever arrived later.
+
+    ``seq`` is the message that ended the silence. The wait runs from the commit to the
+    moment the limit was reached, and only keep-alives since the commit count. With
+    ``until``, connections that are silent up to that time fail too, with the number after
+    their last message.
+    """
+    slim = messages.select("conn_id", "seq", "ts", "type")
+    if until is not None:
+        ends = slim.groupBy("conn_id").agg((F.max("seq") + 1).alias("seq"))
+        slim = slim.unionByName(
+            ends.select(
+                "conn_id", "seq", F.lit(until).cast(slim.schema["ts"].dataType).alias("ts"),
+                F.lit("").alias("type"),
+            )
+        )
+    turns = F.col("type").isin(COMMIT, DONE, ERROR)
+    turn, alive = turns.cast("bigint"), (F.col("type") == KEEPALIVE).cast("bigint")
     scanned = running(
-        messages.select("conn_id", "seq", "ts", "type"), ["conn_id"], "seq",
-        sums={"keepalive_count": (F.col("type") == KEEPALIVE).cast("bigint")},
-        lasts={"_previous": F.col("ts")},
+        slim, ["conn_id"], "seq",
+        sums={"_turn": turn, "_alive": alive},
+        lasts={
+            "_previous": F.col("ts"),
+            "_state": F.when(turns, F.struct("type", "ts")),
+        },
         block_rows=block_rows,
+    ).filter(F.col("_state.type") == COMMIT)
+    late = F.when(
+        seconds_between(F.col("_previous"), F.col("ts")) > limit_seconds, F.col("seq")
     )
-    wait = seconds_between(F.col("_previous"), F.col("ts"))
-    own = (F.col("type") == KEEPALIVE).cast("bigint")
-    return scanned.filter(wait > limit_seconds).select(
+    before = F.col("_alive") - alive
+    waits = scanned.groupBy("conn_id", (F.col("_turn") - turn).alias("_unit")).agg(
+        F.min(late).alias("seq"),
+        F.min_by("_previous", late).alias("_silent"),
+        F.min("_state.ts").alias("_committed"),
+        (F.min_by(before, late) - F.min(before)).alias("keepalive_count"),
+    )
+    wait = seconds_between(F.col("_committed"), F.col("_silent")) + limit_seconds
+    return waits.filter("seq IS NOT NULL").select(
         "conn_id", "seq",
         F.lit("failed").alias("status"),
         F.lit("timeout").alias("error_type"),
         round_exact(wait, 2).alias("wait_after_commit"),
-        (F.col("keepalive_count") - own).alias("keepalive_count"),
+        "keepalive_count",
     )
 
 
