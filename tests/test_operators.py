@@ -372,3 +372,22 @@ def test_round_exact_rounds_like_correct_decimal_rounding(spark):
                             text.fixed_text(F.col("v"), 3, sign=True)))
     for v, *found in got:
         assert found == [round(v, 2), round(v, 3), round(v, 4), f"{v:.1f}", f"{v:.2f}", f"{v:+.3f}"]
+
+
+def test_no_bin_holds_a_key(spark):
+    rng = random.Random(6)
+    rows = [("day", 1.7e15 + rng.random() * 8.64e10) for _ in range(3000)]
+    rows += [("tiny", rng.random() * 1e-7) for _ in range(3000)]
+    rows += [("noise", 5.0 + rng.gauss(0, 1e-6)) for _ in range(3000)]
+    rows += [(None, float(v)) for v in rng.choices(range(50), k=500)] + [("same", 2.5)] * 400
+    df = spark.createDataFrame(rows, "key string, v double")
+    binned = scan.fine_bins(df, ["key"], "v", bin_rows=50)
+    assert binned.count() == len(rows)
+    sizes = binned.groupBy("key", "_bin").agg(F.countDistinct("v").alias("n")).groupBy("key").agg(F.max("n"))
+    assert all(n <= 50 for _, n in rows_of(sizes))
+    order = binned.orderBy("key", "_bin", "v").select("key", "v").collect()
+    assert order == df.orderBy("key", "v").collect()
+    got = {r[0]: r[1:] for r in rows_of(quantiles.exact_quantiles(df, ["key"], "v", {"a": 0.5, "b": 0.95}))}
+    for key in {k for k, _ in rows}:
+        values = [v for k, v in rows if k == key]
+        assert got[key] == pytest.approx((np.quantile(values, 0.5), np.quantile(values, 0.95)), rel=1e-12)

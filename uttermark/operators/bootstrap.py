@@ -16,6 +16,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .scan import fine_bins
 from .superiority import superiority
 
 PRIME = 2147483647  # 2^31 - 1; products of two residues fit a BIGINT
@@ -152,16 +153,21 @@ def bootstrap_superiority(
     method: str = "poisson",
 ) -> DataFrame:
     """95 % interval of P(right < left) per key, both sides resampled."""
-    both = df.filter(F.col(side).isin(left, right))
-    draws = resample(
-        both, [*keys, side], value, row_id, seed=seed, replicas=replicas, method=method
-    )
+    both = df.filter(F.col(side).isin(left, right) & F.col(value).isNotNull())
+    group, bins = [*keys, side], None
+    if method == "poisson":
+        # Rows are weighted one by one, so bins of the plain rows serve all replicates.
+        slim = both.select(*group, F.col(value).cast("double").alias("_v"), F.col(row_id).alias("_id"))
+        both, value, row_id, bins = fine_bins(slim, keys, "_v"), "_v", "_id", "_bin"
+        group = [*group, bins]
+    draws = resample(both, group, value, row_id, seed=seed, replicas=replicas, method=method)
     per_rep = superiority(
         draws,
         [*keys, "rep"],
         "value",
         left=F.when(F.col(side) == left, F.col("weight")).otherwise(0),
         right=F.when(F.col(side) == right, F.col("weight")).otherwise(0),
+        bins=bins,
     )
     aggregates = (
         F.percentile("p_right", 0.025).alias("ci_low"),

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .joins import join_null_safe
-from .scan import value_bin
+from .scan import fine_bins
 
 
 def exact_quantiles(
@@ -36,7 +36,7 @@ def quantiles_of_counts(
     counts: DataFrame, keys: Sequence[str], quantiles: Mapping[str, float]
 ) -> DataFrame:
     """``exact_quantiles`` from counted distinct values (keys, _v, _c)."""
-    counts = counts.withColumn("_bin", value_bin(F.col("_v")))
+    counts = fine_bins(counts, keys, "_v")
     by_key = Window.partitionBy(*keys)
     bins = (
         counts.groupBy(*keys, "_bin")

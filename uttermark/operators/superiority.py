@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .scan import value_bin
+from .scan import fine_bins
 
 COUNT = "decimal(19,0)"
 
@@ -18,6 +18,7 @@ def superiority(
     *,
     left: Column,
     right: Column,
+    bins: str | None = None,
 ) -> DataFrame:
     """All left-right pairs per key compared with ``<``, without forming a pair.
 
@@ -26,7 +27,8 @@ def superiority(
     filtered out before. Equal values are summed up first. The sorted
     window covers one bin of one key: there every right value meets the left weight
     below it. Only bin totals are then run through per key, without a join.
-    NULL values are skipped. A key without one of the sides gives NULLs.
+    NULL values are skipped. A key without one of the sides gives NULLs. ``bins`` names a
+    column of ``scan.fine_bins`` where the caller has made them for other keys already.
 
     Result: keys, total_pairs, p_left (left < right), p_right, p_tie.
     """
@@ -37,15 +39,17 @@ def superiority(
         rows.select(
             *by,
             F.col(value).cast("double").alias("_v"),
+            *([F.col(bins).alias("_bin")] if bins else []),
             left.cast("bigint").alias("_l"),
             right.cast("bigint").alias("_r"),
         )
         .filter(F.col("_v").isNotNull())
-        .groupBy(*by, "_v")
+        .groupBy(*by, "_v", *(["_bin"] if bins else []))
         .agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
         .filter((F.col("_l") != 0) | (F.col("_r") != 0))
-        .withColumn("_bin", value_bin(F.col("_v")))
     )
+    if not bins:
+        weights = fine_bins(weights, by, "_v")
     inside = Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, -1
     )
