@@ -203,7 +203,7 @@ def test_streamed_outcomes_equal_the_batch_form(spark, stream_files):
 def test_streamed_settings_equal_the_batch_form(spark, stream_files):
     df, folder = stream_files
     got = run_stream(spark, folder, live.stream_settings, "settings", "complete")
-    want = m.session_settings(df).filter(~F.col("setting").isin(*m.SESSION_DEFAULTS))
+    want = m.session_settings(df)
     assert collected(got) == collected(want)
 
 

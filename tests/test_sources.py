@@ -3,7 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from uttermark.operators import matching, rollup
+from uttermark.operators import matching, rollup, runlog
+from uttermark.operators import runlog
 from uttermark.sources import readers, sinks
 
 
@@ -80,8 +81,13 @@ def test_summaries_quality_segments_logs(spark, tmp_path):
     segs = readers.read_segments(spark, str(tmp_path / "s.rttm")).collect()
     assert [(s["dur"], s["speaker"]) for s in segs] == [(1.25, "spk0"), (None, "spk1")]
     (tmp_path / "run.log").write_text("one\ntwo\nthree")
-    log = readers.read_log(spark, str(tmp_path / "run.log")).collect()
-    assert [(r["line_no"], r["line"]) for r in log] == [(0, "one"), (1, "two"), (2, "three")]
+    log = readers.read_log(spark, str(tmp_path / "run.log"))
+    assert [r["line"] for r in log.orderBy("line_no").collect()] == ["one", "two", "three"]
+    assert [r["line"] for r in runlog.tail(log, "line_no", 2).collect()] == ["two", "three"]
+    (tmp_path / "40-13-2026_v1").mkdir()
+    (tmp_path / "40-13-2026_v1" / "results.json").write_text('[{"file": "a"}]')
+    odd = readers.read_results(spark, str(tmp_path / "*" / "results.json")).collect()
+    assert [(r["run_id"], r["run_date"]) for r in odd] == [("40-13-2026_v1", None)]
 
 
 def test_media_scan(spark, tmp_path):

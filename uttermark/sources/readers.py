@@ -113,11 +113,13 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Log lines with their position in the file."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(
+    """Log lines with their place in the file: the start of their block, and their row in
+    it. Places order the lines of a log; files of any size are read block by block."""
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return spark.read.text(path).select(
         F.col("_metadata.file_name").alias("log"),
-        F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), row.alias("row")).alias("line_no"),
+        F.col("value").alias("line"),
     )
 
 

@@ -13,7 +13,7 @@ from ..functions.grading import is_success
 from ..operators.rollup import count_if
 from .messages import (
     APPEND, AUDIO, CLOSE, COMMIT, CONFIG, ERROR, FINAL, KEEPALIVE, PARTIAL, READY,
-    SESSION_UPDATE, STOP, chunk_bytes, error_text, message_texts, spoken_text,
+    SESSION_DEFAULTS, SESSION_UPDATE, STOP, chunk_bytes, error_text, message_texts, spoken_text,
 )
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -259,14 +259,24 @@ def stream_silences(messages: DataFrame, gap: str, watermark: str = "1 hour") ->
 
 
 def stream_settings(messages: DataFrame) -> DataFrame:
-    """Last value per connection and setting, for update or complete output."""
-    sent = messages.filter(F.col("type") == SESSION_UPDATE).select(
-        "conn_id", "seq",
-        F.explode(
-            F.from_json(F.get_json_object("payload", "$.session"), "map<string,string>")
-        ).alias("setting", "value"),
+    """Last value per connection and setting over the session defaults, for update or
+    complete output. State is one value per setting of each connection."""
+    entry = "array<struct<setting:string,value:string,seq:bigint>>"
+    defaults = F.array(
+        *[
+            F.struct(F.lit(k).alias("setting"), F.lit(v).alias("value"), F.lit(-1).alias("seq"))
+            for k, v in SESSION_DEFAULTS.items()
+        ]
     )
-    return sent.groupBy("conn_id", "setting").agg(F.max_by("value", "seq").alias("value"))
+    given = F.from_json(F.get_json_object("payload", "$.session"), "map<string,string>")
+    sent = F.transform(
+        F.map_entries(given),
+        lambda e: F.struct(e["key"].alias("setting"), e["value"].alias("value"), F.col("seq").alias("seq")),
+    )
+    update = F.when(F.col("type") == SESSION_UPDATE, sent.cast(entry))
+    every = F.concat(defaults.cast(entry), F.coalesce(update, F.array().cast(entry)))
+    rows = messages.select("conn_id", F.inline(every))
+    return rows.groupBy("conn_id", "setting").agg(F.max_by("value", "seq").alias("value"))
 
 
 def resume_sink(path: str, keys: Sequence[str] = ("file",)) -> Callable[[DataFrame, int], None]:
