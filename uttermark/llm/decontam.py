@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import table, written
+from .common import broadcast_if_small, table, written
 from .registry import query
 
 WINDOW = 10
@@ -88,12 +88,13 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     contaminated.
     """
     keys = ["k1", "k2"]
-    parsed = docs.select(
+    keyed = docs.select(
         "doc_id",
         F.xxhash64(F.lit(1), "doc_id", "text").alias("k1"),
         F.xxhash64(F.lit(2), "text", "doc_id").alias("k2"),
-        words(F.col("text")).alias("words"),
+        "text",
     )
+    parsed = keyed.select("doc_id", *keys, words(F.col("text")).alias("words"))
     listed = written(
         items.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("words")),
         "items",
@@ -154,9 +155,12 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         union.groupBy(*keys).agg(F.collect_set(F.struct("start", "length")).alias("starts")),
         "suspects",
     )
+    # First the documents that were hit, by their keys alone, then their windows.
+    hit = keyed.join(broadcast_if_small(suspects.select(*keys)), keys, "left_semi")
     found = written(
-        parsed.drop("doc_id")
+        hit.select(*keys, "text")
         .join(suspects, keys)
+        .withColumn("words", words(F.col("text")))
         .select(
             *keys,
             each(
