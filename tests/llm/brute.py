@@ -43,7 +43,7 @@ def near_duplicates(rows, k, num, den):
 
 
 def line_shingles(line):
-    return frozenset(re.findall(r"(?s)(?<!\S)(?=(\S.{0,7}))", line))
+    return frozenset(re.findall(r"(?s)(?<!\S)(?=(\S.{0,11}))", line))
 
 
 def dedup_lines(rows):
