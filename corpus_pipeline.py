@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from uttermark.llm.common import new_path, table
 from uttermark.llm.decontam import without_contaminated
-from uttermark.llm.langid import identify, learn
+from uttermark.llm.langid import MADE, identify, learn
 from uttermark.llm.lines import dedup_lines
 from uttermark.llm.minhash import without_near_duplicates
 from uttermark.llm.packing import pack
@@ -20,8 +20,9 @@ from uttermark.llm.packing import pack
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = learn(docs.select("doc_id", "text", "lang"), F.lit(True))
-    rows = docs.select("text", F.struct("*").alias("row"))
-    return identify(rows, known).filter("NOT rejected").select("row.*")
+    own = {c: f"_own_{c}" for c in docs.columns if c in MADE}
+    kept = identify(docs.withColumnsRenamed(own), known).filter("NOT rejected")
+    return kept.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import brute
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string"
 ENGLISH = "the house of the old man and the sea is on the hill where the {} wind was blowing all the night"
 
 

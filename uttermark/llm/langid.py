@@ -39,6 +39,7 @@ MARGIN = 0.01
 EVIDENCE = 24
 
 UNKNOWN = "und"
+MADE = ("lang_pred", "score", "rejected")
 APART = re.compile(r"[\W\d_]+")
 
 
@@ -118,8 +119,7 @@ def identify(
 ) -> DataFrame:
     """``docs`` with the columns lang_pred, score and rejected in place of any of those."""
     known = docs.sparkSession.sparkContext.broadcast(dictionaries)
-    made = ("lang_pred", "score", "rejected")
-    kept = docs.drop(*made)
+    kept = docs.drop(*MADE)
     at = kept.columns.index("text")
     schema = T.StructType(
         [
@@ -144,7 +144,7 @@ def identify(
                         pa.array(score, pa.float64()),
                         pa.array(rejected, pa.bool_()),
                     ],
-                    names=[*batch.schema.names, *made],
+                    names=[*batch.schema.names, *MADE],
                 )
 
     return kept.mapInArrow(run, schema)

@@ -343,13 +343,10 @@ def _judged(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     )
     known = components(near_first)
 
-    # A bucket whose members are in one component is settled. For the documents of the
-    # others, the pairs left to look at lie across components.
-    all_members = members.select("bucket", "node").unionByName(
-        buckets.select("bucket", F.col("pivot").alias("node"))
-    )
+    # All members have met the first document of their bucket. Where the members lie in
+    # one component, the bucket is settled; elsewhere pairs across components are left.
     placed = written(
-        all_members.join(known, "node", "left").select(
+        members.select("bucket", "node").join(known, "node", "left").select(
             "bucket", "node", F.coalesce("component", "node").alias("component")
         ),
         "placed",

@@ -378,7 +378,23 @@ def page_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
 
 
-@query("op1_warc_round_trip")
+SQL = """
+WITH d AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS x FROM pages),
+n AS (
+  SELECT page_id, strlen(html) AS payload_bytes, array_to_string(list_transform(range(32),
+    lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      ((('0x' || substr(x, (i // 4 * 5 + 1)::BIGINT, 5))::BIGINT >> (15 - i % 4 * 5)::BIGINT) & 31) + 1, 1)), '')
+    AS payload_digest FROM d),
+f AS (SELECT payload_digest, max(page_id) AS first FROM n GROUP BY payload_digest)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM n JOIN f USING (payload_digest)
+"""
+
+
+@query("op1_warc_round_trip", SQL)
 def op1(spark, sf_dir):
     path = new_path(spark, "warc")
     write_warc(page_records(table(spark, sf_dir, "pages")), path)
