@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import canonical_stem, file_stem, segment_aliases, timed_aliases
 from ..operators import matching
-from .bindings import table
+from .bindings import JUDGED, file_verdicts, records, table, with_sql
 from .registry import query
 
 RESULTS = """WITH results AS (
@@ -122,3 +122,51 @@ SELECT DISTINCT CASE WHEN doc_id % 3 = 2 THEN concat('doc_', doc_id) ELSE concat
     AS stem FROM results""")
 def distinct_stems(spark, root):
     return results(spark, root).select(canonical_stem(F.col("file")).alias("stem")).distinct()
+
+
+@query("unified_records", with_sql(*JUDGED, body="""
+, names AS (SELECT seq, user_id, engine, run_id, file, transcript_hash, length(transcript) AS transcript_length FROM records)
+SELECT seq, n.engine, n.run_id, n.file, transcript_hash, transcript_length::INTEGER AS transcript_length,
+    coalesce(v.has_hallucination, FALSE) AS has_hallucination, coalesce(v.severity, 'unknown') AS severity,
+    CASE WHEN v.user_id IS NOT NULL THEN concat('seen ', v.severity) END AS reasoning,
+    CASE WHEN n.user_id % 4 = 0 THEN n.user_id / 100.0::DOUBLE END AS avg_rms,
+    n.user_id % 10 > 3 AS has_timestamp, n.user_id % 10 > 1 AND n.user_id % 3 = 0 AS has_rttm
+FROM names n LEFT JOIN verdicts v USING (user_id)"""))
+def unified_records(spark, root):
+    """Every verdict and quality row comes twice, a wrong one first; timed references and
+    segments are stored under their aliases."""
+    rows = records(spark, root)
+    user, number = F.col("user_id"), F.col("user_id").cast("string")
+    labels = file_verdicts(spark, root)
+    right = (
+        rows.select("engine", "run_id", F.col("file").alias("filename"), "user_id").distinct()
+        .join(labels, "user_id")
+        .withColumns(
+            {
+                "line": F.lit(2),
+                "reasoning": F.concat(F.lit("seen "), F.col("severity")),
+                "evidence_hyp_text": F.lit(""),
+                "evidence_gt_context": F.lit(None).cast("string"),
+            }
+        )
+    )
+    wrong = right.withColumns(
+        {"line": F.lit(1), "has_hallucination": F.lit(True), "severity": F.lit("medium"),
+         "reasoning": F.lit("zzz")}
+    )
+    files = rows.select("file", "user_id").distinct()
+    quality = files.filter(user % 4 == 0).select(
+        "file", F.explode(F.array(F.lit(1), F.lit(2))).alias("line"), (user / 100).alias("avg_rms")
+    ).withColumn("avg_rms", F.when(F.col("line") == 1, 999.0).otherwise(F.col("avg_rms")))
+    media = files.filter(user % 10 > 1)
+    timed = media.filter(user % 10 > 3).select(
+        F.concat(F.lit("media_"), number, F.when(user % 2 == 0, " (1)").otherwise("_(1)")).alias("name")
+    )
+    segments = media.filter(user % 3 == 0).select(F.concat(F.lit("media_"), number).alias("name"))
+    found = matching.unified_records(
+        rows.drop("has_timestamp"), right.unionByName(wrong), quality, timed, segments
+    )
+    return found.select(
+        "seq", "engine", "run_id", "file", "transcript_hash", "transcript_length",
+        "has_hallucination", "severity", "reasoning", "avg_rms", "has_timestamp", "has_rttm",
+    )
