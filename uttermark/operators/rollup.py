@@ -309,3 +309,33 @@ def segment_stats(segments: DataFrame) -> DataFrame:
         F.count_distinct("speaker").alias("speakers"),
         F.coalesce(F.sum("dur"), F.lit(0.0)).alias("voiced_seconds"),
     )
+
+
+def hallucination_summary(records: DataFrame, errors: Sequence[str] = (
+    "insertion", "repetition", "content_replacement",
+)) -> DataFrame:
+    """Per engine the verdict counts, the files touched and Wilson intervals of the
+    hallucination and the high-severity rate. Files are counted from their own groups."""
+    per_file = records.groupBy("engine", "file").agg(
+        F.count(F.lit(1)).alias("n"),
+        count_if(F.col("has_hallucination")).alias("k"),
+        count_if(F.col("severity") == "high").alias("h"),
+        *[count_if(F.col("primary_error") == e).alias(e) for e in errors],
+    )
+    sums = per_file.groupBy("engine").agg(
+        F.sum("n").alias("total"),
+        F.sum("k").alias("hallucinations"),
+        F.sum("h").alias("high"),
+        count_if(F.col("k") > 0).alias("hallucinated_files"),
+        *[F.sum(e).alias(e) for e in errors],
+    )
+    n, k, h = F.col("total"), F.col("hallucinations"), F.col("high")
+    return sums.select(
+        "*",
+        (k / n).alias("rate"),
+        (h / n).alias("high_rate"),
+        wilson_low(k, n).alias("low"),
+        wilson_high(k, n).alias("up"),
+        wilson_low(h, n).alias("high_low"),
+        wilson_high(h, n).alias("high_up"),
+    )

@@ -156,3 +156,41 @@ def file_totals(spark, root):
         F.every(F.col("file") != "").alias("all_named"),
         F.some(F.col("status") == "failed").alias("any_failed"),
     )
+
+
+@query("exported_records", with_sql(*JUDGED, body="""
+SELECT engine, run_id, file, status, duration, NULL AS rf,
+    CASE WHEN cer_bp IS NULL THEN 'N/A' ELSE printf('%.2f%%', cer_bp / 100) END AS cer, inference_rtf, transcript_hash,
+    length(transcript)::INTEGER AS transcript_length, has_hallucination AS llm_has_hallucination,
+    primary_error AS llm_primary_error, severity AS llm_severity, confidence AS llm_confidence,
+    review_status AS llm_review_status, NULL AS audio_avg_rms, NULL AS audio_max_rms, NULL AS audio_avg_flatness,
+    NULL AS audio_avg_centroid, NULL AS audio_avg_rolloff, has_timestamp, NULL AS has_rttm FROM judged"""))
+def exported_records(spark, root):
+    rows = judged(spark, root).withColumns(
+        {
+            "transcript_length": F.length("transcript"),
+            # As stored: two decimals.
+            "cer": F.when(F.col("cer_bp").isNull(), "N/A").otherwise(
+                sinks.percent_cell(F.col("cer_bp") / 100, 2)
+            ),
+        }
+    )
+    return sinks.record_rows(rows)
+
+
+@query("hallucination_summary", with_sql(*JUDGED, body="""
+, c AS (SELECT engine, count(*)::DOUBLE AS n, count(*) FILTER (has_hallucination)::DOUBLE AS k,
+    count(*) FILTER (severity = 'high')::DOUBLE AS h, count(DISTINCT file) FILTER (has_hallucination) AS files,
+    count(*) FILTER (primary_error = 'insertion') AS insertion, count(*) FILTER (primary_error = 'repetition') AS repetition,
+    count(*) FILTER (primary_error = 'content_replacement') AS content_replacement FROM judged GROUP BY engine),
+w AS (SELECT *, 1.96::DOUBLE AS z FROM c)
+SELECT engine, n::BIGINT AS total, k::BIGINT AS hallucinations, h::BIGINT AS high, files AS hallucinated_files,
+    insertion, repetition, content_replacement, round(k / n, 6) AS rate, round(h / n, 6) AS high_rate,
+    round(greatest(0.0, (k / n + z * z / (2 * n) - z * sqrt((k / n * (1 - k / n) + z * z / (4 * n)) / n)) / (1 + z * z / n)), 6) AS low,
+    round(least(1.0, (k / n + z * z / (2 * n) + z * sqrt((k / n * (1 - k / n) + z * z / (4 * n)) / n)) / (1 + z * z / n)), 6) AS up,
+    round(greatest(0.0, (h / n + z * z / (2 * n) - z * sqrt((h / n * (1 - h / n) + z * z / (4 * n)) / n)) / (1 + z * z / n)), 6) AS high_low,
+    round(least(1.0, (h / n + z * z / (2 * n) + z * sqrt((h / n * (1 - h / n) + z * z / (4 * n)) / n)) / (1 + z * z / n)), 6) AS high_up
+FROM w"""))
+def hallucination_summary(spark, root):
+    """Per engine all that the hallucination table shows: counts, errors, both intervals."""
+    return rounded(rollup.hallucination_summary(judged(spark, root)))

@@ -87,6 +87,17 @@ def run_selection(spark, root):
     return chosen.groupBy("engine", "run_id", "run_version").agg(F.count(F.lit(1)).alias("n"))
 
 
+LISTED = ("05-01-2024_v1", "07-01-2024_v2", "01-01-1999_v1")
+
+
+@query("listed_runs", with_sql(*RECORDS, body=f"""
+SELECT engine, run_id, count(*) AS n FROM records WHERE run_id IN {LISTED} GROUP BY engine, run_id"""))
+def listed_runs(spark, root):
+    """A fixed list of runs, one of which does not exist."""
+    chosen = select_runs(records(spark, root), runs=list(LISTED))
+    return chosen.groupBy("engine", "run_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("runs_in_order", with_sql(*RECORDS, body="""
 SELECT engine, run_id, CAST(rank() OVER (PARTITION BY engine ORDER BY run_date, run_version) AS INTEGER)
     AS position

@@ -62,14 +62,19 @@ def export_verdicts(verdicts: DataFrame, path: str) -> bool:
     return True
 
 
-def export_records(records: DataFrame, path: str) -> None:
-    """Records CSV ordered by engine, run and file over all part files."""
+def record_rows(records: DataFrame) -> DataFrame:
+    """The columns of the records export, NULL where the records lack one, ordered by
+    engine, run and file."""
     cells = [
         (F.col(source) if source in records.columns else F.lit(None).cast("string")).alias(name)
         for name, source in RECORD_COLUMNS.items()
     ]
-    ordered = records.orderBy("engine", run_key(F.col("run_id")), "file").select(*cells)
-    ordered.write.option("header", True).option("escape", '"').mode("errorifexists").csv(path)
+    return records.orderBy("engine", run_key(F.col("run_id")), "file").select(*cells)
+
+
+def export_records(records: DataFrame, path: str) -> None:
+    """Records CSV ordered over all part files."""
+    record_rows(records).write.option("header", True).option("escape", '"').mode("errorifexists").csv(path)
 
 
 def export_json(summary: DataFrame, path: str) -> None:
