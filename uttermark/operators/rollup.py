@@ -339,3 +339,54 @@ def hallucination_summary(records: DataFrame, errors: Sequence[str] = (
         wilson_low(h, n).alias("high_low"),
         wilson_high(h, n).alias("high_up"),
     )
+
+
+def engine_summary(records: DataFrame) -> DataFrame:
+    """One row per engine: members, statuses, means, spread, percentiles and rates."""
+    facts = records.groupBy("engine").agg(
+        F.count(F.lit(1)).alias("records"),
+        count_if(is_success(F.col("status"))).alias("successes"),
+        count_if(~is_success(F.col("status"))).alias("failures"),
+        (F.avg("cer_bp") / 100).alias("cer_mean"),
+        (F.stddev_pop("cer_bp") / 100).alias("cer_std"),
+        (F.max("cer_bp") / 100).alias("cer_max"),
+        F.avg("inference_rtf").alias("rtf_mean"),
+        rate(F.col("has_hallucination")).alias("hallucination_rate"),
+        rate(F.col("severity") == "high").alias("high_severity_rate"),
+    )
+    ranks = quantiles_of_counts(
+        value_counts(records, ["engine"], "cer_bp"), ["engine"], {"cer_median": 0.5, "cer_p95": 0.95}
+    ).select("engine", (F.col("cer_median") / 100).alias("cer_median"), (F.col("cer_p95") / 100).alias("cer_p95"))
+    return merge_by_key([facts, distinct_members(records), ranks], ["engine"])
+
+
+def file_summary(records: DataFrame) -> DataFrame:
+    """One row per engine and file: the file grain, distinct values, the most frequent
+    transcript, the worst, best and latest run, and values of the first row."""
+    keys = ["engine", "file"]
+    mode = mode_by_first_seen(records, keys, "transcript_hash", "seq")
+    return merge_by_key(
+        [
+            file_grain(records),
+            distinct_values(records),
+            mode.select(*keys, F.col("transcript_hash").alias("main_hash"), F.col("n").alias("main_hash_runs")),
+            representatives(records),
+            first_row_values(records, keys, ["duration"], "seq"),
+        ],
+        keys,
+    )
+
+
+def run_summary(records: DataFrame) -> DataFrame:
+    """One row per engine and run, with the mean CER over files of a timed reference."""
+    timed = F.when(F.col("has_timestamp"), F.col("cer_bp"))
+    return records.groupBy("engine", "run_id").agg(
+        F.count(F.lit(1)).alias("records"),
+        count_if(is_success(F.col("status"))).alias("successes"),
+        (F.avg("cer_bp") / 100).alias("mean_cer"),
+        (F.avg(timed) / 100).alias("mean_cer_gt"),
+        F.avg("inference_rtf").alias("mean_rtf"),
+        rate(F.col("has_hallucination")).alias("hallucination_rate"),
+        rate(F.col("severity") == "high").alias("high_severity_rate"),
+        count_if(F.col("review_status") == "manual_review").alias("to_review"),
+    )

@@ -194,3 +194,46 @@ FROM w"""))
 def hallucination_summary(spark, root):
     """Per engine all that the hallucination table shows: counts, errors, both intervals."""
     return rounded(rollup.hallucination_summary(judged(spark, root)))
+
+
+@query("engine_summary", with_sql(*JUDGED, body="""
+SELECT engine, count(*) AS records, count(*) FILTER (status = 'success') AS successes,
+    count(*) FILTER (status <> 'success') AS failures, round(avg(cer_bp) / 100, 6) AS cer_mean,
+    round(stddev_pop(cer_bp) / 100, 6) AS cer_std, max(cer_bp) / 100 AS cer_max,
+    round(avg(inference_rtf), 6) AS rtf_mean, round(count(*) FILTER (has_hallucination) / count(*), 6) AS hallucination_rate,
+    round(count(*) FILTER (severity = 'high') / count(*), 6) AS high_severity_rate,
+    count(DISTINCT file) AS files, count(DISTINCT file) FILTER (has_timestamp) AS timestamped_files,
+    count(DISTINCT run_id) AS runs, round(quantile_cont(cer_bp, 0.5) / 100, 6) AS cer_median,
+    round(quantile_cont(cer_bp, 0.95) / 100, 6) AS cer_p95 FROM judged GROUP BY engine"""))
+def engine_summary(spark, root):
+    return rounded(rollup.engine_summary(judged(spark, root)))
+
+
+@query("file_summary", with_sql(*FILES, body="""
+, h AS (SELECT engine, file, transcript_hash, count(*) AS n, min(seq) AS first FROM judged GROUP BY ALL),
+m AS (SELECT engine, file, arg_max(transcript_hash, (n, -first)) AS main_hash, max(n) AS main_hash_runs
+    FROM h GROUP BY engine, file),
+d AS (SELECT engine, file, count(DISTINCT coalesce(cer_bp, -1)) AS distinct_cer_values,
+    count(DISTINCT transcript_hash) AS distinct_transcript_hashes, arg_min(duration, seq) AS duration,
+    arg_max(run_id, (cer_bp, run_date, run_version, seq)) FILTER (cer_bp IS NOT NULL) AS worst_run,
+    arg_min(run_id, (cer_bp, run_date, run_version, seq)) FILTER (cer_bp IS NOT NULL) AS best_run,
+    arg_max(run_id, (run_date, run_version, seq)) AS latest_run,
+    arg_max(transcript_hash, (run_date, run_version, seq)) AS latest_hash FROM judged GROUP BY engine, file)
+SELECT engine, file, runs, round(cer_mean, 6) AS cer_mean, round(cer_std, 6) AS cer_std, cer_min, cer_max,
+    round(rtf_mean, 6) AS rtf_mean, round(rtf_std, 6) AS rtf_std,
+    round(hallucination_rate, 6) AS hallucination_rate, round(high_severity_rate, 6) AS high_severity_rate,
+    tier_changes, has_timestamp, distinct_cer_values, distinct_transcript_hashes, main_hash, main_hash_runs,
+    worst_run, best_run, latest_run, latest_hash, duration
+FROM files JOIN d USING (engine, file) JOIN m USING (engine, file)"""))
+def file_summary(spark, root):
+    return rounded(rollup.file_summary(judged(spark, root)))
+
+
+@query("run_summary", with_sql(*JUDGED, body="""
+SELECT engine, run_id, count(*) AS records, count(*) FILTER (status = 'success') AS successes,
+    round(avg(cer_bp) / 100, 6) AS mean_cer, round(avg(cer_bp) FILTER (has_timestamp) / 100, 6) AS mean_cer_gt,
+    round(avg(inference_rtf), 6) AS mean_rtf, round(count(*) FILTER (has_hallucination) / count(*), 6) AS hallucination_rate,
+    round(count(*) FILTER (severity = 'high') / count(*), 6) AS high_severity_rate,
+    count(*) FILTER (review_status = 'manual_review') AS to_review FROM judged GROUP BY engine, run_id"""))
+def run_summary(spark, root):
+    return rounded(rollup.run_summary(judged(spark, root)))
