@@ -11,6 +11,9 @@ where two entities would share one, or one names a real entity, the later is dra
 Only mentions are shuffled, and combined where equal before that; a document's text moves
 once, and only if the table of documents with mentions is too large to broadcast.
 
+Letters and digits of any script change within their own; a phone or card number in other
+digits is the entity of its value and keeps them.
+
 Defined cases: a null text stays null, one without mentions stays as it is. A null id is
 an id like any other. Repeated rows are treated alike. Extra columns stay.
 """
@@ -20,7 +23,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -86,6 +91,11 @@ def _iban_check(country: str, rest: str) -> str:
     return f"{98 - int(number) % 97:02d}"
 
 
+def _digits(raw: str) -> str:
+    """The digits of ``raw``, of any script, as ASCII."""
+    return "".join(str(unicodedata.decimal(c)) for c in raw if c.isdecimal())
+
+
 def entity(match: re.Match) -> tuple[str, str] | None:
     """(kind, canonical form) of a match, or None if it is not what it looks like."""
     kind, raw = match.lastgroup, match.group()
@@ -101,12 +111,12 @@ def entity(match: re.Match) -> tuple[str, str] | None:
         fits = _iban_check(packed[:2], packed[4:]) == packed[2:4]
         return (kind, packed) if fits else None
     if kind == "phone":
-        digits = re.sub(r"\D", "", raw)
+        digits = _digits(raw)
         if not 8 <= len(digits) <= 15:
             return None
         return kind, ("+" if raw[0] == "+" else "") + digits
     if kind in ("ssn", "number"):
-        return kind, re.sub(r"\D", "", raw)
+        return kind, _digits(raw)
     title, names = re.split(r"[. ]+", raw, maxsplit=1)
     return "name:" + TITLES[title.lower()], " ".join(names.title().split())
 
@@ -137,24 +147,77 @@ def permute(key: bytes, tweak: str, value: int, size: int) -> int:
 
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
              "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "абвгдежзийклмнопрстуфхцчшщъыьэюя"]
-PLACE = {c: (i, j) for i, a in enumerate(ALPHABETS) for j, c in enumerate(a)}
+#: Letters of these ranges make one alphabet, all others those of their kind within 256.
+WIDE = [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x20000, 0x323AF)]
+
+
+def _sort(c: str) -> tuple:
+    """Letters of one kind change into each other: equal category, and equal behaviour
+    when case changes, so that a surrogate is found again as itself."""
+    return unicodedata.category(c), c.lower() == c, c.upper().lower() == c
+
+
+@lru_cache(None)
+def _lone() -> list[str]:
+    """The letters that are the only ones of their kind within 256."""
+    found: dict[tuple, list[str]] = {}
+    for c in map(chr, range(0x110000)):
+        if c.isalnum() and not c.isdecimal() and not any(c in a for a in ALPHABETS):
+            if not any(low <= ord(c) <= high for low, high in WIDE):
+                found.setdefault((ord(c) >> 8, *_sort(c)), []).append(c)
+    return [cs[0] for cs in found.values() if len(cs) == 1]
+
+
+@lru_cache(65536)
+def alphabet(c: str) -> str:
+    """The letters or digits, ``c`` among them, that stand for each other in surrogates;
+    none for signs. Covers every letter, digit and numeral that a pattern's \\w accepts."""
+    for letters in ALPHABETS:
+        if c in letters:
+            return letters
+    if c.isdecimal():  # the ten digits of a script follow each other
+        zero = ord(c) - unicodedata.decimal(c)
+        return "".join(map(chr, range(zero, zero + 10)))
+    if not c.isalnum():
+        return ""
+    low = ord(c) & ~0xFF
+    low, high = next((w for w in WIDE if w[0] <= ord(c) <= w[1]), (low, low + 0xFF))
+    return _alphabet_within(low, high, _sort(c)) or "".join(_lone())
+
+
+@lru_cache(None)
+def _alphabet_within(low: int, high: int, sort: tuple) -> str:
+    found = [
+        c
+        for c in map(chr, range(low, high + 1))
+        if c.isalnum() and not c.isdecimal() and _sort(c) == sort
+        and not any(c in a for a in ALPHABETS)
+        and not any(w[0] <= ord(c) <= w[1] and w[0] != low for w in WIDE)
+    ]
+    return "".join(found) if len(found) > 1 else ""
 
 
 def permute_text(key: bytes, tweak: str, text: str, alphabets=None) -> str:
     """Each letter or digit becomes one of its own alphabet; everything else stays."""
-    alphabets = alphabets or ALPHABETS
-    place = {c: (i, j) for i, a in enumerate(alphabets) for j, c in enumerate(a)}
-    spots = [(n, *place[c]) for n, c in enumerate(text) if c in place]
+    listed = alphabets or ALPHABETS
+    place = {c: a for a in listed for c in a}
+    spots = []
+    for n, c in enumerate(text):
+        letters = place.get(c) or ("" if alphabets else alphabet(c))
+        if letters:
+            spots.append((n, letters, letters.index(c)))
     value, size = 0, 1
-    for _, i, j in spots:
-        value = value * len(alphabets[i]) + j
-        size *= len(alphabets[i])
-    form = "".join(str(place[c][0]) if c in place else c for c in text)
-    value = permute(key, f"{tweak}/{form}", value, size)
+    for _, letters, j in spots:
+        value = value * len(letters) + j
+        size *= len(letters)
+    form = list(text)
+    for n, letters, _ in spots:
+        form[n] = str(listed.index(letters)) if letters in listed else letters[0]
+    value = permute(key, f"{tweak}/{''.join(form)}", value, size)
     out = list(text)
-    for n, i, _ in reversed(spots):
-        value, j = divmod(value, len(alphabets[i]))
-        out[n] = alphabets[i][j]
+    for n, letters, _ in reversed(spots):
+        value, j = divmod(value, len(letters))
+        out[n] = letters[j]
     return "".join(out)
 
 
@@ -191,9 +254,16 @@ def surrogate(key: bytes, kind: str, value: str, turn: int) -> str:
     if kind == "email":
         local, _, domain = value.rpartition("@")
         site, _, end = domain.rpartition(".")
-        # A site keeps one surrogate, whoever writes from it.
+        # A site keeps one surrogate, whoever writes from it; only those that were refused
+        # twice get another one. They grow too, as all strings of their form may be taken,
+        # or have no letter to change.
+        longer, number = "", _prf(key, tweak, value)
+        for _ in range(turn - 1):
+            number, j = divmod(number, 26)
+            longer += ALPHABETS[1][j]
+        where = "site" if turn < 2 else f"site/{turn}"
         return "@".join(
-            [permute_text(key, f"{tweak}/{domain}", local), permute_text(key, "site", site) + "." + end]
+            [permute_text(key, f"{tweak}/{domain}", local) + longer, permute_text(key, where, site) + "." + end]
         )
     if kind.startswith("name:"):
         script = "cyrillic" if re.search("[А-яЁё]", value) else "latin"
@@ -222,7 +292,14 @@ def render(raw: str, kind: str, found: str) -> str:
     if kind == "ip":
         return found
     rest = iter(re.sub(r"[^0-9A-Z]", "", found))
-    return "".join(next(rest) if re.match(r"[0-9A-Z]", c) else c for c in raw)
+    out = []
+    for c in raw:
+        if re.match(r"[0-9A-Z]", c):
+            c = next(rest)
+        elif c.isdecimal():  # keeps its script
+            c = chr(ord(c) - unicodedata.decimal(c) + int(next(rest)))
+        out.append(c)
+    return "".join(out)
 
 
 # Spark.
