@@ -8,6 +8,12 @@ strings of their format, so different entities cannot meet; names come from list
 gender and script. A check joins all surrogates with each other and with all entities:
 where two entities would share one, or one names a real entity, the later is drawn anew.
 
+Names are found behind titles, and then, in the same document, without them or shortened
+(see ``linked``). A name is one entity in all documents, whatever its titles say. Limits: a
+person without any title in a document is not found there; 'Mr. Smith' alone is another
+entity than the 'John Smith' of other documents; a word of a person's name that begins
+with a capital for another reason is taken for the person.
+
 Only mentions are shuffled, and combined where equal before that; a document's text moves
 once, and only if the table of documents with mentions is too large to broadcast.
 
@@ -281,11 +287,15 @@ def surrogate(key: bytes, kind: str, value: str, turn: int) -> str:
     return permute_text(key, tweak, value)
 
 
-def render(raw: str, kind: str, found: str) -> str:
-    """The surrogate in the format of the mention ``raw``."""
+def render(raw: str, kind: str, found: str, part: str | None = None) -> str:
+    """The surrogate in the format of the mention ``raw``, of names the words ``part``."""
     if kind.startswith("name:"):
-        cut = re.match(r"\S+ ", raw).end()
+        title = re.match(rf"(?:(?i:{_SHORT})\.|(?i:{_LONG})) ", raw)
+        cut = title.end() if title else 0
         names = raw[cut:]
+        if part:
+            words = found.split(" ")
+            found = " ".join(words[int(i)] for i in part.split(","))
         return raw[:cut] + (found.upper() if names.isupper() else found)
     if kind in ("email", "key"):
         return found.upper() if raw.isupper() else found
@@ -313,19 +323,113 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
     return [(a, b, *e) for a, b, e in found if e]
 
 
+_WORD = re.compile(r"[\w'’\-]+")
+
+
+def linked(text: str | None) -> list[tuple[int, int, str, str, str]]:
+    """``mentions`` with those of persons linked: (start, end, kind, canonical, part).
+
+    A titled name of fewer words, as in 'Mr. Smith', is the one person of the text whose
+    longer name holds these words in order, ends like it or begins like it, and whose
+    gender agrees; if there are several, it stays a name of its own. Then every untitled
+    mention of a full name or of its last or first word, in the case of the name or in
+    capitals, is one of that person too, or a name of its own if several persons have it. ``part`` lists which
+    words of the name are mentioned, and is empty for other kinds."""
+    found = mentions(text)
+    named = [(i, k[5:], v.split(" ")) for i, (_, _, k, v) in enumerate(found) if k.startswith("name:")]
+    if not named:
+        return [(*f, "") for f in found]
+    genders: dict[tuple, set[str]] = {}
+    for _, gender, words in named:
+        genders.setdefault(tuple(words), set()).add(gender)
+
+    def places(short: tuple, full: tuple) -> list[int] | None:
+        out, at = [], 0
+        for w in short:
+            if w not in full[at:]:
+                return None
+            out.append(full.index(w, at))
+            at = out[-1] + 1
+        return out if out[-1] == len(full) - 1 or out[0] == 0 else None
+
+    def agree(a: set[str], b: set[str]) -> bool:
+        a, b = a - {""}, b - {""}
+        return not a or not b or a == b
+
+    persons = {}
+    for short, told in genders.items():
+        longer = [
+            full for full in genders
+            if len(full) > len(short) and places(short, full) and agree(told, genders[full])
+        ]
+        # 'John Smith' and 'John Paul Smith' may be one person; the longest name holds the rest.
+        top = [a for a in longer if all(a == b or places(b, a) for b in longer)]
+        full = top[0] if top else short
+        persons[short] = (full, places(short, full))
+    out = []
+    for i, (start, stop, kind, value) in enumerate(found):
+        part = ""
+        if kind.startswith("name:"):
+            full, at = persons[tuple(value.split(" "))]
+            value, part = " ".join(full), ",".join(map(str, at))
+        out.append((start, stop, kind, value, part))
+    forms: dict[tuple, set] = {}
+    for full in {f for f, _ in persons.values()}:
+        everything = tuple(range(len(full)))
+        parts = {everything, everything[-1:], everything[:1], (0, len(full) - 1) if len(full) > 1 else everything}
+        for at in parts:
+            forms.setdefault(tuple(full[i] for i in at), set()).add((full, at))
+    for short, (full, at) in persons.items():
+        forms.setdefault(short, set()).add((full, tuple(at)))
+    longest = max(map(len, forms))
+    free, last = [], 0
+    for start, stop, *_ in found:
+        free.append((last, start))
+        last = stop
+    free.append((last, len(text)))
+    for low, high in free:
+        tokens = [m for m in _WORD.finditer(text, low, high)]
+        i = 0
+        while i < len(tokens):
+            step = 1
+            for n in range(min(longest, len(tokens) - i), 0, -1):
+                part = tokens[i : i + n]
+                if any(text[a.end() : b.start()] not in (" ", "\n") for a, b in zip(part, part[1:])):
+                    continue
+                raw = [m.group() for m in part]
+                # A possessive is no part of the name.
+                tail = re.search(r"['’](?:s|S)?$", raw[-1])
+                stop = part[-1].end() - (len(tail.group()) if tail else 0)
+                raw[-1] = raw[-1][: len(raw[-1]) - len(tail.group())] if tail else raw[-1]
+                if not all(w[:1].isupper() for w in raw):
+                    continue
+                short = tuple(w.title() for w in raw)
+                who = forms.get(short, ())
+                if who:
+                    # Of several persons it can be any: a name of its own, not left in clear.
+                    (full, at), = who if len(who) == 1 else [(short, tuple(range(n)))]
+                    told = set().union(*(g for s, g in genders.items() if persons[s][0] == full)) - {""}
+                    gender = told.pop() if len(told) == 1 else ""
+                    out.append((part[0].start(), stop, f"name:{gender}", " ".join(full), ",".join(map(str, at))))
+                    step = n
+                    break
+            i += step
+    return sorted(out)
+
+
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
     for whole in batches:
         for at in range(0, whole.num_rows, 1024):
             batch = whole.slice(at, 1024)
             rows = []
             for i, text in enumerate(batch.column(2)):
-                for found in mentions(text.as_py()):
+                for found in linked(text.as_py()):
                     rows.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), *found))
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), types)],
-                    names=["k1", "k2", "start", "stop", "kind", "value"],
+                    names=["k1", "k2", "start", "stop", "kind", "value", "part"],
                 )
 
 
@@ -389,7 +493,7 @@ def _replace(at: int, spans_at: int):
                         out, last = [], 0
                         for s in sorted(spans, key=lambda s: s["start"]):
                             out += [text[last : s["start"]]]
-                            out += [render(text[s["start"] : s["stop"]], s["kind"], s["made"])]
+                            out += [render(text[s["start"] : s["stop"]], s["kind"], s["made"], s["part"])]
                             last = s["stop"]
                         text = "".join([*out, text[last:]])
                     texts.append(text)
@@ -415,15 +519,36 @@ def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     found = written(
         rows.select(*[c.alias(k) for k, c in keys.items()], "text").mapInArrow(
             _find,
-            "k1 bigint, k2 bigint, start bigint, stop bigint, kind string, value string",
+            "k1 bigint, k2 bigint, start bigint, stop bigint, kind string, value string, part string",
         ),
         "mentions",
     ).distinct()
+    # A name is one entity, whichever titles it has. Its gender is the one they tell; if
+    # they tell both or none, it is open.
+    named = F.col("kind").startswith("name:")
+    told = F.when(F.length("kind") > 5, F.col("kind"))
+    genders = written(
+        found.filter(named)
+        .groupBy("value")
+        .agg(F.min(told).alias("low"), F.max(told).alias("high"))
+        .select(
+            F.lit("name:").alias("family"),
+            "value",
+            F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("name:").alias("whole"),
+        ),
+        "genders",
+    )
+    found = (
+        found.withColumn("family", F.when(named, "name:"))
+        .join(broadcast_if_small(genders), ["family", "value"], "left")
+        .withColumn("kind", F.coalesce("whole", "kind"))
+        .drop("family", "whole")
+    )
     made = surrogates(found.select("kind", "value").distinct(), key.encode())
     spans = written(
         found.join(made.drop("turn"), ["kind", "value"])
         .groupBy("k1", "k2")
-        .agg(F.collect_list(F.struct("start", "stop", "kind", "made")).alias("_spans"))
+        .agg(F.collect_list(F.struct("start", "stop", "kind", "made", "part")).alias("_spans"))
         .select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_spans"),
         "spans",
     )
