@@ -25,7 +25,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import broadcast_if_small, table, written
 from .registry import query
 
-CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
+#: '=' is a candidate's only as padding at a value's end, not where a value follows it.
+CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}+(?:={1,2}+(?![\"'`]?[A-Za-z0-9+/_\-$({<\[]))?+"
+SHORTEST = 16
 TRAIN_ROWS = 5000
 TREES, DEPTH = 24, 6
 WORD_COUNT = 3
@@ -38,13 +40,14 @@ TEST_PATH = "test|mock|example|sample|fixture|doc|vendor|lock|node_modules"
 
 FEATURES = [
     "length", "changes", "digits", "uppers", "signs", "kinds", "pair_log", "covered",
-    "assigned", "quoted", "word_for", "word_against", "path_depth", "path_test",
+    "assigned", "quoted", "word_for", "word_against", "behind_for", "behind_against", "path_depth", "path_test",
 ]
 
 
 def findings(docs: DataFrame) -> DataFrame:
     """One row per candidate of ``docs`` (doc_id, text, path): doc_id, k1, k2, ord, start
-    (in characters), candidate, before, path. ``before`` is the text in front of it."""
+    (in characters), candidate, before, after, path. ``before`` and ``after`` are the
+    ``AROUND`` characters of the text in front of and behind it, whatever they hold."""
     cut = docs.select(
         "doc_id",
         "path",
@@ -57,29 +60,47 @@ def findings(docs: DataFrame) -> DataFrame:
         F.arrays_zip("found", "between"),
         lambda x: F.struct(
             x["found"].alias("candidate"),
-            F.right(x["between"], F.lit(AROUND)).alias("before"),
+            F.left(x["between"], F.lit(AROUND)).alias("head"),
+            F.right(x["between"], F.lit(AROUND)).alias("tail"),
             F.char_length(x["between"]).alias("gap"),
         ),
     )
     rows = cut.select("doc_id", "path", "k1", "k2", F.posexplode_outer(parts).alias("ord", "x")).select(
         "doc_id", "path", "k1", "k2", "ord", "x.*"
     )
-    # Between lies one string more than candidates, the end of the text; an outer explode
-    # adds a row without any. Both go. A plain one would run the patterns twice.
-    rows = written(rows.filter("candidate IS NOT NULL"), "findings")
-    upto = Window.partitionBy("k1", "k2").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.dropDuplicates(["k1", "k2", "ord"]).select(
-        "doc_id",
-        "k1",
-        "k2",
-        "ord",
-        (
-            F.sum(F.col("gap") + F.char_length("candidate")).over(upto)
-            - F.char_length("candidate")
-        ).alias("start"),
-        "candidate",
-        "before",
-        "path",
+    # Between lies one string more than candidates, the end of the text; it is kept as
+    # what is behind the last one. An outer explode adds a row without any. A plain one
+    # would run the patterns twice.
+    rows = written(rows.filter("candidate IS NOT NULL OR ord > 0"), "findings")
+    order = Window.partitionBy("k1", "k2").orderBy("ord")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    # So many neighbours fill the characters around with their candidates alone.
+    near = range(1, -(-AROUND // SHORTEST) + 1)
+    front = F.right(F.concat("tail", F.coalesce("candidate", F.lit(""))), F.lit(AROUND))
+    back = F.left(F.concat("head", F.coalesce("candidate", F.lit(""))), F.lit(AROUND))
+    return (
+        rows.dropDuplicates(["k1", "k2", "ord"])
+        .withColumns({"_front": front, "_back": back})
+        .select(
+            "doc_id",
+            "k1",
+            "k2",
+            "ord",
+            (
+                F.sum(F.col("gap") + F.char_length("candidate")).over(upto)
+                - F.char_length("candidate")
+            ).alias("start"),
+            "candidate",
+            F.right(
+                F.concat(*[F.lag("_front", i, "").over(order) for i in reversed(near)], "tail"),
+                F.lit(AROUND),
+            ).alias("before"),
+            F.left(
+                F.concat(*[F.lead("_back", i, "").over(order) for i in near]), F.lit(AROUND)
+            ).alias("after"),
+            "path",
+        )
+        .filter("candidate IS NOT NULL")
     )
 
 
@@ -176,6 +197,8 @@ def featured(found: DataFrame, docs: DataFrame) -> DataFrame:
             "quoted": flag(F.col("before").rlike("[\"'`]$")),
             "word_for": flag(F.col("before").rlike(rf"(?i)(?:{FOR})\W{{0,6}}(?:\w+\W{{1,4}}){{0,2}}$")),
             "word_against": flag(F.col("before").rlike(rf"(?i)(?:{AGAINST})\W{{0,6}}(?:\w+\W{{1,4}}){{0,2}}$")),
+            "behind_for": flag(F.col("after").rlike(rf"(?i)^\W{{0,6}}(?:\w+\W{{1,4}}){{0,2}}\w*(?:{FOR})")),
+            "behind_against": flag(F.col("after").rlike(rf"(?i)^\W{{0,6}}(?:\w+\W{{1,4}}){{0,2}}\w*(?:{AGAINST})")),
             "path_depth": F.coalesce(F.regexp_count("path", F.lit("/")), F.lit(0)).cast("double"),
             "path_test": flag(F.col("path").rlike(rf"(?i)(?:{TEST_PATH})")),
         }
