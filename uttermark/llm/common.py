@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,12 +36,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64_000_000
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(
+    df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None
+) -> DataFrame:
     """``df``, a written table of narrow rows, marked for broadcast if its counted rows
-    are few. Beyond that Spark joins by shuffle, and splits skewed partitions."""
-    return F.broadcast(df) if df.count() <= rows else df
+    are few. Rows that hold arrays or texts of any length have a ``size`` in bytes, whose
+    sum must be at most ``BROADCAST_BYTES`` too. Beyond that Spark goes by its own
+    estimate, joins by shuffle, and splits skewed partitions."""
+    if size is None:
+        return F.broadcast(df) if df.count() <= rows else df
+    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= BROADCAST_BYTES else df
 
 
 def components(edges: DataFrame) -> DataFrame:

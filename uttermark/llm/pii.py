@@ -552,7 +552,14 @@ def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
         .select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_spans"),
         "spans",
     )
-    joined = rows.withColumns(keys).join(broadcast_if_small(spans, 100_000), ["_k1", "_k2"], "left")
+    held = F.aggregate(
+        "_spans",
+        F.lit(64).cast("bigint"),
+        lambda n, s: n + 96 + F.octet_length(s["kind"]) + F.octet_length(s["made"]) + F.octet_length(s["part"]),
+    )
+    joined = rows.withColumns(keys).join(
+        broadcast_if_small(spans, 100_000, held), ["_k1", "_k2"], "left"
+    )
     names = rows.columns
     schema = T.StructType([*rows.schema.fields, T.StructField("n_entities", T.LongType())])
     return joined.select(*names, "_spans").mapInArrow(
