@@ -6,9 +6,9 @@ weigh little; the language of the smallest total wins. The score is the share by
 the runner-up is larger. A text is rejected if it has no letter, or if the score is under
 ``margin`` while the text is long enough to tell.
 
-Learning takes, by order of a hash, at most ``SAMPLES`` pieces of ``PIECE`` characters for
-each language, and the ``LANGUAGES`` languages with the most rows; these bounds keep the
-dictionaries at 128 KB each. Prediction reads whole texts, and nothing but texts.
+Learning takes every language. It takes, by order of a hash, at most ``SAMPLES`` pieces of
+``PIECE`` characters for each; of more than ``FULL`` languages so many fewer, but one at
+least, that all dictionaries together stay as large as those of ``FULL``. Prediction reads whole texts, and nothing but texts.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and rejected.
 A tie goes to the language with more labelled rows. Without any labelled row all is
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from .common import table
 from .registry import query
 
-LANGUAGES = 256
+FULL = 256
 SAMPLES = 128
 PIECE = 1024
 BLOCK = 4096
@@ -52,9 +52,8 @@ def learn(docs: DataFrame, learn_from: Column) -> list[tuple[str, bytes]]:
     """(language, dictionary) of the labelled rows of ``docs`` (doc_id, text, lang) for
     which ``learn_from`` holds, the language with the most rows first."""
     rows = docs.filter(learn_from & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = (
-        rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    )
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    most = max(1, min(SAMPLES, SAMPLES * FULL // max(1, len(counts))))
     room = F.greatest(F.length("text") - PIECE, F.lit(0)) + 1
     place = F.pmod(F.xxhash64("text"), room) + 1
     pieces = rows.select(
@@ -66,8 +65,7 @@ def learn(docs: DataFrame, learn_from: Column) -> list[tuple[str, bytes]]:
     turn = Window.partitionBy("lang").orderBy("turn", "piece")
     sample = (
         pieces.withColumn("rank", F.row_number().over(turn))
-        .filter(F.col("rank") <= SAMPLES)
-        .filter(F.col("lang").isin([r["lang"] for r in counts]))
+        .filter(F.col("rank") <= most)
         .orderBy("lang", "rank")
         .collect()
     )
