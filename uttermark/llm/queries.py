@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from . import (  # noqa: F401
-    decontam, embeddings, htmltext, langid, lines, manifest, minhash, packing, pii, secrets, warc,
+    decontam, embeddings, htmltext, langid, lines, manifest, minhash, negatives, packing, pii,
+    secrets, topk, warc,
 )
 from .registry import ORACLES, QUERIES
 
