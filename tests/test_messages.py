@@ -133,9 +133,20 @@ def test_discriminator(spark):
 # ------------------------------------------------------------------ streaming
 
 
+def write_batches(spark, folder, batches):
+    """One file for each micro-batch; the last one holds messages of another connection
+    ten days on, so that the watermark passes all others."""
+    late = [
+        (99, 10**6 + i, START + dt.timedelta(days=10), kind, "{}") for i, kind in enumerate((m.COMMIT, m.CLOSE))
+    ]
+    for rows in [*batches, late]:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+
+
 @pytest.fixture(scope="module")
 def stream_files(spark, tmp_path_factory):
-    """Random traffic of a hot and some quiet connections, in several files."""
+    """Random traffic of a hot and some quiet connections, in several files; every eighth
+    message arrives a file later than its successors."""
     rng = random.Random(11)
     kinds = [m.APPEND, m.COMMIT, m.KEEPALIVE, m.PARTIAL, m.PARTIAL, m.FINAL, m.ERROR, m.SESSION_UPDATE]
     rows = []
@@ -150,15 +161,16 @@ def stream_files(spark, tmp_path_factory):
         }.get(kind, dict)()
         rows.append((conn, i * 10, kind, body))
     df = make(spark, rows)
+    parts = sorted((tuple(r) for r in df.collect()), key=lambda r: r[1])
+    batches = [[] for _ in range(7)]
+    for i, row in enumerate(parts):
+        batches[i // 100 + (i % 8 == 0)].append(row)
     folder = tmp_path_factory.mktemp("stream")
-    parts = sorted(df.collect(), key=lambda r: r["seq"])
-    for n in range(6):
-        spark.createDataFrame(parts[n * 100 : (n + 1) * 100], SCHEMA).coalesce(1).write.mode(
-            "append").parquet(str(folder / "in"))
+    write_batches(spark, folder, batches)
     return df, folder
 
 
-def run_stream(spark, folder, build, name, mode="append"):
+def run_stream(spark, folder, build, name, mode="append", progress=None):
     source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
     query = (
         build(source).writeStream.format("memory").queryName(name).outputMode(mode)
@@ -166,15 +178,22 @@ def run_stream(spark, folder, build, name, mode="append"):
     )
     query.awaitTermination(180)
     assert query.exception() is None
-    return spark.table(name)
+    if progress is not None:
+        progress += query.recentProgress
+    return spark.table(name).filter("conn_id <> 99")
 
 
-def test_streamed_commits_equal_the_batch_form(spark, stream_files):
+def test_streamed_commits_equal_the_batch_form_and_state_goes(spark, stream_files):
     df, folder = stream_files
     live.use_rocksdb(spark)
-    got = run_stream(spark, folder, live.stream_commit_units, "units")
+    progress = []
+    got = run_stream(spark, folder, live.stream_commit_units, "units", progress=progress)
     want = m.commit_units(df).select("conn_id", "unit", "chunks", "bytes", "commit_seq")
     assert collected(got) == collected(want)
+    held = [p.stateOperators[0].numRowsTotal for p in progress if p.stateOperators]
+    # After a day of silence nothing of the nine connections is left: what remains is the
+    # last one's message and its timer.
+    assert max(held) >= 18 and held[-1] == 2
 
 
 def test_streamed_texts_equal_the_batch_form(spark, stream_files):
@@ -184,20 +203,62 @@ def test_streamed_texts_equal_the_batch_form(spark, stream_files):
     assert collected(got) == collected(m.resolved_texts(df))
 
 
-def test_streamed_outcomes_equal_the_batch_form(spark, stream_files):
+def test_streamed_outcomes_equal_the_batch_form_with_open_attempts(spark, stream_files):
     df, folder = stream_files
     live.use_rocksdb(spark)
     order = (m.PARTIAL, m.KEEPALIVE, m.FINAL)
     got = run_stream(spark, folder, lambda s: live.stream_attempt_outcomes(s, 300, order), "outcomes")
-    ends = df.filter(F.col("type").isin(m.FINAL, m.ERROR, m.CLOSE)).groupBy("conn_id").count()
-    want = (
-        m.attempt_outcomes(df, 300).join(m.handshake_order(df, order), ["conn_id", "attempt"])
-        .join(ends, "conn_id").filter("attempt < count").drop("count")
-    )
+    want = m.attempt_outcomes(df, 300).join(m.handshake_order(df, order), ["conn_id", "attempt"])
     text = [F.coalesce(c, F.lit("-")).alias(c) for c in ("error_type", "error_message")]
     columns = ["conn_id", "attempt", "status", *text, "in_order"]
     assert collected(got.select(*columns)) == collected(want.select(*columns))
     assert got.filter("error_type = 'timeout'").count() > 0 and got.filter("in_order").count() > 0
+    assert got.filter("error_type = 'client_error'").count() > 0
+
+
+def test_streamed_timeouts_need_no_message_of_their_own(spark, tmp_path):
+    waits = [
+        (1, 0, m.KEEPALIVE, {}), (1, 1, m.COMMIT, {}), (1, 5, m.KEEPALIVE, {}), (1, 9, m.KEEPALIVE, {}),
+        (1, 70, m.KEEPALIVE, {}), (1, 71, m.DONE, {}), (1, 200, m.COMMIT, {}), (1, 250, m.DONE, {}),
+        (1, 400, m.APPEND, {}), (2, 10, m.COMMIT, {}), (2, 20, m.KEEPALIVE, {}), (3, 10, m.KEEPALIVE, {}),
+        (4, 410, m.COMMIT, {}), (4, 430, m.ERROR, {}), (4, 440, m.COMMIT, {}), (4, 500, m.COMMIT, {}),
+    ]
+    df = make(spark, waits)
+    parts = sorted((tuple(r) for r in df.collect()), key=lambda r: r[2])
+    live.use_rocksdb(spark)
+    write_batches(spark, tmp_path, [parts[1::2] + parts[4:6], parts[::2]])  # some come twice
+    got = run_stream(spark, tmp_path, lambda s: live.stream_timeouts(s, 60, "10 minutes", "2 hours"), "waits")
+    columns = ("conn_id", "status", "error_type", "wait_after_commit", "keepalive_count")
+    want = m.timeouts(df, 60, until=START + dt.timedelta(days=9))
+    assert collected(got.select(*columns)) == collected(want.select(*columns))
+    assert collected(got.select("conn_id", "last_seq")) == [(1, 3), (2, 10), (4, 15)]
+
+
+def test_streamed_stages_equal_the_batch_form(spark, stream_files):
+    df, folder = stream_files
+    live.use_rocksdb(spark)
+    kinds = dict(connected=m.KEEPALIVE, streamed=m.APPEND, committed=m.COMMIT, received=m.FINAL)
+    ends = [m.FINAL, m.ERROR]
+    got = run_stream(spark, folder, lambda s: live.stream_latency_stages(s, **kinds, ends=ends), "stages")
+    want = m.latency_stages(df, **kinds, ends=ends)
+    assert got.columns == want.columns and len(got.columns) == 10
+    plain = lambda d: sorted(map(str, collected_rows(d)))
+    assert plain(got) == plain(want) and got.count() > 20
+    with pytest.raises(ValueError):
+        live.stream_latency_stages(df, **kinds, ends=[m.ERROR])
+
+
+def collected_rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_a_connection_that_speaks_again_after_its_ttl_begins_anew(spark, tmp_path):
+    rows = [(1, 0, m.APPEND, audio(4)), (1, 1, m.COMMIT, {}), (1, 10, m.APPEND, audio(2)),
+            (1, 9000, m.APPEND, audio(3)), (1, 9001, m.COMMIT, {})]
+    live.use_rocksdb(spark)
+    write_batches(spark, tmp_path, [[tuple(r)] for r in make(spark, rows).collect()])
+    got = run_stream(spark, tmp_path, lambda s: live.stream_commit_units(s, "1 minute", "1 hour"), "anew")
+    assert collected(got) == [(1, 0, 1, 3, 4), (1, 0, 1, 4, 1)]
 
 
 def test_streamed_settings_equal_the_batch_form(spark, stream_files):

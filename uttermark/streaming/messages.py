@@ -272,6 +272,21 @@ def resolved_texts(messages: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFra
     )
 
 
+def stage_columns() -> list[Column]:
+    """Seconds and real-time factors of a unit out of the times of its stages."""
+    wait = seconds_between(F.col("_committed"), F.col("_received"))
+    total = seconds_between(F.col("_start"), F.col("_received"))
+    duration = F.col("bytes_sent") / BYTES_PER_SECOND
+    return [
+        round_exact(seconds_between(F.col("_start"), F.col("_connected")), 3).alias("connect_time"),
+        round_exact(seconds_between(F.col("_stream"), F.col("_committed")), 2).alias("stream_time"),
+        round_exact(wait, 3).alias("wait_after_commit"),
+        round_exact(total, 2).alias("total_time"),
+        ratio(total, duration).alias("total_rtf"),
+        ratio(wait, duration).alias("inference_rtf"),
+    ]
+
+
 def latency_stages(
     messages: DataFrame, *, connected: str, streamed: str, committed: str, received: str,
     ends: Sequence[str], block_rows: int = BLOCK_ROWS,
@@ -297,17 +312,8 @@ def latency_stages(
         F.coalesce(F.sum("_bytes"), F.lit(0)).alias("bytes_sent"),
         count_if(kind == streamed).alias("chunks_sent"),
     )
-    wait = seconds_between(F.col("_committed"), F.col("_received"))
-    total = seconds_between(F.col("_start"), F.col("_received"))
-    duration = F.col("bytes_sent") / BYTES_PER_SECOND
     return stages.filter(F.col("_received").isNotNull()).select(
-        "conn_id", "unit", "chunks_sent", "bytes_sent",
-        round_exact(seconds_between(F.col("_start"), F.col("_connected")), 3).alias("connect_time"),
-        round_exact(seconds_between(F.col("_stream"), F.col("_committed")), 2).alias("stream_time"),
-        round_exact(wait, 3).alias("wait_after_commit"),
-        round_exact(total, 2).alias("total_time"),
-        ratio(total, duration).alias("total_rtf"),
-        ratio(wait, duration).alias("inference_rtf"),
+        "conn_id", "unit", "chunks_sent", "bytes_sent", *stage_columns()
     )
 
 
