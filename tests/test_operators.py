@@ -131,6 +131,23 @@ def test_draws_and_weights_are_even(spark):
     assert mean == pytest.approx(1, abs=0.03) and var == pytest.approx(1, abs=0.06)
 
 
+def test_repeated_values_get_one_draw_of_their_number(spark):
+    data = [("s", i, float(i < 300)) for i in range(340)]  # 300 rows of 1.0, 40 of 0.0
+    df = spark.createDataFrame(data, "key string, id long, v double")
+    drawn = bootstrap.resample(df, ["key"], "v", "id", seed=5)
+    assert drawn.count() == 2 * bootstrap.REPLICAS
+    moments = {r[0]: r[1:] for r in rows_of(drawn.groupBy("value").agg(
+        F.avg("weight"), F.var_pop("weight"), F.min("weight")))}
+    for value, n in ((1.0, 300), (0.0, 40)):
+        mean, variance, least = moments[value]
+        assert mean == pytest.approx(n, rel=0.01) and variance == pytest.approx(n, rel=0.12) and least >= 0
+    sides = drawn.groupBy("rep").pivot("value", [0.0, 1.0]).sum("weight")
+    assert abs(sides.agg(F.corr("`0.0`", "`1.0`")).first()[0]) < 0.08  # drawn apart
+    low, high = rows_of(bootstrap.bootstrap_mean(df, ["key"], "v", "id", seed=5))[0][1:]
+    p = 300 / 340
+    assert (high - low) == pytest.approx(2 * 1.96 * math.sqrt(p * (1 - p) / 340), rel=0.1) and low < p < high
+
+
 def test_bootstrap_superiority(spark):
     data = [("f", s, i, 10.0 + i + (3 if s == "L" else 0)) for s in "LR" for i in range(12)]
     data += [("p", "L", 1, 2.0), ("p", "R", 1, 1.0), ("lone", "L", 1, 1.0)]

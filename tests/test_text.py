@@ -1,4 +1,6 @@
+import random
 import re
+import time
 import unicodedata
 from pathlib import PurePosixPath
 
@@ -161,3 +163,43 @@ def test_log_lines_round_trip(values):
     assert (got.clock, got.conn, got.event, got.fields) == (
         "10:11:12", "ab12", "commit_received", {"bytes": "12", "total": "3"},
     )
+
+
+def edited(rng, text, times):
+    chars = list(text)
+    for _ in range(times):
+        at, kind = rng.randrange(len(chars)), rng.random()
+        if kind < 0.4:
+            chars[at] = rng.choice("xyé漢😀")
+        elif kind < 0.7:
+            chars.insert(at, rng.choice("xyé漢😀"))
+        else:
+            del chars[at]
+    return "".join(chars)
+
+
+def test_edit_distance_of_long_texts_equals_the_whole_matrix(values):
+    rng = random.Random(1)
+    rows = []
+    for n in (1, 5, 255, 256, 257, 300, 700, 1500):
+        for d in (0, 1, 3, 8, 30, 70, 300):
+            a = "".join(rng.choice("abcé漢😀") for _ in range(n))
+            rows.append((a, edited(rng, a, min(d, n // 2))))
+    rows += [("", "x" * 400), ("x" * 400, ""), ("ab" * 300, "ab" * 310), ("a" * 300, "b" * 300),
+             (None, "a"), ("a" * 300, None), (None, "a" * 300)]
+    a, b = F.col("a"), F.col("b")
+    assert all(x == y for x, y in values("a string, b string", rows, t.edit_distance(a, b), F.levenshtein(a, b)))
+
+
+def test_edit_distance_of_very_long_texts_takes_no_matrix(values):
+    rng = random.Random(2)
+    a = "".join(rng.choice("abcdefgé漢😀") for _ in range(50_000))
+    spots = sorted(rng.sample(range(0, 50_000, 50), 10), reverse=True)
+    b = a
+    for i, at in enumerate(spots):  # ten places far apart, of all three kinds
+        b = b[:at] + ["", "#", "#" + b[at]][i % 3] + b[at + 1 :]
+    started = time.time()
+    got = values("a string, b string", [(a, b), (b, a), (a, a), (a, a[300:] + b[:7])],
+                 t.edit_distance(F.col("a"), F.col("b")))
+    assert [r[0] for r in got[:3]] == [10, 10, 0] and 290 <= got[3][0] <= 307
+    assert time.time() - started < 30  # the matrix of one pair alone takes longer

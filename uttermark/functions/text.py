@@ -46,13 +46,96 @@ def canonical_stem(name: Column) -> Column:
     return F.regexp_replace(words, "^_+|_+$", "")
 
 
+#: Texts up to this length take the plain matrix; in longer ones one edit in so many code
+#: points, but no more than this, is followed along the diagonals, which is where that costs
+#: what the matrix does; then these widths of a band are tried.
+PLAIN_LENGTH, PER_EDIT, EDITS, BANDS = 256, 48, 512, (2048, 16384)
+
+
+def _equal_run(a: Column, b: Column, i: Column, j: Column, most: Column) -> Column:
+    """Code points that are equal from ``i`` in ``a`` and ``j`` in ``b`` on, at most ``most``;
+    both are binary, four bytes each. Halves are compared as wholes, and where the first
+    sixteen differ, as on most diagonals, only those are looked at."""
+
+    def longer(n: Column, more: Column) -> Column:
+        piece = lambda x, at: F.substring(x, (at + n) * 4 + 1, more * 4)
+        return F.when((n + more <= most) & (piece(a, i) == piece(b, j)), n + more).otherwise(n)
+
+    def halves(top: int) -> Column:
+        return F.aggregate(F.array(*[F.lit(1 << x) for x in range(top, -1, -1)]), F.lit(0), longer)
+
+    same = F.substring(a, i * 4 + 1, F.lit(64)) == F.substring(b, j * 4 + 1, F.lit(64))
+    return F.when(same, halves(27)).otherwise(halves(3))
+
+
+def _edits_by_diagonals(a: Column, b: Column) -> Column:
+    """Distance of two UTF-32 binaries if it is small beside their length, else NULL.
+
+    The front holds for each diagonal how far down it e edits lead at most. It grows by one
+    edit to all sides and then slides along equal text, so the cost is that of the length
+    plus the square of the distance.
+    """
+    n, m = (F.octet_length(x) / 4 for x in (a, b))
+    n, m = n.cast("int"), m.cast("int")
+    edits = F.least(F.lit(EDITS), (F.greatest(n, m) / PER_EDIT).cast("int"))
+
+    def slid(row: Column, k: Column) -> Column:
+        return row + _equal_run(a, b, row, row + k, F.least(n - row, m - row - k))
+
+    def grown(state: Column, e: Column) -> Column:
+        before = state["front"]
+
+        def furthest(k: Column) -> Column:
+            near = [F.get(before, k + e - 2), F.get(before, k + e - 1) + 1, F.get(before, k + e) + 1]
+            row = F.least(F.greatest(*near), n, m - k)
+            return F.when(row >= F.greatest(F.lit(0), -k), slid(row, k))
+
+        front = F.transform(F.sequence(-e, e), furthest)
+        return F.when(state["found"].isNull(), at_end(front, e)).otherwise(state)
+
+    def at_end(front: Column, e: Column) -> Column:
+        checked = lambda f: F.struct(
+            f.alias("front"), F.when(F.get(f, m - n + e) >= n, e).alias("found")
+        )
+        return F.transform(F.array(front), checked)[0]
+
+    start = at_end(F.array(slid(F.lit(0), F.lit(0))), F.lit(0))
+    reached = F.aggregate(F.sequence(F.lit(1), edits), start, grown, lambda s: s["found"])
+    return F.when(F.abs(n - m) <= edits, reached)
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance in code points, NULL if a side is. Exact.
+
+    Long texts do not fill a matrix of length x length: see ``_edits_by_diagonals``; beyond
+    its reach bands along the diagonal come first where they are narrow beside the text.
+    """
+
+    def distance(t: Column) -> Column:
+        a, b = t["a"], t["b"]
+        longest = F.greatest(F.length(a), F.length(b))
+        bands = [
+            F.when(longest > 8 * k, F.nullif(F.levenshtein(a, b, k), F.lit(-1))) for k in BANDS
+        ]
+        near = F.transform(
+            F.array(F.struct(F.encode(a, "UTF-32").alias("a"), F.encode(b, "UTF-32").alias("b"))),
+            lambda x: _edits_by_diagonals(x["a"], x["b"]),
+        )[0]
+        return F.coalesce(near, *bands, F.levenshtein(a, b))
+
+    # One-element transforms evaluate what they are given once per row.
+    long = F.greatest(F.length(a), F.length(b)) > PLAIN_LENGTH
+    found = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), distance)[0]
+    return F.when(a.isNull() | b.isNull(), None).when(long, found).otherwise(F.levenshtein(a, b))
+
+
 def char_error_rate(hyp: Column, ref: Column) -> Column:
     """Edit distance over reference length; an empty reference scores 0 or 1.
 
     Both sides should already be normalised. The distance counts code points.
     """
     return (
-        F.when(F.length(ref) > 0, F.levenshtein(hyp, ref) / F.length(ref))
+        F.when(F.length(ref) > 0, edit_distance(hyp, ref) / F.length(ref))
         .when(F.length(hyp) > 0, F.lit(1.0))
         .otherwise(F.lit(0.0))
     )

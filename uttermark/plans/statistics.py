@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.grading import winner
 from ..operators import compare, rollup, triage
 from ..operators.bootstrap import (
-    POISSON_STEPS, PRIME, REPLICAS, bootstrap_mean, bootstrap_superiority,
+    FEW, POISSON_STEPS, PRIME, REPLICAS, TURN, bootstrap_mean, bootstrap_superiority,
 )
 from ..operators.superiority import superiority
 from .bindings import (
@@ -74,14 +74,20 @@ def _pow5(x: str) -> str:
 def draws_sql(source: str, keys: str, seed: int) -> str:
     """Views ending in ``draws`` (keys, rep, value, weight) over ``source`` (keys, value, row)."""
     first = f"((rep + 1) * 1000003 + {seed} * 7919) % {PRIME}"
-    weight = " + ".join(f"(d2 >= {int(s * PRIME)})::BIGINT" for s in POISSON_STEPS)
+    few = " + ".join(f"(d2 >= {int(s * PRIME)})::BIGINT" for s in POISSON_STEPS)
+    normal = f"sqrt(ln((d1 + 1) / ({PRIME} + 1.0::DOUBLE)) * -2.0::DOUBLE) * cos(d2 / {PRIME}::DOUBLE * {TURN}::DOUBLE)"
+    many = f"greatest(floor(n + sqrt(n::DOUBLE) * {normal} + 0.5::DOUBLE), 0)::BIGINT"
     return f"""
 , reps AS (SELECT unnest(range(0, {REPLICAS})) AS rep),
-draw0 AS (SELECT {keys}, rep, value, row, ({first} * 48271 + row % {PRIME} * 69621 + 11) % {PRIME} AS d0
-    FROM {source}, reps),
+same AS (SELECT {keys}, value, count(*) AS n, min(row) AS row FROM {source} GROUP BY {keys}, value),
+atoms AS (SELECT {keys}, value, row, CASE WHEN n > {FEW} THEN n ELSE 1 END AS n,
+    unnest(range(0, CASE WHEN n > {FEW} THEN 1 ELSE n END)) AS part FROM same),
+draw0 AS (SELECT {keys}, rep, value, row, n,
+    (({first} * 48271 + row % {PRIME} * 69621 + 11) % {PRIME} + part * 40692) % {PRIME} AS d0 FROM atoms, reps),
 draw1 AS (SELECT *, ({_pow5('d0')} + row % {PRIME} * 16807 + 101) % {PRIME} AS d1 FROM draw0),
 draw2 AS (SELECT *, {_pow5('d1')} AS d2 FROM draw1),
-draws AS (SELECT * FROM (SELECT {keys}, rep, value, {weight} AS weight FROM draw2) WHERE weight > 0)"""
+draws AS (SELECT * FROM (SELECT {keys}, rep, value, CASE WHEN n > 1 THEN {many} ELSE {few} END AS weight FROM draw2)
+    WHERE weight > 0)"""
 
 
 def mean_ci_sql(keys: str) -> str:
