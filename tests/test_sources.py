@@ -3,9 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from uttermark.operators import matching, rollup, runlog
-from uttermark.operators import runlog
-from uttermark.sources import readers, sinks
+from uttermark.operators import checks, matching, rollup, runlog
+from uttermark.sources import readers, run_tree, sinks
 
 
 @pytest.fixture
@@ -43,8 +42,8 @@ def test_results(spark, runs):
 
 def test_references_and_texts(spark, tmp_path):
     (tmp_path / "gt.json").write_text(json.dumps({"a.mp3": "x\ny", "b.mp3": "é"}), encoding="utf-8")
-    got = dict(map(tuple, readers.read_references(spark, str(tmp_path / "gt.json")).collect()))
-    assert got == {"a.mp3": "x\ny", "b.mp3": "é"}
+    got = sorted(map(tuple, readers.read_references(spark, str(tmp_path / "gt.json")).collect()))
+    assert got == [("a.mp3", "x\ny", 0), ("b.mp3", "é", 1)]
     folder = tmp_path / "timed"
     folder.mkdir()
     (folder / "m 1+2 (1).txt").write_text("[0 - 1] SPEAKER 1: hi\n[1 - 2] SPEAKER 2: yo", encoding="utf-8")
@@ -176,3 +175,94 @@ def test_unified_records_from_files(spark, runs, tmp_path):
     sinks.export_records(facts, str(tmp_path / "records"))
     grains = rollup.grains(facts).filter("grain = 'engine'").collect()
     assert {r["engine"]: r["records"] for r in grains} == {"alpha": 4, "beta": 1}
+
+
+def test_the_last_of_repeated_references_and_verdicts_counts(spark, tmp_path):
+    (tmp_path / "gt.json").write_text('{"a.mp3": "z first", "b.mp3": "b", "a.mp3": "a last"}', encoding="utf-8")
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+    refs = readers.read_references(spark, str(tmp_path / "gt.json"))
+    results = spark.createDataFrame([("a.mp3",), ("c.mp3",)], "file string")
+    got = matching.match_exact(results, refs).collect()
+    spark.conf.unset("spark.sql.mapKeyDedupPolicy")
+    assert sorted(map(tuple, got)) == [("a.mp3", "a last"), ("c.mp3", None)]
+    folder = tmp_path / "alpha" / "19-04-2026_v1"
+    folder.mkdir(parents=True)
+    lines = [f"m{i % 7}.mp3,True,insertion,{'high' if i >= 93 else 'none'},low,auto_accept,,,,\"x\n{i}\",," for i in range(100)]
+    (folder / "d.csv").write_text("\n".join([",".join(readers.schemas.VERDICT_COLUMNS), *lines]), encoding="utf-8")
+    verdicts = readers.read_verdicts(spark, f"{tmp_path}/alpha/*/*.csv")
+    last = matching.last_of(verdicts.select("filename", "severity", "reasoning", "line"), ["filename"]).collect()
+    assert len(last) == 7 and {r["severity"] for r in last} == {"high"}
+    assert {int(r["reasoning"].split()[1]) for r in last} == set(range(93, 100))
+
+
+def test_run_tree_reads_only_the_runs_asked_for(spark, runs):
+    # Whatever is not asked for is broken, so that reading it would show.
+    for name, text in [("21-04-2026_v1", "{no json"), ("21-04-2026_v3", '{"file": "an object"}'), ("22-04-2026_v1", "")]:
+        folder = runs / "alpha" / name
+        folder.mkdir()
+        (folder / "results.json").write_text(text, encoding="utf-8")
+    (runs / "beta" / "23-04-2026_v1").mkdir()
+    (runs / "beta" / "20-04-2026_v1" / "results.json").write_text(
+        json.dumps([{"file": "x", "duration": "long", "rf": 2**40, "delay_ms": 5.0, "profile": {"a": 1}}, 7]), encoding="utf-8")
+    tree = run_tree.read_run_tree(spark, str(runs))
+    plain = readers.read_results(spark, f"{runs}/*/*/results.json")
+    assert set(plain.columns) | {"corrupt"} == set(tree.columns)
+    asked = readers.select_runs(tree.filter("engine = 'alpha'"), date="2026-04-19")
+    assert asked.rdd.getNumPartitions() == 2 and asked.filter("corrupt is not null").count() == 0
+    columns = [c for c in plain.columns if c != "corrupt"]
+    want = readers.select_runs(plain.filter("engine = 'alpha'"), date="2026-04-19").select(*columns)
+    assert sorted(map(str, asked.select(*columns).collect())) == sorted(map(str, want.collect()))
+    assert readers.select_runs(tree, low=3, high=10).rdd.getNumPartitions() == 2
+    assert readers.select_runs(tree, runs=["20-04-2026_v1", "gone"]).rdd.getNumPartitions() == 1
+    assert tree.filter("run_date > '2026-04-19' and run_date < '2026-04-22' and run_version = 1").rdd.getNumPartitions() == 2
+    assert tree.filter("engine = 'gone'").count() == 0 and tree.rdd.getNumPartitions() == 8
+    odd = tree.filter("run_id = '20-04-2026 x'").first()
+    assert odd["run_date"] is None and odd["run_version"] == 0 and odd["corrupt"] is None
+    broken = {r["run_id"] + ":" + str(r["file"]): r["corrupt"] for r in tree.filter("corrupt is not null").collect()}
+    assert broken["20-04-2026_v1:x"] == "duration: not double; rf: not int"
+    assert broken["20-04-2026_v1:None"] == "element: not an object"
+    assert all(broken[f"{v}:None"].startswith("file: ") for v in ("21-04-2026_v1", "21-04-2026_v3", "22-04-2026_v1"))
+    kept = tree.filter("file = 'x'").first()
+    assert kept["delay_ms"] == 5 and kept["profile"] == '{"a": 1}' and kept["duration"] is None
+
+
+def files_of(folder):
+    return {p: p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def test_write_back_leaves_the_files_of_other_runs(spark, tmp_path):
+    path = str(tmp_path / "results")
+    rows = [("a", f"r{run}", f"f{i}", i / 4, None) for run in range(10) for i in range(5)]
+    df = spark.createDataFrame(rows, "engine string, run_id string, file string, v double, cer double")
+    sinks.append_results(df, path)
+    before = files_of(tmp_path)
+    stored = spark.read.parquet(path)
+    scored = stored.withColumn("cer", F.when(F.col("run_id").isin("r3", "r7"), F.col("v") * 2))
+    runs = sinks.changed_runs(stored, scored)
+    assert sorted(r["run_id"] for r in runs.collect()) == ["r3", "r7"]
+    for _ in range(2):  # a repeated batch leaves the same rows
+        sinks.write_back(scored, path, runs)
+        now = files_of(tmp_path)
+        touched = {p.parent.name for p in set(before) ^ set(now)}
+        assert touched == {"run_id=r3", "run_id=r7"}
+        assert {p: t for p, t in now.items() if p in before} == {
+            p: t for p, t in before.items() if p.parent.name not in touched}
+        spark.catalog.refreshByPath(path)
+        got = spark.read.parquet(path).select(*df.columns).collect()
+        assert sorted(map(str, got)) == sorted(map(str, scored.select(*df.columns).collect()))
+        runs = spark.createDataFrame([("a", "r3"), ("a", "r7")], "engine string, run_id string")
+    assert sinks.changed_runs(stored, stored.union(stored.filter("file = 'f1' and run_id = 'r1'"))).count() == 1
+
+
+def test_a_failed_rule_keeps_the_version_out_of_place(spark, tmp_path):
+    df = spark.createDataFrame([(i, None if i == 3 else i / 2) for i in range(10)], "id int, v double")
+    rules = {"v is known": F.col("v").isNotNull(), "id is small": F.col("id") < 9}
+    with pytest.raises(checks.ExpectationFailed, match="v is known: 1, id is small: 1"):
+        sinks.write_checked(df, str(tmp_path / "out"), rules)
+    assert list(tmp_path.iterdir()) == []
+    good = df.filter("v is not null and id < 9")
+    assert sinks.write_checked(good, str(tmp_path / "out"), rules) == {"rows": 8}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 8
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+    with pytest.raises(FileExistsError):
+        sinks.write_checked(good, str(tmp_path / "out"), rules)

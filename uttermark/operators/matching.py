@@ -27,8 +27,14 @@ def last_wins(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def match_exact(results: DataFrame, references: DataFrame) -> DataFrame:
-    """Left join on the exact file name; ``references`` is (file, ref_text)."""
-    return results.join(last_wins(references, ["file"], "ref_text"), "file", "left")
+    """Left join on the exact file name; ``references`` is (file, ref_text). Of entries that
+    repeat a file the one of the greatest ``pos`` counts, as ``read_references`` numbers
+    them; without that column, that of the greatest text."""
+    if "pos" in references.columns:
+        last = last_wins(references, ["file"], "pos").drop("pos")
+    else:
+        last = last_wins(references, ["file"], "ref_text")
+    return results.join(last, "file", "left")
 
 
 def reference_by_stem(references: DataFrame, name: str, text: str, order: str) -> DataFrame:

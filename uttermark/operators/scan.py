@@ -9,7 +9,7 @@ block is joined back, so that the row-level window only ever sees one block.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -18,6 +18,27 @@ from .joins import join_null_safe
 BLOCK_ROWS = 1 << 18
 
 
+def _in_blocks(df: DataFrame, keys: Sequence[str], seq: str, block_rows: int, *extra: Column) -> DataFrame:
+    """``df`` with the ``extra`` columns, ``_key`` and ``_block``, dealt out by these two.
+
+    Summaries and row windows both start from this exchange, and Spark runs it once: the
+    row travels as one struct and is opened behind it, so neither reader can have the
+    exchange pruned to columns of its own, which would be another exchange and another scan.
+    As fields of a struct, NULL keys meet each other in joins too.
+    """
+    wide = df.select("*", *extra)
+    return (
+        wide.select(
+            F.struct(*keys).alias("_key"),
+            # Never NULL: Spark would push a filter that says so into one reader's exchange.
+            F.coalesce(F.floor(F.col(seq) / block_rows), F.lit(0).cast("bigint")).alias("_block"),
+            F.struct(*wide.columns).alias("_row"),
+        )
+        .repartition("_key", "_block")
+        .select("_key", "_block", F.inline(F.array("_row")))
+    )
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -36,19 +57,15 @@ def running(
     blocks at most; take larger blocks where ``seq`` is sparse, such as a clock.
     """
     sums, lasts, totals = dict(sums or {}), dict(lasts or {}), dict(totals or {})
-    # As fields of a struct, NULL keys meet each other in joins too.
     group = ["_key", "_block"]
-    rows = df.select(
-        "*",
-        F.struct(*keys).alias("_key"),
-        F.floor(F.col(seq) / block_rows).alias("_block"),
+    rows = _in_blocks(
+        df, keys, seq, block_rows,
         *[c.alias(f"_s_{n}") for n, c in sums.items()],
         *[c.alias(f"_l_{n}") for n, c in lasts.items()],
+        *[c.alias(f"_t_{n}") for n, c in totals.items()],
     )
 
-    block_totals = rows.select(
-        "*", *[c.alias(f"_t_{n}") for n, c in totals.items()]
-    ).groupBy(*group).agg(
+    block_totals = rows.groupBy(*group).agg(
         *[F.sum(f"_t_{n}").alias(f"_t_{n}") for n in totals],
         *[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in sums],
         *[
@@ -83,6 +100,42 @@ def running(
     )
 
 
+def running_breaks(
+    df: DataFrame, keys: Sequence[str], seq: str, value: str, begins: Callable[[Column, Column], Column],
+    name: str, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Add ``name``, the number of stretches of a key begun up to each row, in one pass.
+
+    A row begins one where ``begins(value before, value)`` holds; the first row of a key
+    always does. What happens at the edge of two blocks follows from their first and last
+    values, which travel with the block summaries.
+    """
+    group = ["_key", "_block"]
+    inside = Window.partitionBy(*group).orderBy(seq)
+    before = F.lag(value).over(inside)
+    first = F.row_number().over(inside) == 1
+    rows = (
+        _in_blocks(df, keys, seq, block_rows)
+        .withColumn("_new", F.when(first, 0).when(begins(before, F.col(value)), 1).otherwise(0).cast("bigint"))
+        .withColumn("_new", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    )
+    blocks = rows.groupBy(*group).agg(
+        F.min_by(value, seq).alias("_first"), F.max_by(value, seq).alias("_last"), F.max("_new").alias("_inner")
+    )
+    along = Window.partitionBy("_key").orderBy("_block")
+    edge = F.when(F.row_number().over(along) == 1, 1).when(
+        begins(F.lag("_last").over(along), F.col("_first")), 1
+    ).otherwise(0).cast("bigint")
+    inflow = blocks.withColumn("_edge", edge).select(
+        *group,
+        (
+            F.coalesce(F.sum(F.col("_edge") + F.col("_inner")).over(
+                along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_edge")
+        ).alias("_begun"),
+    )
+    return rows.join(inflow, group).select(*df.columns, (F.col("_new") + F.col("_begun")).alias(name))
+
+
 def row_position(
     df: DataFrame, keys: Sequence[str], seq: str, name: str, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:

@@ -58,10 +58,11 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_references(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object ``{file: text}`` -> (file, ref_text)."""
+    """One JSON object ``{file: text}`` -> (file, ref_text, pos), ``pos`` being the place of
+    the entry, by which the last of repeated ones is known."""
     whole = spark.read.text(path, wholetext=True)
-    pairs = F.explode(F.from_json("value", "map<string,string>"))
-    return whole.select(pairs.alias("file", "ref_text"))
+    pairs = F.posexplode(F.from_json("value", "map<string,string>"))
+    return whole.select(pairs.alias("pos", "file", "ref_text")).select("file", "ref_text", "pos")
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -73,7 +74,9 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
-    """``<engine root>/<run>/*.csv`` with a header, quoted line breaks and doubled quotes."""
+    """``<engine root>/<run>/*.csv`` with a header, quoted line breaks and doubled quotes.
+    ``line`` rises along a file, which quoted line breaks keep in one task, so that
+    ``matching.last_of`` finds the last verdict."""
     raw = (
         spark.read.schema(schemas.VERDICT_DDL)
         .option("header", True)
@@ -81,7 +84,9 @@ def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
         .option("escape", '"')
         .csv(path)
     )
-    rows = raw.select("*", *_run_identity()).filter(F.coalesce("filename", F.lit("")) != "")
+    line = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("line")
+    numbered = raw.select("*", line, *_run_identity())
+    rows = numbered.filter(F.coalesce("filename", F.lit("")) != "")
     return _runs_only(rows).withColumn(
         "has_hallucination", F.lower("has_hallucination") == "true"
     )

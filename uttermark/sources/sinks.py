@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions.text import escape_cell, fixed_text, run_key
+from ..operators.checks import ExpectationFailed
 from .schemas import VERDICT_COLUMNS
 
 # The columns of the records export and where each one comes from.
@@ -46,20 +48,102 @@ def write_metrics(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").partitionBy("engine", "run_id").parquet(path)
 
 
+def changed_runs(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(engine, run_id) of the runs in which a row of ``after`` is not one of ``before``, or
+    the other way round; the columns of ``after`` that ``before`` lacks count as NULL there.
+    Repeated rows count."""
+    missing = [c for c in after.columns if c not in before.columns]
+    kinds = {f.name: f.dataType for f in after.schema}
+    old = before.withColumns({c: F.lit(None).cast(kinds[c]) for c in missing}).select(*after.columns)
+    columns = [F.hash("*").alias("h1"), F.xxhash64("*").alias("h2")]
+    sides = after.select("engine", "run_id", *columns, F.lit(1).alias("n")).unionByName(
+        old.select("engine", "run_id", *columns, F.lit(-1).alias("n"))
+    )
+    rows = sides.groupBy("engine", "run_id", "h1", "h2").agg(F.sum("n").alias("n"))
+    return rows.filter("n <> 0").select("engine", "run_id").distinct()
+
+
+def write_back(df: DataFrame, path: str, runs: DataFrame | None = None) -> None:
+    """Replace runs of the dataset at ``path`` by their rows in ``df``; all other runs keep
+    their files. With ``runs`` (engine, run_id), such as ``changed_runs``, only these are
+    written. A repeated call leaves the same rows, so it may run again for a batch. ``df``
+    may be read from ``path``: new files stand beside the old ones until the job commits.
+    """
+    rows = df if runs is None else df.join(runs, ["engine", "run_id"], "left_semi")
+    # Runs come together, and one of very many rows is split again.
+    rows.hint("rebalance", "engine", "run_id").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("engine", "run_id").parquet(path)
+
+
+def write_checked(
+    df: DataFrame, path: str, rules: Mapping[str, Column], write: Callable | None = None
+) -> dict[str, int]:
+    """Write ``df`` to ``path`` if no row violates a rule (NULL counts as violated).
+
+    The violations are counted by the job that writes, beside the files, so the data is
+    computed once. The version is moved into place only when all counts are 0; otherwise
+    ``ExpectationFailed`` names them and ``path`` does not appear. Returns the number of
+    rows under ``rows``. ``write(writer, path)`` chooses the format, Parquet by default.
+    """
+    target, staged = _Folder(df, path), _Folder(df, f"{path.rstrip('/')}.{uuid.uuid4().hex}.staged")
+    if target.exists():
+        raise FileExistsError(path)
+    seen = Observation()
+    counts = [
+        F.count(F.when(~F.coalesce(rule, F.lit(False)), 1)).alias(f"rule_{i}")
+        for i, rule in enumerate(rules.values())
+    ]
+    observed = df.observe(seen, F.count(F.lit(1)).alias("rows"), *counts)
+    try:
+        (write or (lambda writer, to: writer.parquet(to)))(observed.write, staged.path)
+        found = seen.get
+        failed = {n: found[f"rule_{i}"] for i, n in enumerate(rules) if found[f"rule_{i}"]}
+        if failed:
+            raise ExpectationFailed(", ".join(f"{n}: {k}" for n, k in failed.items()))
+        if not staged.rename(target):
+            raise FileExistsError(path)
+    finally:
+        staged.delete()
+    return {"rows": found["rows"]}
+
+
+class _Folder:
+    """A folder in whatever file system Spark writes to."""
+
+    def __init__(self, df: DataFrame, path: str) -> None:
+        context = df.sparkSession.sparkContext
+        self.path = path
+        self._name = context._jvm.org.apache.hadoop.fs.Path(path)
+        self._files = self._name.getFileSystem(context._jsc.hadoopConfiguration())
+
+    def exists(self) -> bool:
+        return self._files.exists(self._name)
+
+    def delete(self) -> None:
+        self._files.delete(self._name, True)
+
+    def rename(self, to: _Folder) -> bool:
+        self._files.mkdirs(to._name.getParent())
+        return self._files.rename(self._name, to._name)
+
+
 def export_verdicts(verdicts: DataFrame, path: str) -> bool:
     """Verdict CSV in the fixed column order, with a byte-order mark in every file.
 
-    Writes nothing and returns False when there is no verdict.
+    Leaves nothing and returns False when there is no verdict, which the job that writes
+    finds out itself.
     """
-    if verdicts.isEmpty():
-        return False
     first, *rest = VERDICT_COLUMNS
     flag = F.when(F.col("has_hallucination"), "True").otherwise("False")
     rows = verdicts.withColumn("has_hallucination", flag).select(
         F.col(first).alias("\ufeff" + first), *rest
     )
-    rows.write.option("header", True).option("escape", '"').mode("errorifexists").csv(path)
-    return True
+    as_csv = lambda writer, to: writer.option("header", True).option("escape", '"').csv(to)
+    count = write_checked(rows, path, {}, as_csv)["rows"]
+    if not count:
+        _Folder(verdicts, path).delete()
+    return count > 0
 
 
 def record_rows(records: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.grading import ratio
 from ..functions.text import round_exact
 from ..operators.rollup import count_if
-from ..operators.scan import BLOCK_ROWS, running
+from ..operators.scan import BLOCK_ROWS, running, running_breaks
 
 # Message types of the buffered and of the dialog protocol.
 APPEND = "input_audio_buffer.append"
@@ -217,15 +217,14 @@ def timeouts(
 def activity_sessions(
     messages: DataFrame, limit_seconds: float, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Stretches of a connection without a wait above the limit. Two running
-    passes: the wait before each message, then the number of stretches begun."""
-    slim = messages.select("conn_id", "seq", "ts", "type")
-    waits = running(
-        slim, ["conn_id"], "seq", lasts={"_previous": F.col("ts")}, block_rows=block_rows
+    """Stretches of a connection without a wait above the limit."""
+
+    def late(before: Column, now: Column) -> Column:
+        return F.coalesce(seconds_between(before, now) > limit_seconds, F.lit(True))
+
+    numbered = running_breaks(
+        messages.select("conn_id", "seq", "ts", "type"), ["conn_id"], "seq", "ts", late, "session", block_rows
     )
-    wait = seconds_between(F.col("_previous"), F.col("ts"))
-    begins = F.when(wait <= limit_seconds, 0).otherwise(1).cast("bigint")
-    numbered = running(waits, ["conn_id"], "seq", sums={"session": begins}, block_rows=block_rows)
     return numbered.groupBy("conn_id", "session").agg(
         F.count(F.lit(1)).alias("messages"),
         count_if(F.col("type") == KEEPALIVE).alias("keepalive_count"),
