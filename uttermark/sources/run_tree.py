@@ -1,8 +1,10 @@
 """The run tree ``<root>/<engine>/<run>/results.json`` as a data source of its own.
 
-Engine, date and version of a run stand in its path. Filters on them are taken down to
-planning, where only folder names are listed: a run that they rule out is no partition and
-its file is never opened. What is left is one partition for each run folder. A file or an
+Engine, date and version of a run stand in its path. What is asked of them goes to planning
+as options, where only folder names are listed: a run that is ruled out is no partition and
+its file is never opened. What is left is one partition for each run folder. (Spark keeps
+what a Python source has planned with the loaded table, so a filter pushed by one query
+would bind the next one on the same DataFrame; options belong to one load.) A file or an
 element that cannot be read is a row too, with the reason in ``corrupt``, so that one broken
 run neither ends the read nor goes unseen.
 
@@ -24,10 +26,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In,
-    InputPartition, IsNotNull, LessThan, LessThanOrEqual,
-)
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import percent_text_basis_points
 from .schemas import RESULTS_DDL
@@ -45,18 +44,6 @@ KINDS = {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "i
 BATCH = 4096
 NAME = re.compile(r"(\d{2})-(\d{2})-(\d{4})_v(\d+)")
 
-#: What a pushed filter says about the value of a run; a NULL passes none of them.
-TESTS = {
-    EqualTo: lambda v, f: v == f.value,
-    In: lambda v, f: v in f.value,
-    GreaterThan: lambda v, f: v > f.value,
-    GreaterThanOrEqual: lambda v, f: v >= f.value,
-    LessThan: lambda v, f: v < f.value,
-    LessThanOrEqual: lambda v, f: v <= f.value,
-    IsNotNull: lambda v, f: True,
-}
-
-
 @dataclass
 class Run(InputPartition):
     path: str
@@ -85,21 +72,21 @@ def open_tree(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class RunTreeReader(DataSourceReader):
-    def __init__(self, root: str) -> None:
-        self.root = root
-        self.filters: list[Filter] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        names = {part.split()[0] for part in IDENTITY.split(", ")}
-        for f in filters:
-            if type(f) in TESTS and f.attribute[0] in names and len(f.attribute) == 1:
-                self.filters.append(f)
-            else:
-                yield f
-
-    def _asked(self, run: Run) -> bool:
-        values = [(getattr(run, f.attribute[0]), f) for f in self.filters]
-        return all(v is not None and TESTS[type(f)](v, f) for v, f in values)
+    def __init__(self, root: str, asked: dict) -> None:
+        self.root, self.asked = root, asked
+
+    def _fits(self, run: Run) -> bool:
+        """The rules of ``select_runs``: with a bound set, a name needs a version."""
+        date, low, high, runs = (self.asked.get(n) for n in ("date", "low", "high", "runs"))
+        versioned = NAME.fullmatch(run.run_id) or (low is None and high is None)
+        return bool(
+            run.run_id[:1].isdigit()
+            and (date is None or run.run_date == dt.date.fromisoformat(date))
+            and versioned
+            and (low is None or run.run_version >= low)
+            and (high is None or run.run_version <= high)
+            and (runs is None or run.run_id in runs)
+        )
 
     def partitions(self) -> Sequence[Run]:
         files, root = open_tree(self.root)
@@ -108,14 +95,12 @@ class RunTreeReader(DataSourceReader):
             found = files.get_file_info(fs.FileSelector(path))
             return sorted(x.path for x in found if x.type == fs.FileType.Directory)
 
-        runs = []
+        engines, runs = self.asked.get("engines"), []
         for engine in folders(root):
-            # An engine that is ruled out is not listed.
-            only = [f for f in self.filters if f.attribute == ("engine",)]
             name = posixpath.basename(engine)
-            if all(TESTS[type(f)](name, f) for f in only):
+            if engines is None or name in engines:  # others are not even listed
                 runs += [run_of(p, name, posixpath.basename(p)) for p in folders(engine)]
-        return [r for r in runs if r.run_id[:1].isdigit() and self._asked(r)]
+        return [r for r in runs if self._fits(r)]
 
     def read(self, partition: Run | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # what Spark plans where no run is left
@@ -186,16 +171,26 @@ class RunTree(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> RunTreeReader:
-        return RunTreeReader(self.options["path"])
-
-
-def read_run_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Result rows of all runs below ``root``, with the columns of ``read_results`` and
-    ``corrupt``. Filters on engine, run_id, run_date and run_version, as ``select_runs`` sets
-    them, choose the files that are read."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        return RunTreeReader(self.options["path"], json.loads(self.options.get("asked", "{}")))
+
+
+def read_run_tree(
+    spark: SparkSession,
+    root: str,
+    *,
+    engines: list[str] | None = None,
+    date: str | None = None,
+    low: int | None = None,
+    high: int | None = None,
+    runs: list[str] | None = None,
+) -> DataFrame:
+    """Result rows of the runs below ``root``, with the columns of ``read_results`` and
+    ``corrupt``. The arguments, which are those of ``select_runs`` and a list of engines,
+    choose the files that are read."""
     spark.dataSource.register(RunTree)
-    rows = spark.read.format(FORMAT).option("path", root).load()
+    given = {"engines": engines, "date": date, "low": low, "high": high, "runs": runs}
+    asked = {name: value for name, value in given.items() if value is not None}
+    rows = spark.read.format(FORMAT).option("path", root).option("asked", json.dumps(asked)).load()
     return rows.withColumns(
         {
             "bytes_sent": F.nullif("bytes_sent", F.lit(-1).cast("bigint")),
