@@ -41,3 +41,60 @@ def test_signs_do_not_depend_on_the_batch_and_tables_suffice():
     assert all((codes(v[i : i + 1], 57, 12) == whole[i]).all() for i in range(0, 300, 37))
     agree = 1 - math.acos(0.93) / math.pi
     assert (1 - agree**12) ** table_count(0.93) <= 1e-6
+
+
+def planted(rng, centers, others, length):
+    """Vectors of five labels: centers with partners at cosines from 0.93 to 0.97, and others
+    in all directions; with the pairs that link, by brute force."""
+    rows = []
+
+    def add(v, label):
+        rows.append((len(rows), [float(x) for x in v], label))
+
+    for c in range(centers):
+        center = unit(rng.standard_normal((1, length)))[0]
+        add(center, c % 5)
+        for cosine in (0.931, 0.94, 0.95, 0.97)[: 1 + c % 4]:
+            away = rng.standard_normal(length)
+            away = unit((away - (away @ center) * center)[None])[0]
+            add(rng.uniform(0.5, 2) * (cosine * center + math.sqrt(1 - cosine**2) * away), c % 5)
+    for i in range(others):
+        add(rng.standard_normal(length), i % 5)
+    links, labels = set(), np.array([r[2] for r in rows])
+    for label in range(5):
+        at = np.flatnonzero(labels == label)
+        units = unit(np.array([rows[i][1] for i in at]))
+        for x in range(0, len(at), 512):
+            found = np.argwhere(units[x : x + 512] @ units.T >= 0.93)
+            links |= {(at[x + a], at[b]) for a, b in found if x + a < b}
+    return rows, links
+
+
+def test_recall_on_twenty_thousand_vectors(spark):
+    rows, links = planted(np.random.default_rng(12), 1500, 16_000, 24)
+    assert len(rows) > 19_500 and len(links) > 3_500
+    got = {r.vec_id: r for r in vector_links(spark.createDataFrame(rows, SCHEMA.replace("float", "double"))).collect()}
+    n = np.zeros(len(rows), int)
+    for a, b in links:
+        n[a] += 1
+        n[b] += 1
+    found = np.array([got[i].n_links for i in range(len(rows))])
+    assert (found <= n).all()  # none below the threshold
+    recall = found.sum() / n.sum()
+    print("recall", recall)
+    assert recall > 0.9999
+    assert all(got[a].component_id == got[b].component_id for a, b in links) or recall < 1
+
+
+def test_groups_pass_through_batches_of_any_size(spark):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((6, 8))
+    rows = [(i, [float(x) for x in base[i % 6] + rng.normal(0, 0.05, 8)], 0) for i in range(300)]
+    rows += [(1000 + i, [float(x) for x in rng.standard_normal(5)], 1) for i in range(40)]
+    want = brute.cosine_links(rows, 0.93)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = vector_links(spark.createDataFrame(rows, SCHEMA.replace("float", "double")), part=32).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want

@@ -3,8 +3,11 @@
 Equal vectors of one label are one class from the start. Classes of a label that share
 the signs of all hyperplanes of some table are compared by exact cosine, in blocks of
 bounded size: a bucket of any size is cut into parts, and each pair of parts is one group.
-A group gives back one row per vector, not its pairs: the number of vectors linked, and a
-neighbour that spans the group's links. A pair that meets in several tables is counted
+There are as many hyperplanes as keep vectors of the largest label from meeting by chance
+and as many tables as linked ones need to meet, so work grows little faster than the rows.
+Groups pass through a task one after the other, small ones many at a time.
+A large group gives back one row per vector, not its pairs: the number of vectors linked,
+and a neighbour that spans the group's links. A pair that meets in several tables is counted
 where it meets first, which both vectors tell by themselves; signs are computed on whole
 numbers that doubles hold exactly, so they are the same wherever they are computed.
 
@@ -26,9 +29,10 @@ from pyspark.sql import DataFrame, functions as F
 from .common import components, table, written
 from .registry import query
 
-BITS = 12
+BITS, SPARE_BITS = 12, 3
 MISS = 1e-6
 PART = 1024
+SMALL = 16
 SCALE = 1 << 24
 
 
@@ -38,6 +42,12 @@ def table_count(threshold: float, bits: int = BITS, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log1p(-(agree**bits)))
 
 
+def bit_count(largest: int) -> int:
+    """Hyperplanes of a table: so many that the largest label has an eighth of a vector for each
+    bucket, and chance meetings stay few."""
+    return max(BITS, math.ceil(math.log2(max(largest, 1))) + SPARE_BITS)
+
+
 @functools.lru_cache(maxsize=8)
 def planes(length: int, tables: int, bits: int) -> np.ndarray:
     drawn = np.random.default_rng([length, tables, bits]).standard_normal((length, tables * bits))
@@ -124,36 +134,103 @@ def group_links(
     return nodes[found], linked[found], root[found]
 
 
+def small_links(
+    nodes: np.ndarray, weights: np.ndarray, units: np.ndarray, starts: np.ndarray, sizes: np.ndarray,
+    at: np.ndarray, threshold: float, tables: int, bits: int,
+) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As ``group_links`` for many small groups at once: two rows for each pair linked."""
+    out = []
+    for size in np.unique(sizes):
+        first, second = np.triu_indices(size, 1)
+        begin = starts[sizes == size]
+        step = max(1, (1 << 15) // len(first))
+        for part in range(0, len(begin), step):
+            rows = begin[part : part + step, None]
+            x, y = (rows + first).ravel(), (rows + second).ravel()
+            close = np.einsum("ij,ij->i", units[x], units[y]) >= threshold
+            x, y = x[close], y[close]
+            if len(x):
+                same = codes(units[x], tables, bits) == codes(units[y], tables, bits)
+                early = same.argmax(axis=1) == at[x]
+                x, y = x[early], y[early]
+                root = np.minimum(nodes[x], nodes[y])
+                out += [(nodes[x], weights[y], root), (nodes[y], weights[x], root)]
+    return out
+
+
+LINK = ["node", "links", "root"]
+PLACE = ["space", "t", "code", "i", "j"]
+
+
+def _edges(table: pa.Table) -> np.ndarray:
+    """Rows at which a group begins, and the end; rows come sorted by group."""
+    changed = np.zeros(table.num_rows, bool)
+    changed[:1] = True
+    for name in PLACE:
+        column = table.column(name).combine_chunks()
+        if name == "space":
+            column = column.dictionary_encode().indices
+        values = column.to_numpy(zero_copy_only=False)
+        changed[1:] |= values[1:] != values[:-1]
+    return np.append(np.flatnonzero(changed), table.num_rows)
+
+
 def _compare(threshold: float, tables: int, bits: int):
-    def run(group: pa.Table) -> pa.Table:
-        get = lambda name: group.column(name).combine_chunks()
-        first, second = get("i")[0].as_py(), get("j")[0].as_py()
-        vectors = get("vector")
-        side = (get("part").to_numpy() != first).astype(np.int64)
-        out = group_links(
-            get("node").to_numpy(),
-            get("weight").to_numpy(),
-            _vectors(vectors, len(vectors[0].as_py()) // 8),
-            side,
-            first != second,
-            get("t")[0].as_py(),
-            threshold,
-            tables,
-            bits,
-        )
-        return pa.table([pa.array(c) for c in out], names=["node", "links", "root"])
+    """Links of whole groups; what follows the last edge of a batch waits for the next."""
+
+    def links(table: pa.Table, edges: np.ndarray) -> Iterator[tuple]:
+        get = lambda name: table.column(name).combine_chunks()
+        nodes, weights, at = (get(n).to_numpy() for n in ("node", "weight", "t"))
+        i, j, part, vectors = get("i").to_numpy(), get("j").to_numpy(), get("part").to_numpy(), get("vector")
+        starts, sizes = edges[:-1], np.diff(edges)
+        small = (i[starts] == j[starts]) & (sizes <= SMALL)
+        # Vectors of one group have one length; those of a batch mostly have.
+        length = np.array([len(v.as_buffer()) for v in vectors], np.int64) // 8
+        for n in np.unique(length[starts[small]]):
+            groups = np.flatnonzero(small & (length[starts] == n))
+            rows = np.concatenate([np.arange(starts[g], edges[g + 1]) for g in groups])
+            units = unit(_vectors(vectors.take(pa.array(rows)), n))
+            begin = np.cumsum(sizes[groups]) - sizes[groups]
+            yield from small_links(
+                nodes[rows], weights[rows], units, begin, sizes[groups], at[rows], threshold, tables, bits
+            )
+        for g in np.flatnonzero(~small):
+            rows = slice(starts[g], edges[g + 1])
+            first, second = i[starts[g]], j[starts[g]]
+            yield group_links(
+                nodes[rows], weights[rows], _vectors(vectors[rows], length[starts[g]]),
+                (part[rows] != first).astype(np.int64), first != second, at[starts[g]],
+                threshold, tables, bits,
+            )
+
+    def found(table: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for columns in links(table, edges):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=LINK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            whole = pa.Table.from_batches([batch])
+            whole = whole if rest is None else pa.concat_tables([rest, whole])
+            edges = _edges(whole)
+            if len(edges) > 2:
+                yield from found(whole.slice(0, edges[-2]), edges[:-1])
+                whole = whole.slice(edges[-2])
+            rest = whole
+        if rest is not None and rest.num_rows:
+            yield from found(rest, np.array([0, rest.num_rows]))
 
     return run
 
 
 def vector_links(
-    vectors: DataFrame, threshold: float = 0.93, bits: int = BITS, part: int = PART
+    vectors: DataFrame, threshold: float = 0.93, bits: int | None = None, part: int = PART
 ) -> DataFrame:
     """Links between ``vectors`` (vec_id, embedding, label) of equal label.
 
+    ``bits`` follows from the size of the largest label (``bit_count``) unless given.
     Returns one row per row: vec_id, n_links, component_id, kept.
     """
-    tables = table_count(threshold, bits)
     rows = vectors.select(
         F.col("vec_id").cast("bigint").alias("vec_id"),
         F.concat_ws(":", F.size("embedding"), F.col("label").cast("string")).alias("space"),
@@ -182,6 +259,10 @@ def vector_links(
         )
     )
     classes = written(classes, "classes")
+    if bits is None:
+        largest = classes.groupBy("space").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        bits = bit_count(largest or 1)
+    tables = table_count(threshold, bits)
     hashed = written(
         classes.select("node", "weight", "space", "embedding").mapInArrow(
             _hash(tables, bits),
@@ -207,10 +288,9 @@ def vector_links(
     )
     counted = written(
         groups.join(hashed.select("node", "weight", "vector"), "node")
-        .groupBy("space", "t", "code", "i", "j")
-        .applyInArrow(
-            _compare(threshold, tables, bits), "node bigint, links bigint, root bigint"
-        ),
+        .repartition(*PLACE)
+        .sortWithinPartitions(*PLACE)
+        .mapInArrow(_compare(threshold, tables, bits), "node bigint, links bigint, root bigint"),
         "links",
     )
     links = counted.groupBy("node").agg(F.sum("links").alias("links"))
