@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
-THEMES = ("runs", "texts", "matching", "statistics", "judging", "messages", "signals", "reports")
+THEMES = (
+    "runs", "texts", "matching", "statistics", "judging", "messages", "signals", "reports",
+    "summaries", "documents",
+)
 
 
 def load():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
@@ -206,3 +207,60 @@ def to_markdown(
     rows = table_rows(df, cells).orderBy(*order).limit(limit).select("row").collect()
     head = ["| " + " | ".join(cells) + " |", "|" + " --- |" * len(cells)]
     return "\n".join(head + [r["row"] for r in rows])
+
+
+@dataclass
+class Section:
+    """A titled table of a document: its rows, the text of their cells, and the order of the
+    rows by numbers and texts, ascending."""
+
+    title: str
+    rows: DataFrame
+    cells: Mapping[str, Column]
+    order: Sequence[Column]
+
+
+def cells(names: Sequence[str], values: Sequence[Column | str]) -> dict[str, Column]:
+    return {n: F.col(v) if isinstance(v, str) else v for n, v in zip(names, values, strict=True)}
+
+
+def document(sections: Sequence[Section], keys: int = 3) -> DataFrame:
+    """All lines of a document of any length: (section, position, row), where sorting by the
+    first two gives the document. Titles and headers are rows before those of the table;
+    nothing is cut and nothing is numbered, so the one sort of ``write_document`` deals out
+    ranges of lines."""
+    place = ", ".join(f"n{i}:double, t{i}:string" for i in range(keys))
+    kind = f"struct<head:int, {place}>"
+    parts = []
+    for number, section in enumerate(sections, 1):
+        if len(section.order) > keys:
+            raise ValueError(f"more than {keys} keys of order")
+        heads = [f"## {section.title}", "", "| " + " | ".join(section.cells) + " |", "|" + " --- |" * len(section.cells)]
+        spark = section.rows.sparkSession
+        blank = [None, None] * keys
+        parts.append(
+            spark.createDataFrame(
+                [(number, (i - len(heads), *blank), line) for i, line in enumerate(heads)],
+                f"section int, position {kind}, row string",
+            )
+        )
+        kinds = dict(section.rows.select(*[c.alias(f"k{i}") for i, c in enumerate(section.order)]).dtypes)
+        fields = []
+        for i in range(keys):
+            text = kinds.get(f"k{i}") == "string"
+            value = section.order[i] if i < len(section.order) else F.lit(None)
+            fields.append((F.lit(None) if text else value).cast("double").alias(f"n{i}"))
+            fields.append((value if text else F.lit(None)).cast("string").alias(f"t{i}"))
+        position = F.struct(F.lit(0).alias("head"), *fields).cast(kind).alias("position")
+        parts.append(
+            table_rows(section.rows, section.cells).select(F.lit(number).alias("section"), position, "row")
+        )
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def write_document(lines: DataFrame, path: str) -> None:
+    """The document as text files, in order over all of them."""
+    lines.orderBy("section", "position").select("row").write.mode("errorifexists").text(path)
