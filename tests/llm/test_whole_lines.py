@@ -3,7 +3,7 @@
 import random
 
 import brute
-from uttermark.llm.lines import EVERY, dedup_lines
+from uttermark.llm.lines import dedup_lines
 
 SCHEMA = "doc_id bigint, text string"
 ALIKE = [
@@ -16,14 +16,17 @@ ALIKE = [
 
 def test_lines_that_only_start_alike_stay(spark):
     docs = spark.createDataFrame(list(enumerate(ALIKE)), SCHEMA)
-    got = dedup_lines(docs, every=EVERY)
+    got = dedup_lines(docs)
     assert {r.doc_id: r.text for r in got.collect()} == dict(enumerate(ALIKE))
 
 
-def test_whole_lines_equal_brute_force(spark, monkeypatch):
-    def sets(line):
-        return frozenset([line]) if len(line) < EVERY else frozenset(line[i : i + EVERY] for i in range(len(line) - EVERY + 1))
+def test_long_runs_that_differ_at_their_start_are_linked(spark):
+    run = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz漢字", k=300))
+    docs = spark.createDataFrame([(1, run), (2, "#" + run[1:]), (3, run[3:] + "end")], SCHEMA)
+    assert {r.doc_id: r.text for r in dedup_lines(docs).collect()} == {1: run, 2: "", 3: ""}
 
+
+def test_whole_lines_equal_brute_force(spark):
     rng = random.Random(4)
     words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(200)]
     base = [rng.choices(words, k=rng.randint(12, 40)) for _ in range(30)]
@@ -32,6 +35,5 @@ def test_whole_lines_equal_brute_force(spark, monkeypatch):
         line = list(rng.choice(base))
         line[rng.randrange(len(line))] = rng.choice(words)
         rows.append((d, " ".join(line)))
-    monkeypatch.setattr(brute, "line_shingles", sets)
-    got = dedup_lines(spark.createDataFrame(rows, SCHEMA), every=EVERY)
+    got = dedup_lines(spark.createDataFrame(rows, SCHEMA))
     assert {r.doc_id: r.text for r in got.collect()} == brute.dedup_lines(rows)

@@ -1,18 +1,20 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions alone.
 
-Lines are compared lower-case and trimmed. A line's set holds the twelve
-characters from the start of each of its words, as the SQL twin has it; different lines
-without white space that start alike are taken for copies by that. With ``every`` it holds
-so many characters at each position of the whole line. Equal lines are one node from the start. Signatures are
-minima of hashes, taken while lines are grouped, so they combine before the shuffle;
-lines that meet in a band bucket are verified on their sets against the bucket's most
-connected line, then across the components this leaves apart (see ``minhash.prefix_pairs``). Of all
+Lines are compared lower-case and trimmed, as sets of five characters at every position of
+the whole line. Equal lines are one node from the start. Which lines may be alike is told
+by MinHash signatures of fewer shingles: eight characters from the start of each word, and
+from each further position of a run without white space, so that links, JSON and scripts
+without spaces are covered as well. One pair of hashes for each shingle gives all values, by
+rotation of one against the other. Lines that meet in a band bucket are verified exactly on
+their whole sets against the bucket's most connected line, then across the components
+this leaves apart (see ``minhash.prefix_pairs``). Of all
 lines of a component, the first by document id and line number stays.
 
 Defined cases: a null text stays null; blank lines stay where they are and match nothing;
-a line without white space has one shingle, unless ``every`` is given. A document that loses all its lines keeps an
-empty text. Rows that repeat both id and text keep the same lines, as one document does.
-A null id comes after all others. Lines of any length are read whole. Extra columns stay
+a line of fewer than five characters is one shingle. A document that loses all its lines
+keeps an empty text. Rows that repeat both id and text keep the same lines, as one document does.
+A null id comes after all others. Lines of any length are read whole. An empty table gives
+none. Extra columns stay
 with ``dedup_lines``. Lines are told apart by 64-bit hashes.
 """
 
@@ -20,14 +22,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import broadcast_if_small, components, table, written
+from .common import broadcast_if_small, components, discard, table, written
 from .minhash import prefix_pairs
 from .registry import query
 
 NUM, DEN = 4, 5
 BANDS, ROWS = 12, 4
-SHINGLES = r"(?s)(?<!\S)(?=(\S.{0,11}))"
 EVERY = 5
+#: Where the shingles of signatures begin: at words, and further inside long runs.
+SIGNED = r"(?s)(?:(?<!\S)|(?<=\S{8}))(?=(\S.{0,7}))"
 
 
 def _lines(docs: DataFrame):
@@ -46,24 +49,30 @@ def _lines(docs: DataFrame):
     )
 
 
-def _shingles(line, every: int | None):
-    """Shingles from word starts, or with ``every`` those of so many characters at every
-    position; a shorter line is one then. A match takes one code point, so none is halved."""
-    if every:
-        all_of = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{every}}}))."), F.lit(1))
-        return F.when(F.char_length(line) < every, F.array(line)).otherwise(all_of)
-    return F.regexp_extract_all(line, F.lit(SHINGLES), F.lit(1))
+def _shingles(line, every: int):
+    """Shingles of ``every`` characters at every position; a shorter line is one itself. A
+    match takes one code point, so none is halved."""
+    all_of = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{every}}}))."), F.lit(1))
+    return F.when(F.char_length(line) < every, F.array(line)).otherwise(all_of)
 
 
-def _signatures(lines: DataFrame, every: int | None) -> DataFrame:
-    """(h, bands): one 64-bit hash yields two values, so a row takes half as many hashes."""
+def _signatures(lines: DataFrame) -> DataFrame:
+    """(h, bands) of each distinct line. Lines are brought together first, in the one
+    exchange, and minima are taken where they arrive. Two hashes of a shingle, one rotated
+    against the other, give as many 64-bit values as asked, and each value two halves."""
     values = BANDS * ROWS
-    each = lines.select("h", F.explode_outer(_shingles(F.col("line"), every)).alias("s")).select(
-        "h", F.xxhash64("s").alias("s")
-    )
-    hashes = each.select(
-        "h", *[F.xxhash64("s", F.lit(i)).alias(f"x{i}") for i in range((values + 1) // 2)]
-    )
+    distinct = lines.groupBy("h").agg(F.any_value("line").alias("line"))
+    each = distinct.select(
+        "h", F.explode_outer(F.regexp_extract_all("line", F.lit(SIGNED), F.lit(1))).alias("s")
+    ).select("h", F.xxhash64("s").alias("x"), F.xxhash64(F.lit(7), "s").alias("y"))
+
+    def turned(i: int):
+        if i == 0:
+            return F.col("x").bitwiseXOR(F.col("y"))
+        around = F.shiftleft("y", i).bitwiseOR(F.shiftrightunsigned("y", 64 - i))
+        return F.col("x").bitwiseXOR(around)
+
+    hashes = each.select("h", *[turned(i).alias(f"x{i}") for i in range((values + 1) // 2)])
     low = F.lit(0xFFFFFFFF)
     halves = [
         half
@@ -85,17 +94,17 @@ def _signatures(lines: DataFrame, every: int | None) -> DataFrame:
 
 
 def line_components(
-    docs: DataFrame, num: int = NUM, den: int = DEN, every: int | None = None
+    docs: DataFrame, num: int = NUM, den: int = DEN, every: int = EVERY
 ) -> DataFrame:
     """(node, component) for every line hash that is linked to that of another line."""
     lines = _lines(docs)
-    entries = written(_signatures(lines, every), "signatures").select(
-        F.explode("bands").alias("bucket"), F.col("h").alias("node")
-    )
+    signatures = written(_signatures(lines), "signatures")
+    entries = signatures.select(F.explode("bands").alias("bucket"), F.col("h").alias("node"))
     buckets = written(
         entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "buckets"
     )
     everyone = written(entries.join(broadcast_if_small(buckets), "bucket"), "everyone")
+    discard(signatures, buckets)
     # A line that meets many others is the closest thing to what they are copies of: the
     # bucket's line of most meetings is the one that the others are compared with.
     together = written(
@@ -111,22 +120,24 @@ def line_components(
         everyone.drop("m").join(written(pivots, "pivots"), "bucket").filter("node <> pivot"),
         "members",
     )
+    discard(everyone)
     sets = written(
         lines.join(broadcast_if_small(together.select("node")), F.col("h") == F.col("node"))
         .groupBy("node")
         .agg(F.any_value("line").alias("line"))
-        .select("node", F.array_distinct(_shingles(F.col("line"), every)).alias("shingles")),
+        .select("node", "line", F.size(F.array_distinct(_shingles(F.col("line"), every))).alias("n")),
         "sets",
-    ).withColumn("n", F.size("shingles"))
+    )
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        """Lines travel as texts, which take a sixteenth of their shingles."""
         both = pairs.join(
-            sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("n").alias("na")), "a"
-        ).join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("n").alias("nb")), "b")
-        shared = F.size(F.array_intersect("sa", "sb"))
+            sets.select(F.col("node").alias("a"), F.col("line").alias("la"), F.col("n").alias("na")), "a"
+        ).join(sets.select(F.col("node").alias("b"), F.col("line").alias("lb"), F.col("n").alias("nb")), "b")
+        shared = F.size(F.array_intersect(_shingles(F.col("la"), every), _shingles(F.col("lb"), every)))
         return written(
             both.filter(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
-            .filter(den * shared >= num * (F.col("na") + F.col("nb") - shared))
+            .filter((num + den) * shared >= num * (F.col("na") + F.col("nb")))
             .select("a", "b"),
             "links",
         )
@@ -150,8 +161,10 @@ def line_components(
         .select("bucket")
     )
     rest = placed.join(apart, "bucket").select("node", "component").distinct()
+    discard(members)
     shingles = rest.join(sets, "node").select(
-        "node", "component", F.col("n").cast("bigint").alias("n"), F.explode("shingles").alias("s")
+        "node", "component", F.col("n").cast("bigint").alias("n"),
+        F.explode(F.array_distinct(_shingles(F.col("line"), every))).alias("s"),
     )
     across = prefix_pairs(
         written(
@@ -168,11 +181,11 @@ def dedup_lines(
     num: int = NUM,
     den: int = DEN,
     counts: tuple = ("n_lines", "n_removed"),
-    every: int | None = None,
+    every: int = EVERY,
 ) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with a text that holds only the lines
     that stay, and with the numbers of all and of removed lines (columns named like these
-    ``counts`` are replaced). ``every`` compares whole lines, see ``_shingles``."""
+    ``counts`` are replaced). ``every`` is the length of a shingle."""
     rows = docs.drop(*counts)
     reached = written(line_components(rows.select("doc_id", "text"), num, den, every), "reached")
     places = written(
@@ -226,14 +239,16 @@ l AS (SELECT *, CASE WHEN regexp_matches(raw, '\S') THEN trim(lower(raw), ' ') E
 d AS (SELECT line, row_number() OVER (ORDER BY line) AS node FROM (
   SELECT DISTINCT line FROM l WHERE line IS NOT NULL)),
 c AS (SELECT node, string_split(line, '') AS c FROM d),
-s AS (SELECT node, list_distinct(list_transform(
-    list_filter(range(1, len(c) + 1), lambda i: NOT regexp_matches(c[i], '\s')
-      AND (i = 1 OR regexp_matches(c[i - 1], '\s'))),
-    lambda i: array_to_string(c[i:i + 11], ''))) AS s FROM c),
+s AS (SELECT node, CASE WHEN len(c) < 5 THEN [array_to_string(c, '')] ELSE list_distinct(list_transform(
+    range(1, len(c) - 3), lambda i: array_to_string(c[i:i + 4], ''))) END AS s FROM c),
 x AS (SELECT node, len(s) AS n, unnest(s) AS g FROM s),
-p AS (SELECT a.node AS a, b.node AS b FROM x a JOIN x b ON a.g = b.g AND a.node < b.node
-  AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
-  GROUP BY a.node, b.node, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))),
+f AS (SELECT *, count(*) OVER (PARTITION BY g) AS df FROM x),
+-- Lines that are alike share one of these rare shingles; all others of them are compared after.
+y AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY node ORDER BY df, g) <= n - (4 * n + 4) // 5 + 1),
+z AS (SELECT DISTINCT a.node AS a, b.node AS b FROM y a JOIN y b ON a.g = b.g AND a.node < b.node
+  AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+p AS (SELECT z.a, z.b FROM z JOIN s sa ON sa.node = z.a JOIN s sb ON sb.node = z.b
+  WHERE 9 * len(list_intersect(sa.s, sb.s)) >= 4 * (len(sa.s) + len(sb.s))),
 e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
 t(node, reached) AS (
   SELECT node, node FROM d UNION SELECT t.node, e.b FROM t JOIN e ON t.reached = e.a),
