@@ -238,15 +238,16 @@ WITH RECURSIVE r AS (
 l AS (SELECT *, CASE WHEN regexp_matches(raw, '\S') THEN trim(lower(raw), ' ') END AS line FROM r),
 d AS (SELECT line, row_number() OVER (ORDER BY line) AS node FROM (
   SELECT DISTINCT line FROM l WHERE line IS NOT NULL)),
-c AS (SELECT node, string_split(line, '') AS c FROM d),
-s AS (SELECT node, CASE WHEN len(c) < 5 THEN [array_to_string(c, '')] ELSE list_distinct(list_transform(
-    range(1, len(c) - 3), lambda i: array_to_string(c[i:i + 4], ''))) END AS s FROM c),
-x AS (SELECT node, len(s) AS n, unnest(s) AS g FROM s),
-f AS (SELECT *, count(*) OVER (PARTITION BY g) AS df FROM x),
--- Lines that are alike share one of these rare shingles; all others of them are compared after.
-y AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY node ORDER BY df, g) <= n - (4 * n + 4) // 5 + 1),
-z AS (SELECT DISTINCT a.node AS a, b.node AS b FROM y a JOIN y b ON a.g = b.g AND a.node < b.node
-  AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+v AS (SELECT DISTINCT node, hash(substring(line, i, 5)) AS g FROM (
+  SELECT node, line, unnest(range(1, greatest(length(line) - 3, 2))) AS i FROM d)),
+s AS (SELECT node, list(g) AS s, count(*) AS n FROM v GROUP BY node),
+x AS (SELECT node, n, g FROM v JOIN s USING (node)),
+f AS (SELECT g, count(*) AS df FROM x GROUP BY g HAVING count(*) > 1),
+-- Lines that are alike share a rare shingle; all others of the two are compared after.
+y AS (SELECT node, n, g, row_number() OVER (PARTITION BY node ORDER BY coalesce(df, 1), g) AS k FROM x LEFT JOIN f USING (g)),
+u AS (SELECT y.* FROM y JOIN f USING (g) WHERE k <= n - (4 * n + 4) // 5 + 1),
+z AS (SELECT DISTINCT a.node AS a, b.node AS b FROM u a JOIN u b ON a.g = b.g AND a.k <= a.n - (8 * a.n + 8) // 9 + 1
+  AND (a.n < b.n OR a.n = b.n AND a.node < b.node) AND 5 * a.n >= 4 * b.n),
 p AS (SELECT z.a, z.b FROM z JOIN s sa ON sa.node = z.a JOIN s sb ON sb.node = z.b
   WHERE 9 * len(list_intersect(sa.s, sb.s)) >= 4 * (len(sa.s) + len(sb.s))),
 e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
