@@ -77,12 +77,11 @@ def test_repeated_branches_of_a_host_go_and_articles_stay(spark):
 
 
 def test_importance_is_normalized_entropy(spark):
-    rows = [("h", 1, [], 0, t, 1, 1) for t in (1, 1, 2, 3)] + [("h", 2, [], 0, 9, 1, 1)] * 4
+    rows = [("h", 1, 0, t, 1, 1) for t in (1, 1, 2, 3)] + [("h", 2, 0, 9, 1, 1)] * 4
     nodes = spark.createDataFrame(
-        rows,
-        "host string, node bigint, above array<bigint>, kind int, shown bigint, size bigint, first bigint",
+        rows, "host string, node bigint, kind int, shown bigint, size bigint, first bigint"
     )
-    got = {r.node: r.important for r in importance(nodes).collect()}
+    got = {r.node: r.own for r in importance(nodes).collect()}
     assert math.isclose(got[1], 1 - (math.log(2) / 3) / math.log(4)) and math.isclose(got[2], 0, abs_tol=1e-12)
 
 
