@@ -8,8 +8,8 @@ strings of their format, so different entities cannot meet; names come from list
 gender and script. A check joins all surrogates with each other and with all entities:
 where two entities would share one, or one names a real entity, the later is drawn anew.
 
-Names are found behind titles, and then, in the same document, without them or shortened
-(see ``linked``). A name is one entity in all documents, whatever its titles say. Limits: a
+Names are found behind one or more titles, with initials, particles and capitals of any
+script, and then, in the same document, without them or shortened (see ``linked``). A name is one entity in all documents, whatever its titles say. Limits: a
 person without any title in a document is not found there; 'Mr. Smith' alone is another
 entity than the 'John Smith' of other documents; a word of a person's name that begins
 with a capital for another reason is taken for the person.
@@ -21,7 +21,8 @@ Letters and digits of any script change within their own; a phone or card number
 digits is the entity of its value and keeps them.
 
 Defined cases: a null text stays null, one without mentions stays as it is. A null id is
-an id like any other. Repeated rows are treated alike. Extra columns stay.
+an id like any other. Repeated rows are treated alike. Texts of any length are read whole.
+An empty table gives none. Extra columns stay.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -58,10 +60,34 @@ FAMILY = {
 }
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-_UPPER = "A-ZÀ-ÖØ-ÞА-ЯЁ"
-_NAME = rf"[{_UPPER}][\w'’\-]+"
+#: Words that are part of a name without being one, each with what may follow it.
+PARTICLES = (
+    "van der|van den|van de|van|von der|von dem|von den|von|de la|de las|de los|de|del|della|di|"
+    "da|dos|du|ter|ten|bin|ibn|al"
+)
+PARTICLE_WORDS = frozenset(re.split(r"[| ]", PARTICLES))
+
+
+def _capitals() -> str:
+    """The capital letters of all scripts, as ranges of a character class."""
+    kinds = ("Lu", "Lt")
+    points = [i for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) in kinds]
+    starts = [i for i in points if unicodedata.category(chr(i - 1)) not in kinds]
+    ends = [i for i in points if i == sys.maxunicode or unicodedata.category(chr(i + 1)) not in kinds]
+    return "".join(f"{chr(i)}-{chr(j)}" for i, j in zip(starts, ends))
+
+
+_UPPER = _capitals()
 _LONG = "herr|frau|miss|mister|monsieur|madame|señora|señor|г-н|г-жа"
 _SHORT = "|".join(t for t in TITLES if t not in _LONG.split("|"))
+# Without its dot, a short title is one only if it is written like a name.
+_BARE = "|".join(t.title() for t in _SHORT.split("|"))
+_TITLE = rf"(?:(?i:{_SHORT})\.|(?:{_BARE})(?= )|(?i:{_LONG}))"
+_TITLES = rf"{_TITLE} (?:{_TITLE} )*"
+_INITIAL = rf"[{_UPPER}]\."
+_WITHIN = rf"(?:{_INITIAL} ?){{0,3}}(?:(?i:{PARTICLES}) ){{0,2}}"
+_OTHER = rf"(?i:{_SHORT})\.|(?:{_BARE})(?!\w)|(?i:{_LONG}) [{_UPPER}]"
+_NAME = rf"{_WITHIN}(?!{_OTHER})[{_UPPER}](?:\w|['’\-](?=\w)(?![sS](?!\w)))+"
 FOUND = re.compile(
     "|".join(
         [
@@ -76,12 +102,13 @@ FOUND = re.compile(
             r"|\(\d{3}\) ?\d{3}-\d{4}(?!\w)|\d{3}([.\-])\d{3}\7\d{4}(?!\w)))",
             r"(?P<ssn>(?<![\w\-])\d{3}-\d\d-\d{4}(?![\w\-]))",
             r"(?P<number>(?<![\w.])(?:\d{12,19}|\d{4}([ \-])\d{4}\10\d{4}\10\d{1,7})(?!\w|\.\d))",
-            rf"(?P<name>(?<!\w)(?:(?i:{_SHORT})\.|(?i:{_LONG})) {_NAME}(?: {_NAME}){{0,2}})",
+            rf"(?P<name>(?<!\w){_TITLES}{_NAME}(?: {_NAME}){{0,2}})",
         ]
     )
 )
 #: What every match holds; a text without it has none.
-HINT = re.compile(rf"[@\d]|(?<!\w)(?:(?i:{_SHORT})\.|(?i:{_LONG})) [{_UPPER}]")
+HINT = re.compile(rf"[@\d]|(?<!\w){_TITLE} ")
+INITIALS = re.compile(r"(?:\w\.)+")
 
 
 def _luhn(digits: str) -> int:
@@ -123,8 +150,10 @@ def entity(match: re.Match) -> tuple[str, str] | None:
         return kind, ("+" if raw[0] == "+" else "") + digits
     if kind in ("ssn", "number"):
         return kind, _digits(raw)
-    title, names = re.split(r"[. ]+", raw, maxsplit=1)
-    return "name:" + TITLES[title.lower()], " ".join(names.title().split())
+    titles = re.match(_TITLES, raw).group()
+    told = [TITLES[title.strip(".").lower()] for title in titles.split()]
+    names = " ".join(raw[len(titles) :].title().split())
+    return "name:" + next(filter(None, told), ""), names
 
 
 # Surrogates.
@@ -276,10 +305,17 @@ def surrogate(key: bytes, kind: str, value: str, turn: int) -> str:
         gender = kind[5:] or "mf"[_prf(key, "gender", value) % 2]
         words, number = value.split(" "), _prf(key, tweak, script, value)
         out = []
-        for i in range(len(words)):
-            pool = FAMILY[script] if i == len(words) - 1 else GIVEN[script, gender]
-            number, j = divmod(number, len(pool))
-            out.append(pool[j])
+        for i, word in enumerate(words):
+            last = i == len(words) - 1
+            if not last and word.lower() in PARTICLE_WORDS:
+                out.append(word)
+                continue
+            pool = FAMILY[script] if last else GIVEN[script, gender]
+            drawn = ""
+            for _ in range(word.count(".") if INITIALS.fullmatch(word) else 1):
+                number, j = divmod(number, len(pool))
+                drawn += pool[j][0] + "." if INITIALS.fullmatch(word) else pool[j]
+            out.append(drawn)
         for _ in range(turn // 4):  # the lists are used up: double names
             number, j = divmod(number, len(FAMILY[script]))
             out[-1] += "-" + FAMILY[script][j]
@@ -290,13 +326,22 @@ def surrogate(key: bytes, kind: str, value: str, turn: int) -> str:
 def render(raw: str, kind: str, found: str, part: str | None = None) -> str:
     """The surrogate in the format of the mention ``raw``, of names the words ``part``."""
     if kind.startswith("name:"):
-        title = re.match(rf"(?:(?i:{_SHORT})\.|(?i:{_LONG})) ", raw)
+        title = re.match(_TITLES, raw)
         cut = title.end() if title else 0
         names = raw[cut:]
         if part:
             words = found.split(" ")
             found = " ".join(words[int(i)] for i in part.split(","))
-        return raw[:cut] + (found.upper() if names.isupper() else found)
+        if names.isupper():
+            return raw[:cut] + found.upper()
+        # Particles keep their case, and initials stay initials.
+        out = [
+            old if old.lower() == new.lower()
+            else new[0] + "." if INITIALS.fullmatch(old) and not INITIALS.fullmatch(new)
+            else new
+            for old, new in zip(names.split(), found.split(" "))
+        ]
+        return raw[:cut] + " ".join(out)
     if kind in ("email", "key"):
         return found.upper() if raw.isupper() else found
     if kind == "ip":
@@ -330,7 +375,7 @@ def linked(text: str | None) -> list[tuple[int, int, str, str, str]]:
     """``mentions`` with those of persons linked: (start, end, kind, canonical, part).
 
     A titled name of fewer words, as in 'Mr. Smith', is the one person of the text whose
-    longer name holds these words in order, ends like it or begins like it, and whose
+    longer name holds these words or words with these initials in order, ends like it or begins like it, and whose
     gender agrees; if there are several, it stays a name of its own. Then every untitled
     mention of a full name or of its last or first word, in the case of the name or in
     capitals, is one of that person too, or a name of its own if several persons have it. ``part`` lists which
@@ -346,21 +391,32 @@ def linked(text: str | None) -> list[tuple[int, int, str, str, str]]:
     def places(short: tuple, full: tuple) -> list[int] | None:
         out, at = [], 0
         for w in short:
-            if w not in full[at:]:
+            initial = w[0] if w.endswith(".") else None
+            here = [i for i in range(at, len(full)) if full[i] == w or initial == full[i][0]]
+            if not here:
                 return None
-            out.append(full.index(w, at))
-            at = out[-1] + 1
+            out.append(here[0])
+            at = here[0] + 1
         return out if out[-1] == len(full) - 1 or out[0] == 0 else None
 
+    def told_of(name: tuple) -> tuple[int, int]:
+        return len(name), sum(not w.endswith(".") for w in name)
+
     def agree(a: set[str], b: set[str]) -> bool:
         a, b = a - {""}, b - {""}
         return not a or not b or a == b
 
+    # A longer name ends or begins like the shorter one.
+    alike: dict[tuple, list] = {}
+    for full in genders:
+        alike.setdefault((-1, full[-1]), []).append(full)
+        alike.setdefault((0, full[0]), []).append(full)
     persons = {}
     for short, told in genders.items():
+        near = dict.fromkeys([*alike[-1, short[-1]], *alike[0, short[0]]])
         longer = [
-            full for full in genders
-            if len(full) > len(short) and places(short, full) and agree(told, genders[full])
+            full for full in near
+            if told_of(full) > told_of(short) and places(short, full) and agree(told, genders[full])
         ]
         # 'John Smith' and 'John Paul Smith' may be one person; the longest name holds the rest.
         top = [a for a in longer if all(a == b or places(b, a) for b in longer)]
@@ -401,7 +457,7 @@ def linked(text: str | None) -> list[tuple[int, int, str, str, str]]:
                 tail = re.search(r"['’](?:s|S)?$", raw[-1])
                 stop = part[-1].end() - (len(tail.group()) if tail else 0)
                 raw[-1] = raw[-1][: len(raw[-1]) - len(tail.group())] if tail else raw[-1]
-                if not all(w[:1].isupper() for w in raw):
+                if not all(w[:1].isupper() or w in PARTICLE_WORDS for w in raw) or raw[-1].islower():
                     continue
                 short = tuple(w.title() for w in raw)
                 who = forms.get(short, ())
