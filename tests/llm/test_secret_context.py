@@ -52,8 +52,15 @@ def test_words_behind_speak_too(spark):
 @pytest.mark.parametrize(
     "text,want",
     [
-        ("LONG_NAME_OF_A_KEY=abc", ["LONG_NAME_OF_A_KEY"]),
-        ('LONG_NAME_OF_A_KEY="abc"', ["LONG_NAME_OF_A_KEY"]),
+        ("LONG_NAME_OF_A_KEY=abc", ["LONG_NAME_OF_A_KEY", "abc"]),
+        ('LONG_NAME_OF_A_KEY="abc"', ["LONG_NAME_OF_A_KEY", "abc"]),
+        ('password = "hunter2secret"', ["hunter2secret"]),
+        ("password=Tr0ub4dor&3xx!correct-horse", ["Tr0ub4dor&3xx!correct-horse"]),
+        ("db_password: hunter2, note: nothing", ["hunter2"]),
+        ('{"api_key": "a", "x":"b"}', ["a", "b"]),
+        (f"https://x.y/?page=1&token={KEY}&x", ["1", KEY + "&x"]),
+        ("a == b; a => b and a: b 'quoted' \"text\"", []),
+        ("x=1 y=2", ["1", "2"]),
         (f'a = "{KEY}==", b', [KEY + "=="]),
         (f"a: {KEY}=\n", [KEY + "="]),
         (f"LONG_NAME_OF_A_KEY={KEY}==", ["LONG_NAME_OF_A_KEY", KEY + "=="]),
@@ -62,3 +69,15 @@ def test_words_behind_speak_too(spark):
 def test_equals_signs_are_padding_or_assignments(spark, text, want):
     _, found = rows_of(spark, [text])
     assert [r.candidate for r in found.orderBy("start").collect()] == want
+
+
+def test_many_short_values_keep_their_surroundings(spark):
+    text = " ".join(f"k{i}={i}" for i in range(3000)) + " password='x'" + " é" * 50_000
+    docs, found = rows_of(spark, [text])
+    got = secrets.featured(found, docs).collect()
+    assert len(got) == 3001
+    for r in got:
+        stop = r.start + len(r.candidate)
+        assert text[r.start : stop] == r.candidate
+        assert (r.before, r.after) == (text[max(0, r.start - 64) : r.start], text[stop : stop + 64])
+    assert next(r for r in got if r.candidate == "x").word_for == 1

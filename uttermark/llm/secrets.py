@@ -1,7 +1,8 @@
 """Scanning for secrets, with a random forest that removes false positives.
 
-Candidates are runs of 16 or more letters, digits and signs that keys are made of. Each is
-described by its length, its character transitions (changes of class, and how likely its
+Candidates are values of any length that stand in quotes behind an assignment, behind '='
+or behind a name that speaks of secrets and a colon, and all runs of 16 or more letters,
+digits and signs that keys are made of. Each is described by its length, its character transitions (changes of class, and how likely its
 letter pairs are in the corpus), the share of it that words of the corpus cover, the path
 of its document and its neighbouring words. A forest of the DataFrame-based MLlib, trained
 from labelled findings, tells secrets from the rest.
@@ -12,7 +13,8 @@ Training takes at most ``TRAIN_ROWS`` labelled findings of each label, by order
 
 Defined cases: a null or empty text has no findings. Without findings of both labels there
 is no forest, and every finding scores its rule's label, or 0.5. A null path has no words.
-Rows that repeat both id and text are scanned once, as one document. Extra columns are ignored.
+Rows that repeat both id and text are scanned once, as one document. Texts of any length are
+read whole. An empty table gives no findings. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,16 +27,25 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import broadcast_if_small, table, written
 from .registry import query
 
+# Words that speak for a secret, in its neighbourhood.
+FOR = "token|secret|passw(?:or)?d|passphrase|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential"
+
+# Cheap looks at one character come before those that try several lengths.
+_QUOTED = r"(?<=[\"'`])(?<=[:=]\s{0,4}[\"'`])[^\s\"'`]++(?=[\"'`])"
+_BARE = r"(?:[^\s\"'`,;&(){}\[\]<>]|&(?!\w{1,64}=))"
+_ASSIGNED = rf"(?<=[=\s])(?<=\w\s{{0,2}}=\s{{0,2}})(?![=>]){_BARE}++"
+_NAMED = rf"(?<=[:\s])(?<=(?i:{FOR})\w{{0,16}}[\"']?\s{{0,2}}:\s{{0,2}})(?![=:]){_BARE}++"
 #: '=' is a candidate's only as padding at a value's end, not where a value follows it.
-CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}+(?:={1,2}+(?![\"'`]?[A-Za-z0-9+/_\-$({<\[]))?+"
-SHORTEST = 16
+_RUN = r"[A-Za-z0-9+/_\-]{16,}+(?:={1,2}+(?![\"'`]?[A-Za-z0-9+/_\-$({<\[]))?+"
+CANDIDATE = "|".join([_QUOTED, _ASSIGNED, _NAMED, _RUN])
+#: No two candidates begin nearer to each other than this, as something parts them.
+SHORTEST = 2
 TRAIN_ROWS = 5000
 TREES, DEPTH = 24, 6
 WORD_COUNT = 3
 AROUND = 64
 
-# Words that speak for or against a secret, in its neighbourhood and in paths.
-FOR = "token|secret|passw(?:or)?d|passphrase|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential"
+# Words that speak against a secret, in its neighbourhood and in paths.
 AGAINST = "sha\\d*|md5|commit|checksum|digest|hash|uuid|revision|integrity|version"
 TEST_PATH = "test|mock|example|sample|fixture|doc|vendor|lock|node_modules"
 
@@ -154,7 +165,8 @@ def described(candidates: DataFrame, words: DataFrame) -> DataFrame:
         count("[^A-Za-z0-9]").alias("signs"),
         (F.size(F.array_distinct(F.split("candidate", ""))) / size).alias("kinds"),
     )
-    places = F.expr("sequence(1, char_length(candidate) - 1)")
+    # A candidate of one character has no pair.
+    places = F.expr("slice(sequence(0, char_length(candidate) - 1), 2, 2147483647)")
     logs = (
         candidates.select(
             "candidate",
