@@ -34,7 +34,7 @@ FOR = "token|secret|passw(?:or)?d|passphrase|api[_-]?key|access[_-]?key|private[
 _QUOTED = r"(?<=[\"'`])(?<=[:=]\s{0,4}[\"'`])[^\s\"'`]++(?=[\"'`])"
 _BARE = r"(?:[^\s\"'`,;&(){}\[\]<>]|&(?!\w{1,64}=))"
 _ASSIGNED = rf"(?<=[=\s])(?<=\w\s{{0,2}}=\s{{0,2}})(?![=>]){_BARE}++"
-_NAMED = rf"(?<=[:\s])(?<=(?i:{FOR})\w{{0,16}}[\"']?\s{{0,2}}:\s{{0,2}})(?![=:]){_BARE}++"
+_NAMED = rf"(?<=[:\s])(?<=:\s{{0,2}})(?<=(?i:{FOR})\w{{0,16}}[\"']?\s{{0,2}}:\s{{0,2}})(?![=:]){_BARE}++"
 #: '=' is a candidate's only as padding at a value's end, not where a value follows it.
 _RUN = r"[A-Za-z0-9+/_\-]{16,}+(?:={1,2}+(?![\"'`]?[A-Za-z0-9+/_\-$({<\[]))?+"
 CANDIDATE = "|".join([_QUOTED, _ASSIGNED, _NAMED, _RUN])
